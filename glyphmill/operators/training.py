@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from glyphmill.fixed import CHAR_VOCAB_SIZE, VOCAB_SIZE
 from glyphmill.functions.pieces import VISIBLE
 from glyphmill.functions.symbols import adjacent_pairs, code_char, coded, merged, symbol_id, touches
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
@@ -141,7 +142,7 @@ def learn_merges(
     pile up, and written to the shared folder every few rebuilds so that a lost executor
     costs a short replay.
     """
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
+    words = spread(words).persist(StorageLevel.MEMORY_AND_DISK)
     pending: list[tuple[str, str]] = []
     rebuilds = 0
     made = 0
@@ -183,7 +184,7 @@ def learn_merges(
         if len(pending) >= PENDING_MERGES:
             rebuilds += 1
             rebuilt = words.withColumn("syms", merged(F.col("syms"), pending))
-            rebuilt = written(rebuilt, "words") if rebuilds % WRITE_EVERY == 0 else rebuilt
+            rebuilt = spread(written(rebuilt, "words")) if rebuilds % WRITE_EVERY == 0 else rebuilt
             rebuilt = rebuilt.persist(StorageLevel.MEMORY_AND_DISK)
             rebuilt.count()
             words.unpersist()
@@ -213,12 +214,16 @@ def coded_words(pieces: DataFrame, profile: Profile, symbols: Sequence[str], ids
 
 def train_bpe(
     df: DataFrame,
-    vocab_size: int,
+    vocab_size: int | None = VOCAB_SIZE,
     min_frequency: int = 1,
     profile: Profile = BYTE_LEVEL,
     text: str = "text",
+    max_merges: int | None = None,
 ) -> BpeModel:
-    """Byte-level BPE: specials first, then the alphabet by code point, then merges in order."""
+    """Byte-level BPE: specials first, then the alphabet by code point, then merges in order.
+
+    ``max_merges`` limits the learned tokens instead of the vocabulary as a whole.
+    """
     pieces = written(piece_counts(spread(df.select(text)), profile, text), "pieces")
     seen = [r.symbol for r in char_alphabet(pieces, profile).collect()]
     alphabet = sorted(VISIBLE) if profile.full_byte_alphabet else seen
@@ -226,21 +231,25 @@ def train_bpe(
     ids = {t: i for i, t in enumerate(tokens)}
     state = MergeState(tokens, ids)
     words = coded_words(pieces, profile, alphabet, [ids[s] for s in alphabet])
-    learn_merges(words, state, vocab_size - len(tokens), min_frequency)
+    room = vocab_size - len(tokens) if max_merges is None else max_merges
+    learn_merges(words, state, room, min_frequency)
     return model_tables(df.sparkSession, state, profile, alphabet)
 
 
-def retrain_like(model: BpeModel, df: DataFrame, vocab_size: int, text: str = "text") -> BpeModel:
+def retrain_like(
+    model: BpeModel, df: DataFrame, vocab_size: int | None, text: str = "text", max_merges: int | None = None
+) -> BpeModel:
     """A new vocabulary from another corpus with an existing model's normaliser, splitter and specials."""
-    return train_bpe(df, vocab_size, 0, model.profile, text)
+    return train_bpe(df, vocab_size, 0, model.profile, text, max_merges)
 
 
 def train_char_bpe(
     df: DataFrame,
-    vocab_size: int,
+    vocab_size: int | None = CHAR_VOCAB_SIZE,
     profile: Profile = CHARACTERS,
     text: str = "text",
     coverage: float = 1.0,
+    max_merges: int | None = None,
 ) -> BpeModel:
     """Character BPE: unknown token, user symbols, 256 byte tokens, merges, then characters.
 
@@ -252,7 +261,7 @@ def train_char_bpe(
     pieces = written(piece_counts(lines, profile, text), "pieces")
     rows = char_alphabet(pieces, profile, coverage).collect()
     chars = [r.symbol for r in sorted(rows, key=lambda r: (-r.n, r.symbol))]
-    room = vocab_size - 1 - len(profile.specials) - 256 - len(chars)
+    room = vocab_size - 1 - len(profile.specials) - 256 - len(chars) if max_merges is None else max_merges
     if room < 0:
         raise ValueError("vocab_size is smaller than the characters, byte tokens and user symbols need")
 
