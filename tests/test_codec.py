@@ -37,6 +37,14 @@ def test_unseen_bytes_vanish(spark, tiny):
     assert {r.symbol: r.n for r in dropped_symbols(df, tiny).collect()}["z"] == 3
 
 
+def test_neighbours_of_a_vanished_byte_meet(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer(tokenizers.models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")]))
+    assert tok.encode("azb").ids == [2]
+    model = train_bpe(texts(spark, "ab"), 100, 1, Profile("p", specials=()))
+    assert ids(encode(texts(spark, "azb"), model)) == [[2]]
+
+
 def test_fixed_length_rows(spark, tiny):
     rows = fixed_rows(encode(texts(spark, "ab cd ef ab", "ab"), tiny), 6, 0).orderBy("doc_id").collect()
     assert rows[1].input_ids == [9, 0, 0, 0, 0, 0] and rows[1].attention_mask == [1, 0, 0, 0, 0, 0]
