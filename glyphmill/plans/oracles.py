@@ -89,10 +89,9 @@ def training(source: str, merges: int, p: str = "", text: str = "text") -> str:
     return ", ".join(out)
 
 
-def known_symbols(piece: str, p: str = "") -> str:
-    """A piece as spaced hex bytes without those outside the alphabet: they vanish before any merge."""
-    known = f"(SELECT list(tok) FROM {p}al)"
-    kept = f"list_filter({HEX_BYTES.format(piece)}, lambda h: list_contains({known}, h))"
+def known_symbols(piece: str) -> str:
+    """A piece as spaced hex bytes without those outside the list ``known``: they vanish before any merge."""
+    kept = f"list_filter({HEX_BYTES.format(piece)}, lambda h: list_contains(known, h))"
     return f"array_to_string(list_transform({kept}, lambda h: ' ' || h || ' '), '')"
 
 
@@ -252,7 +251,7 @@ def chat_encoded() -> str:
              SELECT sg.conv_id, gi, seg, unnest(a) AS piece, unnest(range(1, len(a) + 1)) AS pi FROM (
                SELECT *, CASE WHEN seg IN (SELECT content FROM sp) THEN [seg] ELSE {pieces_of('seg')} END AS a FROM sg) sg) z
              LEFT JOIN sp ON sp.content = z.piece AND sp.content = z.seg),
-      sw AS MATERIALIZED (SELECT piece, string_split(trim({merged}), '  ') AS toks FROM (SELECT DISTINCT piece FROM sq WHERE sid IS NULL)),
+      sw AS MATERIALIZED (SELECT piece, string_split(trim({merged}), '  ') AS toks FROM (SELECT DISTINCT piece FROM sq WHERE sid IS NULL), (SELECT list(tok) AS known FROM al)),
       se AS MATERIALIZED (SELECT piece, list(id ORDER BY pos) AS ids FROM (SELECT piece, unnest(toks) AS t, unnest(range(1, len(toks) + 1)) AS pos FROM sw)
              JOIN v ON tok = t GROUP BY piece),
       cx AS MATERIALIZED (SELECT conv_id, flatten(list(CASE WHEN sid IS NULL THEN coalesce(se.ids, []) ELSE [sid::BIGINT] END ORDER BY gi, pi)) AS ids
@@ -421,9 +420,9 @@ ORACLES = {
     "v5_compare_vocab": (
         f"{CODED}, {OTHER}, "
         + "b_y AS MATERIALIZED (SELECT piece, "
-        + "{0} AS s FROM (SELECT piece FROM pc)), ".format(
+        + "{0} AS s FROM pc, (SELECT list(tok) AS known FROM b_al)), ".format(
             "".join("replace(" for _ in range(OTHER_MERGES))
-            + known_symbols("piece", "b_")
+            + known_symbols("piece")
             + "".join(
                 f", (SELECT ' ' || l || '  ' || r || ' ' FROM b_m{k}), (SELECT ' ' || tok || ' ' FROM b_m{k}))"
                 for k in range(OTHER_MERGES)
