@@ -496,7 +496,7 @@ ORACLES = {
     "c5_tools": f"WITH {chat_ctes(TOOLED)} SELECT conv_id, prompt FROM ch",
     "c6_encode_chat": f"{DOCS}, {chat_ctes(PLAIN, ASK)}, {chat_encoded()} SELECT conv_id, {text_of('ids')} AS input_ids FROM cx",
     "c7_split_reasoning_ids": (
-        f"{DOCS}, {chat_ctes(PLAIN)}, {chat_encoded()}, nw AS (SELECT conv_id, ids[11:] AS ids FROM cx), "
+        f"{DOCS}, {chat_ctes(PLAIN)}, {chat_encoded()}, nw AS (SELECT conv_id, ids[4:] AS ids FROM cx), "
         "ct AS MATERIALIZED (SELECT conv_id, ids[:cut] AS ri, ids[cut + 1:] AS ai FROM (SELECT conv_id, ids, coalesce(list_max(list_transform(ids, lambda x, i: CASE WHEN x = 25 THEN i ELSE 0 END)), 0) AS cut FROM nw)) "
         f"SELECT conv_id, {text_of('ri')} AS reasoning_ids, {text_of('ai')} AS answer_ids, {decoded('ri')} AS reasoning, {decoded('ai')} AS answer FROM ct"
     ),

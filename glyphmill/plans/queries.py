@@ -570,7 +570,7 @@ def c7_split_reasoning_ids(spark, sf_dir):
     rows = chat.encode_chat(turns(spark, sf_dir), model, add_generation_prompt=False)
     rows = rows.withColumnRenamed("input_ids", "output_ids")
     end = added_contents(model).index(THINK_END)
-    cut = chat.split_reasoning_ids(rows, model, end, F.lit(10))
+    cut = chat.split_reasoning_ids(rows, model, end, F.lit(3))
     ids = [joined(c).alias(c) for c in ("reasoning_ids", "answer_ids")]
     return cut.select("conv_id", *ids, "reasoning", "answer")
 
