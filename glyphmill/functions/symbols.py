@@ -38,23 +38,26 @@ def coded(col: Column, symbols: Sequence[str], ids: Sequence[int]) -> Column:
     return F.translate(col, "".join(s for s, _ in kept) + "".join(dropped), "".join(c for _, c in kept))
 
 
-def adjacent_pairs(col: Column) -> Column:
-    """All overlapping pairs of neighbours; the class keeps matches off half surrogates."""
-    return F.regexp_extract_all(col, F.lit(r"(?s)(?=([^\x{D800}-\x{DFFF}].))"), F.lit(1))
+# The first class keeps matches off half surrogates.
+_PAIR = r"(?s)(?=([^\uD800-\uDFFF].))"
 
 
-def touches(col: Column, pairs: Sequence[str]) -> Column:
-    """Cheap over-approximation of "contains one of the pairs"."""
+def pairs_sql(name: str) -> str:
+    """All overlapping pairs of neighbours, as SQL text."""
+    return f"regexp_extract_all({name}, r'{_PAIR}', 1)"
+
+
+def touches_sql(name: str, pairs: Sequence[str]) -> str:
+    """Cheap over-approximation of "contains one of the pairs", as SQL text."""
     lefts = "".join(sorted({p[0] for p in pairs}))
     rights = "".join(sorted({p[1] for p in pairs}))
-    return col.rlike(f"[{lefts}][{rights}]")
+    return f"{name} RLIKE '[{lefts}][{rights}]'"
 
 
-def merged(col: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    """Apply ``(pair, symbol)`` merges in order."""
+def merged_sql(name: str, merges: Sequence[tuple[str, str]]) -> str:
+    """``(pair, symbol)`` merges applied in order, as SQL text.  Codes need no quoting."""
     if not merges:
-        return col
-    steps = F.split(F.lit(",".join(pair + symbol for pair, symbol in merges)), ",")
-    return F.aggregate(
-        steps, col, lambda acc, m: F.replace(acc, F.substring(m, 1, 2), F.substring(m, 3, 1))
-    )
+        return name
+    steps = ",".join(pair + symbol for pair, symbol in merges)
+    step = "replace(acc, substring(m, 1, 2), substring(m, 3, 1))"
+    return f"aggregate(split('{steps}', ','), {name}, (acc, m) -> {step})"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphmill.functions.pieces import find_all, text_pieces, visible_bytes
-from glyphmill.functions.symbols import adjacent_pairs, merged
+from glyphmill.functions.symbols import merged_sql, pairs_sql
 from glyphmill.model import Profile
 
 
@@ -49,7 +49,7 @@ def char_alphabet(pieces: DataFrame, profile: Profile, coverage: float = 1.0) ->
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(pair, n) over coded words (syms, n), overlapping pairs included."""
-    pairs = words.where(F.length("syms") > 1).select(F.explode(adjacent_pairs(F.col("syms"))).alias("pair"), "n")
+    pairs = words.where(F.length("syms") > 1).selectExpr(f"explode({pairs_sql('syms')}) AS pair", "n")
     return pairs.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -59,4 +59,4 @@ def top_pairs(pairs: DataFrame, k: int, min_frequency: int = 1) -> DataFrame:
 
 
 def apply_merges(words: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    return words.withColumn("syms", merged(F.col("syms"), merges))
+    return words.withColumn("syms", F.expr(merged_sql("syms", merges)))

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphmill.fixed import CHAR_VOCAB_SIZE, VOCAB_SIZE
 from glyphmill.functions.pieces import VISIBLE
-from glyphmill.functions.symbols import adjacent_pairs, code_char, coded, merged, symbol_id, touches
+from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_sql, symbol_id, touches_sql
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
-from glyphmill.operators.counts import char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
+from glyphmill.operators.counts import apply_merges, char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
 from glyphmill.operators.vocabulary import char_model_tables, model_tables
 from glyphmill.session import spread, written
 
 HELD_PAIRS = 4096
-PENDING_MERGES = 64
+PENDING_MERGES = 24
 WRITE_EVERY = 8
 _LOWEST = (0, "")
 
@@ -107,27 +107,27 @@ def _recount(words: DataFrame, state: MergeState, min_frequency: int) -> None:
 
 def _changes(words: DataFrame, pending: list, batch: list, touched: list[str], state: MergeState) -> list:
     """Net pair counts after a batch, for held pairs it touches and new pairs above the bound."""
-    before = merged(F.col("syms"), pending)
-    changed = (
-        words.select(before.alias("before"), "n")
-        .where(touches(F.col("before"), [p for p, _ in batch]))
-        .select("before", merged(F.col("before"), batch).alias("after"), "n")
-        .where("before <> after")
-    )
-    signed = F.concat(
-        F.transform(adjacent_pairs(F.col("before")), lambda p: F.struct(p.alias("pair"), F.lit(-1).alias("sign"))),
-        F.transform(adjacent_pairs(F.col("after")), lambda p: F.struct(p.alias("pair"), F.lit(1).alias("sign"))),
-    )
-    net = changed.select(F.inline(signed), "n").groupBy("pair").agg(F.sum(F.col("sign") * F.col("n")).alias("n"))
     bound_n, bound_pair = state.bound
-    new_symbol = F.col("pair").rlike("[" + "".join(s for _, s in batch) + "]")
-    above = F.col("n") >= F.lit(max(bound_n, 1))
+    above = f"n >= {max(bound_n, 1)}"
     if bound_n and not state.order:
-        above = (F.col("n") > bound_n) | ((F.col("n") == bound_n) & (F.col("pair") < bound_pair))
-    wanted = new_symbol & above
+        above = f"(n > {bound_n} OR n = {bound_n} AND pair < '{bound_pair}')"
+    wanted = f"(pair RLIKE '[{''.join(s for _, s in batch)}]' AND {above})"
     if touched:
-        wanted = wanted | F.array_contains(F.split(F.lit(",".join(touched)), ","), F.col("pair"))
-    return net.where(wanted).collect()
+        wanted += f" OR array_contains(split('{','.join(touched)}', ','), pair)"
+    signed = (
+        f"inline(concat(transform({pairs_sql('before')}, p -> named_struct('pair', p, 'sign', -1)), "
+        f"transform({pairs_sql('after')}, p -> named_struct('pair', p, 'sign', 1))))"
+    )
+    return (
+        words.selectExpr(f"{merged_sql('syms', pending)} AS before", "n")
+        .where(touches_sql("before", [p for p, _ in batch]))
+        .selectExpr("before", f"{merged_sql('before', batch)} AS after", "n")
+        .selectExpr(signed, "n")
+        .groupBy("pair")
+        .agg(F.expr("sum(sign * n) AS n"))
+        .where(f"n <> 0 AND ({wanted})")
+        .collect()
+    )
 
 
 def learn_merges(
@@ -143,8 +143,7 @@ def learn_merges(
     costs a short replay.
     """
     words = spread(words).persist(StorageLevel.MEMORY_AND_DISK)
-    pending: list[tuple[str, str]] = []
-    rebuilds = 0
+    tables, pending, rebuilds = [words], [], 0
     made = 0
     _recount(words, state, min_frequency)
     while made < room:
@@ -152,7 +151,7 @@ def learn_merges(
         if not batch:
             if state.bound == _LOWEST or state.bound[0] < max(min_frequency, 1):
                 break
-            _recount(words.withColumn("syms", merged(F.col("syms"), pending)), state, min_frequency)
+            _recount(apply_merges(words, pending), state, min_frequency)
             if not _choose(state, 1, min_frequency):
                 break
             continue
@@ -183,15 +182,18 @@ def learn_merges(
         pending.extend(steps)
         if len(pending) >= PENDING_MERGES:
             rebuilds += 1
-            rebuilt = words.withColumn("syms", merged(F.col("syms"), pending))
-            rebuilt = spread(written(rebuilt, "words")) if rebuilds % WRITE_EVERY == 0 else rebuilt
-            rebuilt = rebuilt.persist(StorageLevel.MEMORY_AND_DISK)
-            rebuilt.count()
-            words.unpersist()
+            rebuilt = apply_merges(words, pending)
+            if rebuilds % WRITE_EVERY == 0:
+                rebuilt = spread(written(rebuilt, "words"))
+            # Filled by the next round; the table before it stays until then.
+            tables.append(rebuilt.persist(StorageLevel.MEMORY_AND_DISK))
             words, pending = rebuilt, []
+        elif len(tables) > 1:
+            tables.pop(0).unpersist()
         if reused:
-            _recount(words.withColumn("syms", merged(F.col("syms"), pending)), state, min_frequency)
-    words.unpersist()
+            _recount(apply_merges(words, pending), state, min_frequency)
+    for table in tables:
+        table.unpersist()
     return state.merges
 
 
