@@ -55,8 +55,10 @@ def token_hex(col: Column) -> Column:
 
 
 def _any_of(contents: Sequence[str]) -> str:
-    # Longest first: Java takes the first alternative that matches.
-    return "|".join(_quoted(c) for c in sorted(contents, key=lambda c: (-len(c), c)))
+    # Longest first: Java takes the first alternative that matches.  The class rules most
+    # positions out at once.
+    firsts = "".join(sorted({_quoted(c[0]) for c in contents}))
+    return f"(?=[{firsts}])(?:{'|'.join(_quoted(c) for c in sorted(contents, key=lambda c: (-len(c), c)))})"
 
 
 def _quoted(content: str) -> str:

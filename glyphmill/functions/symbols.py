@@ -38,13 +38,17 @@ def coded(col: Column, symbols: Sequence[str], ids: Sequence[int]) -> Column:
     return F.translate(col, "".join(s for s, _ in kept) + "".join(dropped), "".join(c for _, c in kept))
 
 
-# The first class keeps matches off half surrogates.
-_PAIR = r"(?s)(?=([^\uD800-\uDFFF].))"
+_WHOLE = r"[^\uD800-\uDFFF]"  # keeps matches off half surrogates
 
 
 def pairs_sql(name: str) -> str:
     """All overlapping pairs of neighbours, as SQL text."""
-    return f"regexp_extract_all({name}, r'{_PAIR}', 1)"
+    return f"regexp_extract_all({name}, r'(?s)(?=({_WHOLE}.))', 1)"
+
+
+def pairs_around_sql(name: str, lefts: str, rights: str) -> str:
+    """Only the pairs whose left symbol is in ``lefts`` or whose right symbol is in ``rights``."""
+    return f"regexp_extract_all({name}, r'(?s)(?=([{lefts}].|{_WHOLE}[{rights}]))', 1)"
 
 
 def touches_sql(name: str, pairs: Sequence[str]) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphmill.fixed import CHAR_VOCAB_SIZE, VOCAB_SIZE
 from glyphmill.functions.pieces import VISIBLE
-from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_sql, symbol_id, touches_sql
+from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_around_sql, symbol_id, touches_sql
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
 from glyphmill.operators.counts import apply_merges, char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
 from glyphmill.operators.vocabulary import char_model_tables, model_tables
@@ -107,24 +107,24 @@ def _recount(words: DataFrame, state: MergeState, min_frequency: int) -> None:
 
 def _changes(words: DataFrame, pending: list, batch: list, touched: list[str], state: MergeState) -> list:
     """Net pair counts after a batch, for held pairs it touches and new pairs above the bound."""
+    # Other pairs of a changed word occur as often after as before.
+    made = "".join(s for _, s in batch)
+    lefts, rights = made + "".join(p[1] for p, _ in batch), made + "".join(p[0] for p, _ in batch)
     bound_n, bound_pair = state.bound
     above = f"n >= {max(bound_n, 1)}"
     if bound_n and not state.order:
         above = f"(n > {bound_n} OR n = {bound_n} AND pair < '{bound_pair}')"
-    wanted = f"(pair RLIKE '[{''.join(s for _, s in batch)}]' AND {above})"
+    wanted = f"(pair RLIKE '[{made}]' AND {above})"
     if touched:
         wanted += f" OR array_contains(split('{','.join(touched)}', ','), pair)"
-    signed = (
-        f"inline(concat(transform({pairs_sql('before')}, p -> named_struct('pair', p, 'sign', -1)), "
-        f"transform({pairs_sql('after')}, p -> named_struct('pair', p, 'sign', 1))))"
-    )
     return (
         words.selectExpr(f"{merged_sql('syms', pending)} AS before", "n")
         .where(touches_sql("before", [p for p, _ in batch]))
         .selectExpr("before", f"{merged_sql('before', batch)} AS after", "n")
-        .selectExpr(signed, "n")
+        .selectExpr("inline(array(named_struct('syms', before, 'n', -n), named_struct('syms', after, 'n', n)))")
+        .selectExpr(f"explode({pairs_around_sql('syms', lefts, rights)}) AS pair", "n")
         .groupBy("pair")
-        .agg(F.expr("sum(sign * n) AS n"))
+        .agg(F.sum("n").alias("n"))
         .where(f"n <> 0 AND ({wanted})")
         .collect()
     )
