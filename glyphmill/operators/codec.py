@@ -16,7 +16,7 @@ from glyphmill.functions.merging import batch_ids
 from glyphmill.functions.normalize import NORMALIZERS
 from glyphmill.functions.pieces import SPACE_MARK, find_all, text_pieces
 from glyphmill.model import BpeModel, added_contents, bounded_rows
-from glyphmill.operators.counts import corpus_pieces, symbol_text
+from glyphmill.operators.counts import symbol_text
 from glyphmill.operators.vocabulary import pad_id
 
 
@@ -145,11 +145,12 @@ def build_training_rows(
 
 def dropped_symbols(df: DataFrame, model: BpeModel, text: str = "text") -> DataFrame:
     """(symbol, n): symbols no vocabulary entry covers, which encoding leaves out."""
-    profile = model.profile
-    pieces = df.select(F.explode(corpus_pieces(F.col(text), profile)).alias("piece"))
-    symbols = pieces.select(F.explode(find_all(symbol_text(F.col("piece"), profile), "(?s).")).alias("symbol"))
+    profile, contents = model.profile, added_contents(model)
+    pieces = F.explode(text_pieces(F.col(text), profile.normalizer, profile.splitter, contents)).alias("piece")
+    plain = df.select(pieces).where(~F.col("piece").isin(contents))
+    symbols = plain.select(F.explode(find_all(symbol_text(F.col("piece"), profile), "(?s).")).alias("symbol"))
     counts = symbols.groupBy("symbol").agg(F.count("*").alias("n"))
-    known = model.vocab.where(F.col("kind").isin("byte", "char", "merge")).select(F.col("token").alias("symbol"))
+    known = model.vocab.where(F.col("kind").isin("byte", "char")).select(F.col("token").alias("symbol"))
     return counts.join(known, "symbol", "left_anti")
 
 

@@ -27,7 +27,7 @@ from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_arou
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
 from glyphmill.operators.counts import apply_merges, char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
 from glyphmill.operators.vocabulary import char_model_tables, model_tables
-from glyphmill.session import spread, written
+from glyphmill.session import WorkTables, spread
 
 HELD_PAIRS = 4096
 PENDING_MERGES = 24
@@ -134,6 +134,7 @@ def learn_merges(
     words: DataFrame,
     state: MergeState,
     room: int,
+    work: WorkTables,
     min_frequency: int = 1,
 ) -> list[tuple[str, str]]:
     """Up to ``room`` new tokens over coded words (syms, n).
@@ -184,7 +185,9 @@ def learn_merges(
             rebuilds += 1
             rebuilt = apply_merges(words, pending)
             if rebuilds % WRITE_EVERY == 0:
-                rebuilt = spread(written(rebuilt, "words"))
+                rebuilt = spread(work.write(rebuilt, "words"))
+                if len(work.paths) > 2:
+                    work.drop()
             # Filled by the next round; the table before it stays until then.
             tables.append(rebuilt.persist(StorageLevel.MEMORY_AND_DISK))
             words, pending = rebuilt, []
@@ -226,15 +229,16 @@ def train_bpe(
 
     ``max_merges`` limits the learned tokens instead of the vocabulary as a whole.
     """
-    pieces = written(piece_counts(spread(df.select(text)), profile, text), "pieces")
-    seen = [r.symbol for r in char_alphabet(pieces, profile).collect()]
-    alphabet = sorted(VISIBLE) if profile.full_byte_alphabet else seen
-    tokens = list(dict.fromkeys([*profile.specials, *alphabet]))
-    ids = {t: i for i, t in enumerate(tokens)}
-    state = MergeState(tokens, ids)
-    words = coded_words(pieces, profile, alphabet, [ids[s] for s in alphabet])
-    room = vocab_size - len(tokens) if max_merges is None else max_merges
-    learn_merges(words, state, room, min_frequency)
+    with WorkTables(df.sparkSession) as work:
+        pieces = work.write(piece_counts(df, profile, text), "pieces")
+        seen = [r.symbol for r in char_alphabet(pieces, profile).collect()]
+        alphabet = sorted(VISIBLE) if profile.full_byte_alphabet else sorted(seen)
+        tokens = list(dict.fromkeys([*profile.specials, *alphabet]))
+        ids = {t: i for i, t in enumerate(tokens)}
+        state = MergeState(tokens, ids)
+        words = coded_words(pieces, profile, alphabet, [ids[s] for s in alphabet])
+        room = vocab_size - len(tokens) if max_merges is None else max_merges
+        learn_merges(words, state, room, work, min_frequency)
     return model_tables(df.sparkSession, state, profile, alphabet)
 
 
@@ -258,15 +262,6 @@ def train_char_bpe(
     Ties go to the shorter, then the lexically smaller piece; pieces longer than the
     profile's limit are never made.
     """
-    # Lines are the training sentences, so no piece spans a line break.
-    lines = spread(df.select(text)).select(F.explode(F.split(F.col(text), r"\n")).alias(text))
-    pieces = written(piece_counts(lines, profile, text), "pieces")
-    rows = char_alphabet(pieces, profile, coverage).collect()
-    chars = [r.symbol for r in sorted(rows, key=lambda r: (-r.n, r.symbol))]
-    room = vocab_size - 1 - len(profile.specials) - 256 - len(chars) if max_merges is None else max_merges
-    if room < 0:
-        raise ValueError("vocab_size is smaller than the characters, byte tokens and user symbols need")
-
     def order(pair: str, n: int, state: MergeState) -> tuple:
         piece = state.text(pair)
         return (-n, len(piece), piece)
@@ -274,7 +269,16 @@ def train_char_bpe(
     def allowed(pair: str, state: MergeState) -> bool:
         return profile.max_piece is None or len(state.text(pair)) <= profile.max_piece
 
-    state = MergeState(list(chars), {c: i for i, c in enumerate(chars)}, order, allowed)
-    words = coded_words(pieces, profile, chars, range(len(chars)))
-    learn_merges(words, state, room)
+    # Lines are the training sentences, so no piece spans a line break.
+    lines = df.select(F.explode(F.split(F.col(text), r"\n")).alias(text))
+    with WorkTables(df.sparkSession) as work:
+        pieces = work.write(piece_counts(lines, profile, text), "pieces")
+        rows = char_alphabet(pieces, profile, coverage).collect()
+        chars = [r.symbol for r in sorted(rows, key=lambda r: (-r.n, r.symbol))]
+        room = vocab_size - 1 - len(profile.specials) - 256 - len(chars) if max_merges is None else max_merges
+        if room < 0:
+            raise ValueError("vocab_size is smaller than the characters, byte tokens and user symbols need")
+        state = MergeState(list(chars), {c: i for i, c in enumerate(chars)}, order, allowed)
+        words = coded_words(pieces, profile, chars, range(len(chars)))
+        learn_merges(words, state, room, work)
     return char_model_tables(df.sparkSession, state, profile, chars)

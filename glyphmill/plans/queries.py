@@ -38,6 +38,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """Columns of ``documents`` over all cores, even where the file has a single split."""
+    return spread(documents(spark, sf_dir).select(*columns))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
 
@@ -51,7 +56,7 @@ def _cached(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Bpe
 
 def corpus_model(spark: SparkSession, sf_dir: str) -> BpeModel:
     return _cached(
-        spark, sf_dir, "documents", lambda: training.train_bpe(documents(spark, sf_dir), None, max_merges=MERGES)
+        spark, sf_dir, "documents", lambda: training.train_bpe(texts(spark, sf_dir, "text"), None, max_merges=MERGES)
     )
 
 
@@ -67,7 +72,7 @@ def other_model(spark: SparkSession, sf_dir: str) -> BpeModel:
 
 def char_model(spark: SparkSession, sf_dir: str) -> BpeModel:
     return _cached(
-        spark, sf_dir, "characters", lambda: training.train_char_bpe(documents(spark, sf_dir), None, max_merges=CHAR_MERGES)
+        spark, sf_dir, "characters", lambda: training.train_char_bpe(texts(spark, sf_dir, "text"), None, max_merges=CHAR_MERGES)
     )
 
 
@@ -103,22 +108,21 @@ def s3_read_text(spark, sf_dir):
     return _line_counts(readers.read_text(spark, path, strip=True))
 
 
-def _as_json_arrays(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One JSON array per partition, one object per line."""
-    opening = "["
-    for batch in rows:
-        out = []
-        for line in batch.column(0).to_pylist():
-            out.append(opening + line)
-            opening = ","
-        yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
-    yield pa.record_batch([pa.array(["]" if opening == "," else "[]"])], names=["value"])
-
-
 def s4_read_json_array(spark, sf_dir):
+    def as_array(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One JSON array per partition, one object per line."""
+        opening = "["
+        for batch in rows:
+            out = []
+            for line in batch.column(0).to_pylist():
+                out.append(opening + line)
+                opening = ","
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+        yield pa.record_batch([pa.array(["]" if opening == "," else "[]"])], names=["value"])
+
     path = new_path(spark, "arrays")
-    objects = spread(documents(spark, sf_dir)).select(F.to_json(F.struct(F.col("text").alias("completion"), "doc_id")))
-    objects.mapInArrow(_as_json_arrays, "value string").write.text(path)
+    objects = texts(spark, sf_dir, F.to_json(F.struct(F.col("text").alias("completion"), "doc_id")))
+    objects.mapInArrow(as_array, "value string").write.text(path)
     return readers.read_json_array(spark, path, "completion").groupBy("text").agg(F.count("*").alias("n"))
 
 
@@ -205,16 +209,16 @@ def _list_out(df: DataFrame, key: str, items: Column) -> DataFrame:
 
 
 def p1_split_pieces(spark, sf_dir):
-    return _list_out(spread(documents(spark, sf_dir)), "doc_id", pieces.split_pieces(F.col("text")))
+    return _list_out(texts(spark, sf_dir, "doc_id", "text"), "doc_id", pieces.split_pieces(F.col("text")))
 
 
 def p2_byte_symbols(spark, sf_dir):
-    found = counts.piece_counts(spread(documents(spark, sf_dir).select("text")), BYTE_LEVEL)
+    found = counts.piece_counts(texts(spark, sf_dir, "text"), BYTE_LEVEL)
     return _list_out(found, "piece", pieces.byte_symbols(F.col("piece")))
 
 
 def p3_split_digits(spark, sf_dir):
-    return _list_out(spread(documents(spark, sf_dir)), "doc_id", pieces.split_digits(F.col("text")))
+    return _list_out(texts(spark, sf_dir, "doc_id", "text"), "doc_id", pieces.split_digits(F.col("text")))
 
 
 def p4_split_special(spark, sf_dir):
@@ -223,7 +227,7 @@ def p4_split_special(spark, sf_dir):
 
 
 def p5_piece_counts(spark, sf_dir):
-    return counts.piece_counts(spread(documents(spark, sf_dir).select("text")), BYTE_LEVEL)
+    return counts.piece_counts(texts(spark, sf_dir, "text"), BYTE_LEVEL)
 
 
 def p6_char_alphabet(spark, sf_dir):
@@ -234,7 +238,7 @@ def p6_char_alphabet(spark, sf_dir):
 
 def p7_streaming_piece_counts(spark, sf_dir):
     folder, out, mark = (new_path(spark, label) for label in ("input", "counts", "progress"))
-    spread(documents(spark, sf_dir).select("text")).write.parquet(folder)
+    texts(spark, sf_dir, "text").write.parquet(folder)
     stream = corpus.stream_corpus(spark, folder, "parquet")
     corpus.start_piece_counts(stream, BYTE_LEVEL, out, mark).awaitTermination()
     return corpus.streamed_piece_counts(spark, out)
@@ -334,7 +338,7 @@ def v4_vocab_size(spark, sf_dir):
 
 def v5_compare_vocab(spark, sf_dir):
     rows = codec.compare_vocab(
-        corpus_model(spark, sf_dir), other_model(spark, sf_dir), spread(documents(spark, sf_dir).select("doc_id", "text"))
+        corpus_model(spark, sf_dir), other_model(spark, sf_dir), texts(spark, sf_dir, "doc_id", "text")
     )
     names = ["first_ids", "first_tokens", "second_ids", "second_tokens"]
     return rows.select("doc_id", *[joined(n).alias(n) for n in names])
@@ -344,7 +348,7 @@ def v5_compare_vocab(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    docs = texts(spark, sf_dir, "doc_id", "text", "lang", "source")
     return codec.encode(docs, corpus_model(spark, sf_dir))
 
 
@@ -361,7 +365,7 @@ def e1_encode(spark, sf_dir):
 
 
 def e2_tokenize(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir, "doc_id", "text")
     rows = codec.tokenize(docs, corpus_model(spark, sf_dir))
     return rows.select("doc_id", joined("tokens").alias("tokens"))
 
@@ -383,7 +387,7 @@ def e5_pad(spark, sf_dir):
 
 
 def _training_rows(spark, sf_dir) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return codec.build_training_rows(docs, corpus_model(spark, sf_dir), MAX_LENGTH)
 
 
@@ -392,18 +396,18 @@ def e6_training_rows(spark, sf_dir):
 
 
 def e7_dropped_symbols(spark, sf_dir):
-    return codec.dropped_symbols(spread(documents(spark, sf_dir).select("text")), other_model(spark, sf_dir))
+    return codec.dropped_symbols(texts(spark, sf_dir, "text"), other_model(spark, sf_dir))
 
 
 def e8_roundtrip_check(spark, sf_dir):
     """With the second corpus's alphabet, so that some texts do lose bytes."""
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return codec.roundtrip_check(docs, other_model(spark, sf_dir)).select("doc_id", "same")
 
 
 def e9_streaming_encode(spark, sf_dir):
     folder, out, mark = (new_path(spark, label) for label in ("input", "rows", "progress"))
-    spread(documents(spark, sf_dir).select("doc_id", "text")).write.parquet(folder)
+    texts(spark, sf_dir, "doc_id", "text").write.parquet(folder)
     stream = corpus.stream_corpus(spark, folder, "parquet", "doc_id long, text string")
     corpus.start_encode(stream, corpus_model(spark, sf_dir), out, mark, MAX_LENGTH).awaitTermination()
     return _rows_out(spark.read.parquet(out))
@@ -413,7 +417,7 @@ def e9_streaming_encode(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    docs = texts(spark, sf_dir, "doc_id", "text", "source")
     return lengths.token_lengths(docs, corpus_model(spark, sf_dir)).drop("text")
 
 
@@ -446,7 +450,7 @@ def a5_recommended_max_length(spark, sf_dir):
 
 
 def a6_compression_rate(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("lang", "text"))
+    docs = texts(spark, sf_dir, "lang", "text")
     rates = lengths.compression_rate(docs, corpus_model(spark, sf_dir), by="lang")
     ratios = [six(c) for c in ("chars_per_token", "chars_per_row", "tokens_per_row")]
     return rates.select("lang", "n_rows", "n_chars", "n_tokens", *ratios)
@@ -455,7 +459,7 @@ def a6_compression_rate(spark, sf_dir):
 def a7_skip_bad_files(spark, sf_dir):
     """A broken file among the shards is reported and left out of the totals."""
     root = new_path(spark, "shards")
-    spread(documents(spark, sf_dir).select("text")).write.parquet(root)
+    texts(spark, sf_dir, "text").write.parquet(root)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{root}/broken.parquet")
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)

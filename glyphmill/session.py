@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of long texts stay small whatever the number of rows in them.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -51,10 +53,41 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class WorkTables:
+    """Tables written for the length of one job and dropped with it.
+
+    ``drop`` lets a long loop give back a table as soon as a newer one has replaced it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "WorkTables":
+        return self
+
+    def __exit__(self, *error) -> None:
+        while self.paths:
+            self.drop()
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Drop the oldest table."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than the session has cores.
+    """Use every core when a table has fewer splits than the session has cores.
 
-    A large input has many more splits than cores and passes through unshuffled.
+    A large table has many more splits than cores and passes through unshuffled.  For plain
+    scans only: asking a shuffled frame for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
