@@ -18,36 +18,34 @@ MEMO_PIECES = 200_000
 MEMO_LENGTH = 64
 
 
-def merge_symbols(symbols: list, rank) -> list:
-    """Merge neighbours while ``rank(left, right)`` knows a pair: lowest (rank, position) first.
+def merge_symbols(symbols: list, find) -> list:
+    """Merge neighbours while ``find(pair)`` knows one: lowest (rank, position) first.
 
-    ``rank`` gives ``(rank, merged)`` or None.
+    ``find`` gives ``(rank, merged)`` or None.
     """
-    size = len(symbols)
-    before, after = list(range(-1, size - 1)), list(range(1, size + 1))
     heap = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < size:
-            found = rank(symbols[i], symbols[j])
-            if found is not None:
-                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
-
-    for i in range(size - 1):
-        offer(i)
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        found = find(pair)
+        if found is not None:
+            heap.append((found[0], i, pair, found[1]))
+    if not heap:
+        return symbols
+    heapq.heapify(heap)
+    size = len(symbols)
+    before, after = list(range(-1, size)), list(range(1, size + 1))
     while heap:
-        _, i, left, right, merged = heapq.heappop(heap)
+        _, i, pair, merged = heapq.heappop(heap)
         j = after[i]
-        if j >= size or symbols[i] != left or symbols[j] != right:
-            continue
+        if j >= size or symbols[i] != pair[0] or symbols[j] != pair[1]:
+            continue  # one side has been merged away since
         symbols[i], symbols[j] = merged, None
-        after[i] = after[j]
-        if after[j] < size:
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
+        after[i], before[after[j]] = after[j], i
+        for left in (before[i], i):
+            if left >= 0 and after[left] < size:
+                pair = (symbols[left], symbols[after[left]])
+                found = find(pair)
+                if found is not None:
+                    heapq.heappush(heap, (found[0], left, pair, found[1]))
     return [s for s in symbols if s is not None]
 
 
@@ -59,16 +57,16 @@ def piece_ids(piece: str, tables: dict) -> list[int]:
         ids = [i for i in map(tables["byte_ids"].__getitem__, piece.encode()) if i is not None]
         if len(ids) < 2:
             return ids
-        ranks = tables["ranks"]
-        return merge_symbols(ids, lambda a, b: ranks.get((a, b)))
+        return merge_symbols(ids, tables["ranks"].get)
     scores, ids, byte_ids, unk = tables["scores"], tables["ids"], tables["byte_ids"], tables["unk"]
 
-    def rank(a: str, b: str):
-        score = scores.get(a + b)
-        return None if score is None else (-score, a + b)
+    def find(pair: tuple):
+        text = pair[0] + pair[1]
+        score = scores.get(text)
+        return None if score is None else (-score, text)
 
     out = []
-    for token in merge_symbols(list(piece), rank):
+    for token in merge_symbols(list(piece), find):
         if token in ids:
             out.append(ids[token])
         else:

@@ -491,7 +491,7 @@ ORACLES = {
         f"SELECT conv_id, string_agg((CASE WHEN turn = f AND role <> 'system' THEN {S} || 'system' || {NL} || {quoted(DEFAULT_SYSTEM)} || {E} ELSE '' END) || {S} || role || {NL} || text || {E}, '' ORDER BY turn) || {ASK} AS prompt "
         "FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations) GROUP BY conv_id"
     ),
-    "c3_last_query_turn": "SELECT conv_id, coalesce(max(turn) FILTER (role = 'user'), max(turn)) AS last_query_turn FROM conversations GROUP BY conv_id",
+    "c3_last_query_turn": "SELECT conv_id, coalesce(max(turn) FILTER (role = 'user' AND (turn + conv_id) % 3 <> 0), max(turn)) AS last_query_turn FROM conversations GROUP BY conv_id",
     "c4_split_reasoning_text": f"SELECT conv_id, turn, {reasoning('content')} AS reasoning, {answer('content')} AS answer FROM {THINKING}",
     "c5_tools": f"WITH {chat_ctes(TOOLED)} SELECT conv_id, prompt FROM ch",
     "c6_encode_chat": f"{DOCS}, {chat_ctes(PLAIN, ASK)}, {chat_encoded()} SELECT conv_id, {text_of('ids')} AS input_ids FROM cx",

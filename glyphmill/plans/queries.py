@@ -64,7 +64,7 @@ def other_model(spark: SparkSession, sf_dir: str) -> BpeModel:
     """The same profile retrained on the second corpus."""
 
     def build() -> BpeModel:
-        base = BpeModel(None, None, None, BYTE_LEVEL)
+        base = corpus_model(spark, sf_dir)
         return training.retrain_like(base, table(spark, sf_dir, "benchmark"), None, max_merges=OTHER_MERGES)
 
     return _cached(spark, sf_dir, "benchmark", build)
@@ -193,7 +193,9 @@ def n1_normalize_nfc(spark, sf_dir):
 
 
 def n2_normalize_nfkc_strip(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", normalize.normalize_nfkc_strip(F.col("text")).alias("text"))
+    """Over texts given ligatures and separate marks, which the form takes back out."""
+    given = F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("."), F.lit(".\u20dd"))
+    return documents(spark, sf_dir).select("doc_id", normalize.normalize_nfkc_strip(given).alias("text"))
 
 
 def n3_normalize_decompose_strip(spark, sf_dir):
@@ -525,7 +527,11 @@ def c2_render_chat_simple(spark, sf_dir):
 
 
 def c3_last_query_turn(spark, sf_dir):
-    return chat.last_query_turn(turns(spark, sf_dir))
+    """With every third user message wrapped as a tool response."""
+    wrapped = (F.col("role") == "user") & (F.pmod(F.col("turn") + F.col("conv_id"), F.lit(3)) == 0)
+    content = F.concat(F.lit("<tool_response>"), "content", F.lit("</tool_response>"))
+    rows = turns(spark, sf_dir)
+    return chat.last_query_turn(rows.withColumn("content", F.when(wrapped, content).otherwise(F.col("content"))))
 
 
 def _thinking(spark, sf_dir) -> DataFrame:

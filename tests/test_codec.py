@@ -56,7 +56,7 @@ def test_fixed_length_rows(spark, tiny):
 
 def test_lowest_rank_first():
     ranks = {("abc", "d"): (0, "abcd"), ("b", "c"): (1, "bc"), ("a", "bc"): (2, "abc")}
-    assert merge_symbols(list("abcd"), lambda a, b: ranks.get((a, b))) == ["abcd"]
+    assert merge_symbols(list("abcd"), ranks.get) == ["abcd"]
 
 
 def test_overlap(spark):
