@@ -57,14 +57,18 @@ def last_query_turn(turns: DataFrame) -> DataFrame:
 
 
 def with_positions(turns: DataFrame) -> DataFrame:
-    """Add first_turn, last_turn, last_query_turn and the neighbouring roles to every turn."""
-    blocked = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    """Add first_turn, last_turn, last_query_turn, after_tool and before_tool to every turn.
+
+    Neighbours matter only as tool or not, and a boolean keeps the summary a hash aggregate.
+    """
+    is_tool = F.coalesce(F.col("role") == "tool", F.lit(False))
+    blocked = turns.withColumns({"block": F.floor(F.col("turn") / BLOCK), "_tool": is_tool})
     query = F.when(is_query(F.col("role"), F.col("content")), F.col("turn"))
     blocks = blocked.groupBy("conv_id", "block").agg(
         F.min("turn").alias("_from"),
         F.max("turn").alias("_to"),
-        F.min_by("role", "turn").alias("_opens"),
-        F.max_by("role", "turn").alias("_closes"),
+        F.min_by("_tool", "turn").alias("_opens"),
+        F.max_by("_tool", "turn").alias("_closes"),
         F.max(query).alias("_query"),
     )
     along = Window.partitionBy("conv_id").orderBy("block")
@@ -72,8 +76,8 @@ def with_positions(turns: DataFrame) -> DataFrame:
     blocks = blocks.select(
         "conv_id",
         "block",
-        F.lag("_closes").over(along).alias("_before"),
-        F.lead("_opens").over(along).alias("_after"),
+        F.lag("_closes", 1, False).over(along).alias("_before"),
+        F.lead("_opens", 1, False).over(along).alias("_after"),
         F.min("_from").over(whole).alias("first_turn"),
         F.max("_to").over(whole).alias("last_turn"),
         F.coalesce(F.max("_query").over(whole), F.max("_to").over(whole)).alias("last_query_turn"),
@@ -82,10 +86,10 @@ def with_positions(turns: DataFrame) -> DataFrame:
     joined = blocked.join(blocks, ["conv_id", "block"])
     return joined.withColumns(
         {
-            "previous_role": F.coalesce(F.lag("role").over(inside), F.col("_before")),
-            "next_role": F.coalesce(F.lead("role").over(inside), F.col("_after")),
+            "after_tool": F.coalesce(F.lag("_tool").over(inside), F.col("_before")),
+            "before_tool": F.coalesce(F.lead("_tool").over(inside), F.col("_after")),
         }
-    ).drop("_before", "_after")
+    ).drop("_before", "_after", "_tool")
 
 
 def _with_optional(turns: DataFrame) -> DataFrame:
@@ -120,10 +124,10 @@ def tools_header(tools: Column, first_role: Column, first_content: Column) -> Co
     )
 
 
-def tool_results(content: Column, previous_role: Column, next_role: Column) -> Column:
+def tool_results(content: Column, after_tool: Column, before_tool: Column) -> Column:
     """A tool turn; neighbouring tool turns share one user block."""
-    opening = F.when(previous_role.eqNullSafe("tool"), "").otherwise(f"{START}user")
-    closing = F.when(next_role.eqNullSafe("tool"), "").otherwise(f"{END}\n")
+    opening = F.when(after_tool, "").otherwise(f"{START}user")
+    closing = F.when(before_tool, "").otherwise(f"{END}\n")
     return F.concat(opening, F.lit("\n<tool_response>\n"), content, F.lit("\n</tool_response>"), closing)
 
 
@@ -167,7 +171,7 @@ def render_parts(
     body = (
         F.when((role == "user") | ((role == "system") & ~first), _message(role, content))
         .when(role == "assistant", _assistant(content, last, F.col("turn") > F.col("last_query_turn")))
-        .when(role == "tool", tool_results(content, F.col("previous_role"), F.col("next_role")))
+        .when(role == "tool", tool_results(content, F.col("after_tool"), F.col("before_tool")))
         .otherwise("")
     )
     closing = F.when(last, _prompt(add_generation_prompt, enable_thinking)).otherwise("")

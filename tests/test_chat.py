@@ -141,3 +141,22 @@ def test_reasoning_split_decodes(spark):
     df = encode(texts(spark, "ask<think>\nwhy\n</think>\n\nyes<|im_end|>"), model, out="output_ids")
     row = chat.split_reasoning_ids(df, model, think_end, F.lit(3)).first()
     assert (row.reasoning, row.answer) == ("why", "yes")
+
+
+def test_one_conversation_with_most_turns(spark):
+    """Five thousand turns in one conversation, far past a block, equal plain Python."""
+    roles = ["user", "assistant", "tool", "tool"]
+    rows = [(1, i * 3, roles[i % 4], f"m{i}") for i in range(5000)] + [(2, 0, "user", "q"), (2, 5, "tool", "r")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string").repartition(16)
+    got = {r.conv_id: r.prompt for r in chat.render_chat(df).collect()}
+    parts = []
+    for i in range(5000):
+        role = roles[i % 4]
+        if role == "tool":
+            parts.append(("<|im_start|>user" if i % 4 == 2 else "") + f"\n<tool_response>\nm{i}\n</tool_response>")
+            parts.append(E if i % 4 == 3 or i == 4999 else "")
+        else:
+            parts.append(f"<|im_start|>{role}\nm{i}{E}")
+    # The last query is turn 4996; the answer after it is not the last message and has no reasoning.
+    assert got[1] == "".join(parts)
+    assert got[2] == f"{U}q{E}<|im_start|>user\n<tool_response>\nr\n</tool_response>{E}"

@@ -71,8 +71,9 @@ def test_no_query_uses_a_cross_join(spark, sf_small):
 
 def test_chat_windows_stay_within_blocks(spark, sf_small):
     text = plan(chat.render_parts(queries.turns(spark, sf_small)))
-    turn_windows = [line for line in text.split("\n") if re.search(r"Window \[.*lag\(role", line)]
+    turn_windows = [line for line in text.split("\n") if re.search(r"Window \[.*lag\(_tool", line)]
     assert turn_windows and all("block" in line for line in turn_windows)
+    assert "SortAggregate" not in text
 
 
 def test_spread_leaves_enough_splits_alone(spark):

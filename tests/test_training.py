@@ -1,13 +1,13 @@
 """Training against hand-checked results and, where installed, an independent trainer."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from glyphmill.fixed import SPECIAL_TOKENS
 from glyphmill.functions.pieces import VISIBLE
 from glyphmill.model import BYTE_LEVEL, DIGITS_ONLY, Profile
 from glyphmill.operators import training
-from glyphmill.operators.training import train_bpe
+from glyphmill.operators.codec import encode
+from glyphmill.operators.training import retrain_like, train_bpe
 
 TINY = Profile("tiny", specials=("<|endoftext|>", "<|im_start|>"))
 
@@ -103,6 +103,32 @@ def test_same_result_for_any_partitioning(spark, documents):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_digits_profile(spark):
-    model = train_bpe(texts(spark, "ab12ab 12ab"), 60, 1, DIGITS_ONLY)
-    assert all(not any(ch.isdigit() for ch in r.merged) for r in model.merges.collect())
+def test_digits_profile_matches_independent_trainer(spark, documents):
+    """Compatibility form, marks stripped, single digits, everything between them one piece."""
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers import models, normalizers, pre_tokenizers, trainers
+
+    small = documents.limit(25)
+    extra = texts(spark, "ab12ab 12ab é नि ½").select("text")
+    corpus = small.select("text").union(extra)
+    tok = tokenizers.Tokenizer(models.BPE())
+    tok.normalizer = normalizers.Sequence([normalizers.NFKC(), normalizers.StripAccents()])
+    tok.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    trainer = trainers.BpeTrainer(vocab_size=150, special_tokens=list(DIGITS_ONLY.specials), show_progress=False)
+    tok.train_from_iterator([r.text for r in corpus.collect()], trainer=trainer)
+    want = [tuple(m) for m in json.loads(tok.to_str())["model"]["merges"]]
+    model = train_bpe(corpus, 150, 0, DIGITS_ONLY)
+    assert merges_of(model) == want
+    rows = [r.text for r in small.orderBy("doc_id").collect()]
+    got = [r.input_ids for r in encode(small, model).orderBy("doc_id").collect()]
+    assert got == [e.ids for e in tok.encode_batch(rows)]
+
+
+def test_retraining_keeps_the_profile(spark):
+    model = train_bpe(texts(spark, "ab ab"), 100, 1, TINY)
+    again = retrain_like(model, texts(spark, "cd cd"), 100)
+    assert again.profile == TINY and merges_of(again) == [("c", "d")]
