@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphmill.fixed import FORMATS
+from glyphmill.session import written
 
 _BAD = "_corrupt_record"
 
@@ -125,10 +126,22 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = False, on_bad:
 
 
 def read_good_files(spark: SparkSession, root: str, schema: str = "text string") -> tuple[DataFrame, DataFrame]:
-    """Rows of the readable parquet files, and (path) of the files that were left out."""
+    """Rows of the parquet files that read to the end, and (path, source_file) of the others.
+
+    A file may break after its first rows, so a file counts as good only if reading its text
+    gives as many rows as its footer states; a broken one is left out whole.
+    """
     reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").schema(schema)
-    rows = _with_file(reader.parquet(root))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select("path")
-    names = listed.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"))
-    seen = rows.groupBy("source_file").agg(F.count("*").alias("n"))
-    return rows, names.join(seen, "source_file", "left_anti").select("path", "source_file")
+    path = F.col("_metadata.file_path").alias("path")
+    rows = reader.parquet(root)
+    # Without data columns only footers are read.
+    stated = rows.select(path).groupBy("path").agg(F.count("*").alias("n"))
+    size = F.sum(F.octet_length("text"))
+    found = rows.select(path, "text").groupBy("path").agg(F.count("*").alias("n"), size.alias("n_bytes"))
+    # The condition on the bytes keeps the text from being pruned away unread.
+    whole = stated.join(found, ["path", "n"]).where("n > 0 AND coalesce(n_bytes, 0) >= 0")
+    good = written(whole.select("path"), "good-files")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select(path)
+    bad = listed.join(good, "path", "left_anti").withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+    kept = _with_file(rows.withColumn("path", F.col("_metadata.file_path"))).join(good, "path", "left_semi")
+    return kept.drop("path"), bad

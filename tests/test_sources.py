@@ -100,13 +100,23 @@ def test_write_lines(spark, tmp_path):
     assert values(readers.read_text(spark, f"{tmp_path}/l")) == ["a", "b", "c"]
 
 
-def test_bad_files_are_left_out(spark, tmp_path):
+def test_bad_files_are_left_out_whole(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
     root = f"{tmp_path}/shards"
-    spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1).write.parquet(root)
+    os.makedirs(root)
+    for name in ("good", "torn"):
+        rows = pa.table({"text": [f"{name} {i} " + "x" * (i % 50) for i in range(20_000)]})
+        pq.write_table(rows, f"{root}/{name}.parquet", row_group_size=5_000)
     put(f"{root}/broken.parquet", "not parquet at all")
+    with open(f"{root}/torn.parquet", "r+b") as f:
+        f.seek(os.path.getsize(f.name) * 2 // 3)
+        f.write(b"\xff" * 4_000)
     rows, left_out = readers.read_good_files(spark, root)
-    assert values(rows) == ["a", "b"]
-    assert [r.source_file for r in left_out.collect()] == ["broken.parquet"]
+    assert sorted(r.source_file for r in left_out.collect()) == ["broken.parquet", "torn.parquet"]
+    got = rows.groupBy(F.split("text", " ")[0].alias("name"), "source_file").count().collect()
+    assert [tuple(r) for r in got] == [("good", "good.parquet", 20_000)]
 
 
 def test_model_survives_saving(spark, documents, tmp_path):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_training import texts
 
 from glyphmill.fixed import SPECIAL_TOKENS
-from glyphmill.functions import normalize, pieces
+from glyphmill.functions import normalize, pieces, symbols
 from glyphmill.model import BYTE_LEVEL
 from glyphmill.operators.counts import char_alphabet, piece_counts
 
@@ -111,3 +111,20 @@ def test_alphabet_coverage(spark):
     assert whole == [("a", 4), ("b", 2), ("c", 1), ("Ġ", 2)]
     some = [r.symbol for r in char_alphabet(counts, BYTE_LEVEL, 0.6).orderBy("position").collect()]
     assert some == ["a", "b"]
+
+
+def test_symbols_beyond_the_basic_plane(spark):
+    """Ids past 55,000 skip the surrogates and need two code units each."""
+    ids = [0, 55_000, 55_039, 55_040, 70_000, 151_935, symbols.MAX_SYMBOLS - 1]
+    codes = [symbols.code_char(i) for i in ids]
+    assert [symbols.symbol_id(c) for c in codes] == ids and codes == sorted(codes)
+    a, b, c = codes[4:]
+    df = spark.createDataFrame([(a + b + a + b + c,), (codes[0] + a,)], "syms string")
+    pairs = [r.p for r in df.selectExpr(f"{symbols.pairs_sql('syms')} AS p").collect()]
+    assert pairs == [[a + b, b + a, a + b, b + c], [codes[0] + a]]
+    around = df.selectExpr(f"{symbols.pairs_around_sql('syms', b, c)} AS p").collect()
+    assert [r.p for r in around] == [[b + a, b + c], []]
+    merged = df.selectExpr(f"{symbols.merged_sql('syms', [(a + b, codes[3]), (codes[3] + c, codes[2])])} AS s").collect()
+    assert [r.s for r in merged] == [codes[3] + codes[2], codes[0] + a]
+    with pytest.raises(ValueError):
+        symbols.code_char(symbols.MAX_SYMBOLS)
