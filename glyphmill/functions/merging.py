@@ -77,16 +77,19 @@ def piece_ids(piece: str, tables: dict) -> list[int]:
 
 def batch_ids(pieces: pa.Array, tables: dict) -> pa.Array:
     """list<string> to list<int32>, row by row, encoding each distinct piece once."""
-    memo = tables["memo"]
-    if len(memo) > MEMO_PIECES:
-        memo.clear()
+    if len(tables["memo"]) > MEMO_PIECES:
+        # Frequent pieces come back from the older half; the rest is forgotten at the next turn.
+        tables["older"], tables["memo"] = tables["memo"], {}
+    memo, older = tables["memo"], tables["older"]
     lengths = np.asarray(pieces.value_lengths().fill_null(0))
     coded = pieces.flatten().dictionary_encode()
     distinct = []
     for piece in coded.dictionary.to_pylist():
         ids = memo.get(piece)
         if ids is None:
-            ids = piece_ids(piece, tables)
+            ids = older.get(piece)
+            if ids is None:
+                ids = piece_ids(piece, tables)
             if len(piece) <= MEMO_LENGTH:
                 memo[piece] = ids
         distinct.append(ids)

@@ -24,7 +24,7 @@ def _tables(model: BpeModel) -> dict:
     vocab = bounded_rows(model.vocab)
     added = {r.content: r.token_id for r in bounded_rows(model.added_tokens)}
     plain = {r.token: r.token_id for r in vocab}
-    tables = {"symbols": model.profile.symbols, "fixed": added, "memo": {}, "byte_ids": [None] * 256}
+    tables = {"symbols": model.profile.symbols, "fixed": added, "memo": {}, "older": {}, "byte_ids": [None] * 256}
     if model.profile.symbols == "bytes":
         merges = bounded_rows(model.merges.orderBy("rank"))
         tables["ranks"] = {}

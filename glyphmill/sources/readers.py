@@ -112,7 +112,7 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = False, on_bad:
         if name == "jsonl":
             df = _jsonl(reader, root, on_bad, "text string")
         elif name == "json":
-            df = reader.option("multiLine", True).schema("text string").json(root)
+            df = reader.option("multiLine", True).option("mode", "FAILFAST").schema("text string").json(root)
         elif name == "csv":
             df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(root)
         elif name == "text":

@@ -115,3 +115,19 @@ def test_compare(spark, tiny, documents):
 def test_nulls_stay_null(spark, tiny):
     df = spark.createDataFrame([(0, None), (1, "ab")], "doc_id long, text string")
     assert ids(encode(df, tiny)) == [None, [9]]
+
+
+def test_memo_turnover_changes_nothing(spark, documents, monkeypatch):
+    import pyarrow as pa
+
+    from glyphmill.functions import merging
+
+    ranks = {(97, 98): (0, 256), (256, 256): (1, 257)}
+    tables = {"symbols": "bytes", "fixed": {"<s>": 999}, "memo": {}, "older": {}, "byte_ids": list(range(256)), "ranks": ranks}
+    rows = [["abab", "<s>", "a"], None, [], ["abab", "x" * 100, "ab"]]
+    first = merging.batch_ids(pa.array(rows, pa.list_(pa.string())), tables).to_pylist()
+    assert first == [[257, 999, 97], None, [], [257, *[120] * 100, 256]]
+    monkeypatch.setattr(merging, "MEMO_PIECES", 1)
+    sliced = pa.array([["zz"], *rows], pa.list_(pa.string())).slice(1)
+    for _ in range(3):
+        assert merging.batch_ids(sliced, tables).to_pylist() == first
