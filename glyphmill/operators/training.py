@@ -30,8 +30,8 @@ from glyphmill.operators.vocabulary import char_model_tables, model_tables
 from glyphmill.session import WorkTables, spread
 
 HELD_PAIRS = 4096
-PENDING_MERGES = 24
-WRITE_EVERY = 8
+PENDING_MERGES = 8
+WRITE_EVERY = 12
 _LOWEST = (0, "")
 
 
