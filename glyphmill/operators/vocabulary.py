@@ -26,7 +26,7 @@ _BYTE_OF = {c: b for b, c in enumerate(VISIBLE)}
 UNK = "<unk>"
 
 
-def _hex_of_visible(token: str) -> str:
+def hex_of_visible(token: str) -> str:
     return bytes(_BYTE_OF[c] for c in token).hex().upper()
 
 
@@ -40,7 +40,7 @@ def model_tables(spark: SparkSession, state, profile: Profile, alphabet: Sequenc
     vocab = []
     for i, token in enumerate(state.tokens):
         kind = "special" if token in specials else "byte" if token in letters else "merge"
-        vocab.append((token, i, kind, None, _hex_of_text(token) if kind == "special" else _hex_of_visible(token)))
+        vocab.append((token, i, kind, None, _hex_of_text(token) if kind == "special" else hex_of_visible(token)))
     merges = [(r, state.text(p[0]), state.text(p[1]), state.text(m)) for r, (p, m) in enumerate(state.merges)]
     added = [(state.ids[s], s, True) for s in profile.specials]
     return BpeModel(

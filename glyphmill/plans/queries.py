@@ -283,7 +283,7 @@ def t3_apply_merges(spark, sf_dir):
         steps.append((codes[r.left] + codes[r.right], codes[r.merged]))
     symbols = training.coded(pieces.visible_bytes(F.col("piece")), letters, range(len(letters)))
     done = counts.apply_merges(found.select("piece", symbols.alias("syms")), steps)
-    hexes = F.split(F.lit(",".join(vocabulary._hex_of_visible(t) for t in codes)), ",")
+    hexes = F.split(F.lit(",".join(vocabulary.hex_of_visible(t) for t in codes)), ",")
     first = ord(training.code_char(0))
     tokens = F.transform(F.split("syms", ""), lambda c: F.element_at(hexes, F.ascii(c) - first + 1))
     return done.select("piece", joined(tokens).alias("tokens"))
