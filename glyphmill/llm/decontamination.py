@@ -202,7 +202,8 @@ def scanned(docs: DataFrame, automaton: ItemAutomaton, text: str) -> DataFrame:
                 out.append({"n_words": len(words), "hit_runs": _runs(hit), "items": sorted({sam.names[i] for i in items})})
             yield pa.array(out, kind)
 
-    return docs.withColumn("_hits", hits(F.col(text)))
+    # Declared so that it runs once per row, not once for a filter and once for the columns.
+    return docs.withColumn("_hits", hits.asNondeterministic()(F.col(text)))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -283,7 +284,8 @@ def _cleaner(shared, min_words: int, max_coverage: float):
                 rows.append({"text": None if null else text.decode(), "keep": keep})
             yield pa.array(rows, to_arrow_type(kind))
 
-    return cleaned
+    # Declared so that it runs once per row, not once for the filter and once for the columns.
+    return cleaned.asNondeterministic()
 
 
 def decontaminate(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontamination, mixing, sharding
+from glyphmill.llm import decontamination, mixing, sharding, simhash
 from glyphmill.llm.common import table
 
 
@@ -31,10 +31,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES = {
