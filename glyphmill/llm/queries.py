@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from glyphmill.llm import decontamination, mixing, sharding, simhash
-from glyphmill.llm.common import table
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from glyphmill.llm import decontamination, mixing, secrets, sharding, simhash, toxicity
+from glyphmill.llm.common import crc_mod, table
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learn from the rows that are not held out."""
+    return toxicity.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0), labels)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score_documents(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "offences",
+    )
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +55,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _only(kind: int) -> Callable[[Column], Column]:
+    return lambda k: F.when(k == kind, k)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    n = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    digest = F.sha2(F.encode(secrets.written_spans(F.col("base")), "UTF-8"), 256)
+    return found.select("doc_id", *n, digest.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
