@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontamination, mixing, secrets, sharding, simhash, toxicity
+from glyphmill.llm import decontamination, mixing, quality, secrets, sharding, simhash, toxicity
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -55,6 +55,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def _only(kind: int) -> Callable[[Column], Column]:
     return lambda k: F.when(k == kind, k)
 
@@ -73,9 +78,11 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op7_quality": quality.ORACLE,
 }
