@@ -83,7 +83,7 @@ def load_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     return {r.virtual_slot: r.shard for r in rows.collect()}
 
 
-def place(rows: DataFrame, placed: dict[int, int]) -> Column:
+def place(placed: dict[int, int]) -> Column:
     """The shard of ``virtual_slot`` under a map, as a lookup in a constant array of fixed length."""
     shards = ",".join(str(placed[k]) for k in range(len(placed)))
     return F.element_at(F.split(F.lit(shards), ","), F.col("virtual_slot") + 1).cast("int")
@@ -111,7 +111,7 @@ def shard_documents(
     if placed is None:
         placed = first_map(slot_bytes(rows), shards, slots)
     # Rows are numbered within their slot; the slots of a shard follow one another.
-    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("_n")).withColumn("shard", place(rows, placed))
+    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("_n")).withColumn("shard", place(placed))
     ahead = F.sum("_n").over(W.partitionBy("shard").orderBy("virtual_slot")) - F.col("_n")
     starts = counts.select("virtual_slot", "shard", ahead.alias("_ahead"))
     inside = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
@@ -120,3 +120,13 @@ def shard_documents(
         .join(F.broadcast(starts), "virtual_slot")
         .select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("_ahead") + F.col("_at")).cast("long").alias("slot"))
     )
+
+
+def sharded_rows(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``virtual_slot`` and ``shard`` (in place of columns of these names); texts are not moved."""
+    sizes = named(docs, doc_id=id_col, text=text_col).select(
+        virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"), record_size(F.col("text")).alias("size")
+    )
+    placed = first_map(slot_bytes(sizes), shards, slots)
+    rows = docs.withColumn("virtual_slot", virtual_slot(docs[f"`{id_col}`"], slots))
+    return rows.withColumn("shard", place(placed))
