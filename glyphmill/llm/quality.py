@@ -36,29 +36,47 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """``w`` (words) to ``n_repeat_words``: words in 3-word windows that occur twice or more in the text.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column of an earlier projection may be put in place of its name when a filter is pushed
+    down, and would then be computed anew for every element of an array; a lambda's variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeated_words(words: Column) -> Column:
+    """Number of words in 3-word windows that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash within one text.  Sorting them puts equal ones side by
     side, so the work grows with n log n; texts whose windows all differ are not sorted.
     """
-    rows = rows.withColumn(
-        "_h",
-        F.when(
-            F.size("w") >= 3,
-            F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))),
-        ),
-    )
-    ordered = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered)).drop("_h")
-    twice = F.filter("_s", lambda e, k: F.coalesce(e["h"] == F.get("_s", k - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get("_s", k + 1)["h"], F.lit(False)))
-    rows = rows.withColumn("_at", F.sort_array(F.transform(twice, lambda e: e["i"]))).drop("_s")
-    covered = F.aggregate(
-        "_at",
-        F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")),
-        lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")),
-    )
-    return rows.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0).cast("long"))).drop("_at")
+
+    def hashes(w: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.size(w) - 2)
+        return F.transform(spots, lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+
+    def ordered(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def twice(s: Column) -> Column:
+        def same(e: Column, at: Column) -> Column:
+            return F.coalesce(e["h"] == F.get(s, at)["h"], F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(s, lambda e, k: same(e, k - 1) | same(e, k + 1)), lambda e: e["i"]))
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            at,
+            F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")),
+            lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")),
+            lambda a: a["n"],
+        )
+
+    def counted(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(ordered(h), lambda s: covered(twice(s)))).otherwise(F.lit(0).cast("long"))
+
+    return _let(words, lambda w: F.when(F.size(w) >= 3, _let(hashes(w), counted)).otherwise(F.lit(0).cast("long")))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +84,6 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = named(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("w", F.filter(F.split("text", SPACES), lambda x: x != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
-    rows = _repeats(rows)
     return rows.select(
         "doc_id",
         "text",
@@ -75,7 +92,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         signs_in(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        repeated_words(F.col("w")).alias("n_repeat_words"),
     )
 
 
@@ -89,13 +106,14 @@ def cascade_order(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULE
     The time of a rule is that of a pass over the kept sample, less that of a pass without rules.
     """
     total = docs.count()
-    sample = measured(docs.sample(min(1.0, rows / max(1, total)), seed=7), **columns).where(~base_failed()).persist()
+    sample = measured(docs.sample(min(1.0, rows / max(1, total)), seed=7), **columns).persist()
     try:
-        kept = max(1, sample.count())
+        passed = sample.where(~base_failed())
+        kept = max(1, passed.count())
 
         def run(rule: Column) -> tuple[float, int]:
             start = time.perf_counter()
-            n = sample.agg(F.count_if(rule)).first()[0]
+            n = passed.agg(F.count_if(rule)).first()[0]
             return time.perf_counter() - start, n
 
         run(F.lit(False))
