@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Space, tab, line feed, vertical tab, form feed, carriage return: what ``bytes.split`` splits at.
@@ -38,7 +39,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 <<
     """Cut record batches so that the texts of one hold about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
-        sizes = np.asarray(pa.compute.binary_length(batch.column(at)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(at)).fill_null(0), dtype=np.int64)
         if not len(sizes):
             continue
         part = np.cumsum(sizes) // most

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontamination, mixing, quality, secrets, sharding, simhash, toxicity
+from glyphmill.llm import decontamination, extraction, mixing, quality, secrets, sharding, simhash, toxicity
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -60,6 +60,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extraction.extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "importance")
+
+
 def _only(kind: int) -> Callable[[Column], Column]:
     return lambda k: F.when(k == kind, k)
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op9_extraction": op9_extraction,
     "op10_secrets": op10_secrets,
 }
 
