@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, toxicity
+from glyphmill.llm import decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -64,6 +64,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
+
+
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extraction.extract(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "importance")
@@ -89,6 +93,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_substrings": op8_substrings,
     "op9_extraction": op9_extraction,
     "op10_secrets": op10_secrets,
 }
