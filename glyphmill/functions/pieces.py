@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from glyphmill.fixed import DIGIT_PATTERN, PIECE_PATTERN
-from glyphmill.functions.normalize import NORMALIZERS
+from glyphmill.functions.normalize import NORMALIZERS, normalized_segments
 
 SPACE_MARK = "▁"
 
@@ -74,30 +75,25 @@ def split_special(col: Column, contents: Sequence[str]) -> Column:
 
 
 # --- character profile -------------------------------------------------------------------
-# Scripts whose runs may form a piece; kana counts as Han. Anything else runs by itself.
-# fixed values: Unicode script names
-SCRIPTS = [
-    "Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana", "Devanagari",
-    "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala",
-    "Thai", "Lao", "Tibetan", "Myanmar", "Georgian", "Hangul", "Ethiopic", "Cherokee", "Khmer", "Mongolian",
-]
+def _scripts() -> list[str]:
+    """All scripts that the JVM knows, but for common and inherited signs and Han with kana, which count as one."""
+    every = SparkSession.active().sparkContext._jvm.java.lang.Character.UnicodeScript.values()
+    return [str(x) for x in every if str(x) not in ("COMMON", "INHERITED", "UNKNOWN", "HAN", "HIRAGANA", "KATAKANA")]
 
 
-def _word_pattern() -> str:
+@cache
+def word_pattern() -> str:
     digit = r"0-9\x{ff10}-\x{ff19}"
-    han = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30fc}"
-    scripts = [rf"\p{{Is{s}}}" for s in SCRIPTS] + [han]
+    kana_mark = r"\x{30fc}"
+    scripts = [rf"\p{{Is{s}}}" for s in _scripts()] + [rf"\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}{kana_mark}"]
     runs = [rf"[{s}][{s}\p{{IsInherited}}]*+" for s in scripts]
-    runs.append(rf"[^{''.join(scripts)}{digit}{SPACE_MARK}]++")
+    runs.append(rf"[\p{{IsCommon}}\p{{IsInherited}}\p{{IsUnknown}}&&[^{digit}{kana_mark}{SPACE_MARK}]]++")
     return rf"[{digit}]|{SPACE_MARK}?(?:{'|'.join(runs)})|{SPACE_MARK}"
 
 
-WORD_PATTERN = _word_pattern()
-
-
 def split_words(col: Column) -> Column:
     """Words led by the visible space, cut again where digits stand or the script changes."""
-    return find_all(F.translate(col, " ", SPACE_MARK), WORD_PATTERN)
+    return find_all(F.translate(col, " ", SPACE_MARK), word_pattern())
 
 
 SPLITTERS = {
@@ -113,14 +109,15 @@ def text_pieces(
 ) -> Column:
     """Special texts first, then normalise and split each remaining segment."""
 
-    def plain(segment: Column) -> Column:
-        return SPLITTERS[splitter](NORMALIZERS[normalizer](segment))
-
+    split = SPLITTERS[splitter]
     if not contents:
-        return plain(col)
+        return split(NORMALIZERS[normalizer](col))
+    special = col.rlike(_any_of(contents))
     fixed = F.array(*[F.lit(c) for c in contents])
-    segments = F.transform(
-        split_special(col, contents),
-        lambda s: F.when(F.array_contains(fixed, s), F.array(s)).otherwise(plain(s)),
+    segments = F.when(special, split_special(col, contents))
+    pieces = F.zip_with(
+        segments,
+        normalized_segments(segments, col, normalizer),
+        lambda s, n: F.when(F.array_contains(fixed, s), F.array(s)).otherwise(split(n)),
     )
-    return F.when(col.rlike(_any_of(contents)), F.flatten(segments)).otherwise(plain(col))
+    return F.when(special, F.flatten(pieces)).otherwise(split(NORMALIZERS[normalizer](F.when(~special, col))))
