@@ -31,8 +31,9 @@ SPECIAL_TOKENS = [
 ]
 ADDITIONAL_SPECIAL_TOKENS = SPECIAL_TOKENS[1:14]
 SMALL_SPECIAL_TOKENS = SPECIAL_TOKENS[:3]
-EOS_TOKEN = "<|im_end|>"
-PAD_TOKEN = "<|endoftext|>"
+# End of text, padding, additional tokens.
+CHAT_ROLES = ("<|im_end|>", "<|endoftext|>", ADDITIONAL_SPECIAL_TOKENS)
+PLAIN_ROLES = ("<|endoftext|>", "<|endoftext|>", ["<|im_start|>", "<|im_end|>"])
 THINK_END = "</think>"
 
 # --- fixed values: sizes -----------------------------------------------------------------
@@ -56,14 +57,12 @@ FORMATS = {
 }
 
 # --- fixed values: splitting patterns (Java syntax) --------------------------------------
-# Runs of letters and numbers first: no other alternative can start on one, so the order
-# does not change the result and the commonest case is tried first.
 PIECE_PATTERN = (
-    r"(?U)[\p{L}\p{N}]++"
-    r"|(?i:'s|'t|'re|'ve|'m|'ll|'d)"
+    r"(?U)(?i:'s|'t|'re|'ve|'m|'ll|'d)"
     r"|[^\r\n\p{L}\p{N}]?[^\s\p{L}\p{N}]++[\r\n]*+"
     r"|\s*[\r\n]+"
     r"|\s++"
+    r"|[\p{L}\p{N}]++"
 )
 DIGIT_PATTERN = r"\p{N}|[^\p{N}]++"
 

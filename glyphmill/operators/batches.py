@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphmill.fixed import CHECKPOINT_EVERY, IGNORED_LABEL
 from glyphmill.operators.lengths import hash_order
 
 _NO_INTS = "array<int>"
+GROUP_ROWS = 1 << 20
 
 
 def lm_labels(ids: Column, pad_token_id: int) -> Column:
@@ -43,15 +46,17 @@ def epoch_batches(
     workers: int,
     accumulation: int,
     key: str = "doc_id",
-    prefix: int = 3,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Every row's optimizer step, accumulation slot, worker and position in a seeded order.
 
     Ranks come from counts per hash prefix plus the rank inside the prefix, so no task sorts
     the whole table.  ``prefix`` hex digits give 16**prefix groups of near-equal size; that
-    number also bounds the offset table, which is broadcast.  Raise it to 4 or 5 beyond
-    some ten billion rows.
+    number, a million at most, also bounds the offset table, which is broadcast.  By default it
+    follows from the number of rows, so that a group holds about a million.
     """
+    if prefix is None:
+        prefix = min(5, max(1, math.ceil(math.log(max(1, df.count() / GROUP_ROWS), 16))))
     if not 1 <= prefix <= 5:
         raise ValueError("prefix must be 1 to 5 hex digits")
     tagged = df.withColumn("_order", hash_order(f"{seed}:{epoch}", key))

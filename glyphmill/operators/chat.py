@@ -32,16 +32,23 @@ def strip_newlines(col: Column) -> Column:
     return strip_right(strip_left(col))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is never expanded again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(reasoning: Column, answer: Column) -> Column:
+    return F.struct(reasoning.alias("reasoning"), answer.alias("answer"))
+
+
 def split_reasoning_text(col: Column) -> Column:
     """struct(reasoning, answer); text without a closing tag is all answer."""
-    parts = F.split(col, "</think>")
-    reasoning = strip_left(F.try_element_at(F.split(strip_right(F.try_element_at(parts, F.lit(1))), "<think>"), F.lit(-1)))
-    answer = strip_left(F.try_element_at(parts, F.lit(-1)))
-    has = col.contains("</think>")
-    return F.struct(
-        F.when(has, reasoning).otherwise(F.lit("")).alias("reasoning"),
-        F.when(has, answer).otherwise(col).alias("answer"),
-    )
+
+    def cut(parts: Column) -> Column:
+        before = strip_right(F.element_at(parts, 1))
+        return _parts(strip_left(F.element_at(F.split(before, "<think>"), -1)), strip_left(F.element_at(parts, -1)))
+
+    return F.when(col.contains("</think>"), _let(F.split(col, "</think>"), cut)).otherwise(_parts(F.lit(""), col))
 
 
 def is_query(role: Column, content: Column) -> Column:
@@ -137,16 +144,15 @@ def _message(role: Column, content: Column) -> Column:
 
 def _assistant(content: Column, last: Column, after_query: Column) -> Column:
     given = F.col("reasoning_content")
-    parts = split_reasoning_text(content)
-    reasoning = F.when(given.isNotNull(), given).otherwise(parts.reasoning)
-    answer = F.when(given.isNotNull(), content).otherwise(parts.answer)
-    thought = F.concat(
-        F.lit("<think>\n"), strip_newlines(reasoning), F.lit("\n</think>\n\n"), strip_left(answer)
-    )
-    shown = F.when(after_query & (last | (reasoning != "")), thought).otherwise(answer)
-    return F.concat(
-        F.lit(f"{START}assistant\n"), shown, tool_calls(F.col("tool_calls"), answer), F.lit(f"{END}\n")
-    )
+
+    def shown(parts: Column) -> Column:
+        reasoning, answer = parts["reasoning"], parts["answer"]
+        thought = F.concat(F.lit("<think>\n"), strip_newlines(reasoning), F.lit("\n</think>\n\n"), strip_left(answer))
+        text = F.when(after_query & (last | (reasoning != "")), thought).otherwise(answer)
+        return F.concat(F.lit(f"{START}assistant\n"), text, tool_calls(F.col("tool_calls"), answer), F.lit(f"{END}\n"))
+
+    parts = F.when(given.isNotNull(), _parts(given, content)).otherwise(split_reasoning_text(content))
+    return _let(parts, shown)
 
 
 def _prompt(add_generation_prompt: bool, enable_thinking: bool) -> str:
@@ -179,11 +185,13 @@ def render_parts(
 
 
 def render_simple_parts(turns: DataFrame, add_generation_prompt: bool = False) -> DataFrame:
+    """A null role or content counts as empty."""
     rows = with_positions(turns)
+    role, content = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "content"))
     first, last = F.col("turn") == F.col("first_turn"), F.col("turn") == F.col("last_turn")
-    opening = F.when(first & (F.col("role") != "system"), f"{START}system\n{DEFAULT_SYSTEM}{END}\n").otherwise("")
+    opening = F.when(first & (role != "system"), f"{START}system\n{DEFAULT_SYSTEM}{END}\n").otherwise("")
     closing = F.when(last, _prompt(add_generation_prompt, True)).otherwise("")
-    part = F.concat(opening, _message(F.col("role"), F.col("content")), closing)
+    part = F.concat(opening, _message(role, content), closing)
     return rows.select("conv_id", "block", "turn", part.alias("part"))
 
 

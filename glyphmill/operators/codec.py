@@ -15,18 +15,18 @@ from glyphmill.fixed import MAX_LENGTH
 from glyphmill.functions.merging import batch_ids
 from glyphmill.functions.normalize import NORMALIZERS
 from glyphmill.functions.pieces import SPACE_MARK, find_all, text_pieces
-from glyphmill.model import BpeModel, added_contents, bounded_rows
+from glyphmill.model import BpeModel, added_contents
 from glyphmill.operators.counts import symbol_text
 from glyphmill.operators.vocabulary import pad_id
 
 
 def _tables(model: BpeModel) -> dict:
-    vocab = bounded_rows(model.vocab)
-    added = {r.content: r.token_id for r in bounded_rows(model.added_tokens)}
+    vocab = model.rows("vocab")
+    added = {r.content: r.token_id for r in model.rows("added_tokens")}
     plain = {r.token: r.token_id for r in vocab}
     tables = {"symbols": model.profile.symbols, "fixed": added, "memo": {}, "older": {}, "byte_ids": [None] * 256}
     if model.profile.symbols == "bytes":
-        merges = bounded_rows(model.merges.orderBy("rank"))
+        merges = model.rows("merges")
         tables["ranks"] = {}
         for r in merges:
             tables["ranks"].setdefault((plain[r.left], plain[r.right]), (r.rank, plain[r.merged]))
@@ -76,14 +76,14 @@ def encode(df: DataFrame, model: BpeModel, text: str = "text", out: str = "input
 
 def id_table(model: BpeModel, column: str, skip_special: bool = False) -> Column:
     """A model column in hex as a constant array indexed by id; ids without a row are empty."""
-    hexed = F.col(column) if column == "token_hex" else F.hex(F.encode(column, "UTF-8"))
-    rows = bounded_rows(model.vocab.select("token_id", hexed.alias("v")))
+    rows = model.rows("vocab")
     hidden = set()
     if skip_special:
-        hidden = {r.token_id for r in bounded_rows(model.added_tokens.where("special"))}
+        hidden = {r.token_id for r in model.rows("added_tokens") if r.special}
     values = [""] * (max(r.token_id for r in rows) + 1)
     for r in rows:
-        values[r.token_id] = "" if r.token_id in hidden else r.v
+        own = r.token_hex if column == "token_hex" else r.token.encode().hex().upper()
+        values[r.token_id] = "" if r.token_id in hidden else own
     return F.split(F.lit(",".join(values)), ",")
 
 
@@ -138,18 +138,22 @@ def fixed_rows(df: DataFrame, max_length: int, pad_token_id: int, ids: str = "in
 def build_training_rows(
     df: DataFrame, model: BpeModel, max_length: int = MAX_LENGTH, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """(key, input_ids, attention_mask): encoded, cut and padded; other columns are gone."""
-    rows = encode(df.select(key, text), model, text).drop(text)
-    return fixed_rows(rows, max_length, pad_id(model))
+    """(key, input_ids, attention_mask, token_type_ids): encoded, cut and padded; other columns are gone.
+
+    Token types are zeros of full length, as for single texts.
+    """
+    rows = fixed_rows(encode(df.select(key, text), model, text).drop(text), max_length, pad_id(model))
+    return rows.withColumn("token_type_ids", F.array_repeat(F.lit(0), F.size("input_ids")))
 
 
 def dropped_symbols(df: DataFrame, model: BpeModel, text: str = "text") -> DataFrame:
     """(symbol, n): symbols no vocabulary entry covers, which encoding leaves out."""
     profile, contents = model.profile, added_contents(model)
     pieces = F.explode(text_pieces(F.col(text), profile.normalizer, profile.splitter, contents)).alias("piece")
-    plain = df.select(pieces).where(~F.col("piece").isin(contents))
-    symbols = plain.select(F.explode(find_all(symbol_text(F.col("piece"), profile), "(?s).")).alias("symbol"))
-    counts = symbols.groupBy("symbol").agg(F.count("*").alias("n"))
+    # Pieces are counted first, so that only distinct ones are cut into symbols.
+    plain = df.select(pieces).where(~F.col("piece").isin(contents)).groupBy("piece").agg(F.count("*").alias("n"))
+    symbols = plain.select(F.explode(find_all(symbol_text(F.col("piece"), profile), "(?s).")).alias("symbol"), "n")
+    counts = symbols.groupBy("symbol").agg(F.sum("n").alias("n"))
     known = model.vocab.where(F.col("kind").isin("byte", "char")).select(F.col("token").alias("symbol"))
     return counts.join(known, "symbol", "left_anti")
 

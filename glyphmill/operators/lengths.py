@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from glyphmill.fixed import HEADROOM, LENGTH_PERCENTILES, SAMPLE_ROWS_PER_FILE
 from glyphmill.model import BpeModel
 from glyphmill.operators.codec import encode
-from glyphmill.session import written
 
 
 def hash_order(seed: str, key: str) -> Column:
@@ -28,8 +27,6 @@ def sample_per_file(
     earlier = Window.partitionBy(file).orderBy("_bits").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     cutoffs = counts.where(F.col("_before") < n).groupBy(file).agg(F.max("_bits").alias("_cutoff"))
-    # Written, so the planner knows its true size and broadcasts it only if that is small.
-    cutoffs = written(cutoffs, "cutoffs")
     near = df.join(cutoffs, file).where(bits <= F.col("_cutoff")).drop("_cutoff")
     ranked = near.withColumn("_order", hash_order(seed, key))
     place = F.row_number().over(Window.partitionBy(file).orderBy("_order", key))

@@ -40,7 +40,7 @@ def expert_load(df: DataFrame, k: int, logits: str = "logits", mask: Column | No
 
     ``share`` is the part of tokens whose slot went to the expert, ``probability`` the
     expert's mean probability; imbalance is experts * sum(share * probability) and the same
-    on every row.  ``mask`` weighs rows, for padding.  Both sums combine map-side and leave
+    on every row.  ``mask`` weighs rows, for padding; where it leaves none, all three are null.  Both sums combine map-side and leave
     at most slots * experts rows.
     """
     weight = F.lit(1.0) if mask is None else mask.cast("double")
@@ -71,8 +71,8 @@ def expert_load(df: DataFrame, k: int, logits: str = "logits", mask: Column | No
         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"),
         "by_slot",
         "total",
-        (F.col("mass") / F.col("total")).alias("probability"),
-    ).withColumn("share", F.coalesce(F.try_element_at("by_slot", F.col("slot")), F.lit(0.0)) / F.col("total"))
+        F.try_divide("mass", "total").alias("probability"),
+    ).withColumn("share", F.try_divide(F.coalesce(F.try_element_at("by_slot", F.col("slot")), F.lit(0.0)), F.col("total")))
     # The window covers slots * experts rows, whatever the size of the log.
     everything = Window.partitionBy()
     imbalance = (F.max("expert").over(everything) + 1) * F.sum(F.col("share") * F.col("probability")).over(everything)

@@ -11,8 +11,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from glyphmill.fixed import ADDITIONAL_SPECIAL_TOKENS, EOS_TOKEN, PAD_TOKEN
-from glyphmill.functions.pieces import SPACE_MARK, VISIBLE
+from glyphmill.functions.pieces import SPACE_MARK, VISIBLE, split_special
 from glyphmill.model import (
     ADDED_SCHEMA,
     MERGES_SCHEMA,
@@ -120,12 +119,19 @@ def add_tokens(model: BpeModel, contents: Sequence[str]) -> BpeModel:
 
 
 def special_tokens_map(model: BpeModel) -> DataFrame:
-    """(role, content, token_id) for the end, padding and additional tokens."""
-    role = F.when(F.col("content") == EOS_TOKEN, "eos_token").when(F.col("content") == PAD_TOKEN, "pad_token")
-    named = model.added_tokens.select(role.alias("role"), "content", "token_id").where("role is not null")
-    extra = model.added_tokens.where(F.col("content").isin(ADDITIONAL_SPECIAL_TOKENS))
-    extra = extra.select(F.lit("additional_special_tokens").alias("role"), "content", "token_id")
-    return named.unionByName(extra)
+    """(role, content, token_id) for the end, padding and additional tokens of the model's profile."""
+    profile = model.profile
+    roles = [("eos_token", profile.eos), ("pad_token", profile.pad), *[("additional_special_tokens", t) for t in profile.additional]]
+    rows = small_table(model.spark, [r for r in roles if r[1] is not None], "role string, content string")
+    return rows.join(model.added_tokens.select("content", "token_id"), "content").select("role", "content", "token_id")
+
+
+def special_token_uses(model: BpeModel, df: DataFrame, text: str = "text") -> DataFrame:
+    """(role, content, token_id, n): how often each of them stands in the texts, cut longest first."""
+    contents = [r.content for r in model.rows("added_tokens")]
+    found = df.select(F.explode(split_special(F.col(text), contents)).alias("content")).where(F.col("content").isin(contents))
+    counts = found.groupBy("content").agg(F.count("*").alias("n"))
+    return special_tokens_map(model).join(counts, "content", "left").select("role", "content", "token_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def vocab_size(model: BpeModel) -> DataFrame:
@@ -142,11 +148,11 @@ def token_id(model: BpeModel, content: str) -> int:
 
 def pad_id(model: BpeModel) -> int:
     """Id of the padding token, or of the end token where no padding token is set."""
-    wanted = model.vocab.where(F.col("token").isin(PAD_TOKEN, EOS_TOKEN))
-    row = wanted.orderBy(F.when(F.col("token") == PAD_TOKEN, 0).otherwise(1)).select("token_id").first()
-    if row is None:
-        raise KeyError("neither a padding nor an end token")
-    return row.token_id
+    ids = {r.token: r.token_id for r in reversed(model.rows("vocab"))}
+    for token in (model.profile.pad, model.profile.eos):
+        if token in ids:
+            return ids[token]
+    raise KeyError("neither a padding nor an end token")
 
 
 def save_vocab(model: BpeModel, path: str) -> None:
@@ -154,10 +160,10 @@ def save_vocab(model: BpeModel, path: str) -> None:
     model.merges.write.parquet(f"{path}/merges")
     model.added_tokens.write.parquet(f"{path}/added_tokens")
     fields = asdict(model.profile)
-    row = {**fields, "specials": list(fields["specials"])}
+    row = {**fields, "specials": list(fields["specials"]), "additional": list(fields["additional"])}
     schema = (
         "name string, normalizer string, splitter string, symbols string, specials array<string>, "
-        "full_byte_alphabet boolean, max_piece int, protect_specials boolean"
+        "full_byte_alphabet boolean, max_piece int, protect_specials boolean, eos string, pad string, additional array<string>"
     )
     model.spark.createDataFrame([row], schema).write.parquet(f"{path}/profile")
 
@@ -168,5 +174,5 @@ def load_vocab(spark: SparkSession, path: str) -> BpeModel:
         spark.read.parquet(f"{path}/vocab"),
         spark.read.parquet(f"{path}/merges"),
         spark.read.parquet(f"{path}/added_tokens"),
-        Profile(**{**row, "specials": tuple(row["specials"])}),
+        Profile(**{**row, "specials": tuple(row["specials"]), "additional": tuple(row["additional"])}),
     )

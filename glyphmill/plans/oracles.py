@@ -132,7 +132,10 @@ def mask(n: int) -> str:
     )
 
 
-TRAINING_ROWS = f"SELECT doc_id, {text_of(padded(MAX_LENGTH))} AS input_ids, {text_of(mask(MAX_LENGTH))} AS attention_mask FROM x"
+TRAINING_ROWS = (
+    f"SELECT doc_id, {text_of(padded(MAX_LENGTH))} AS input_ids, {text_of(mask(MAX_LENGTH))} AS attention_mask, "
+    f"{text_of(f'list_transform(range({MAX_LENGTH}), lambda z: 0)')} AS token_type_ids FROM x"
+)
 
 LINES = "SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM {0}) GROUP BY text"
 STRIPPED = (
@@ -268,11 +271,19 @@ def decoded(ids: str) -> str:
 
 # --- character training ------------------------------------------------------------------
 
-SCRIPT_NAMES = [
-    "Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana", "Devanagari",
-    "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala",
-    "Thai", "Lao", "Tibetan", "Myanmar", "Georgian", "Hangul", "Ethiopic", "Cherokee", "Khmer", "Mongolian",
-]
+# fixed values: script names of the SQL engine's regular expressions
+SCRIPT_NAMES = (
+    "Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille Buginese Buhid "
+    "Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Chorasmian Coptic Cuneiform Cypriot Cyrillic Deseret Devanagari Dives_Akuru Dogra "
+    "Duployan Egyptian_Hieroglyphs Elbasan Elymaic Ethiopic Georgian Glagolitic Gothic Grantha Greek Gujarati Gunjala_Gondi Gurmukhi Hangul Hanifi_Rohingya "
+    "Hanunoo Hatran Hebrew Imperial_Aramaic Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kannada Kayah_Li Kharoshthi Khitan_Small_Script "
+    "Khmer Khojki Khudawadi Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Makasar Malayalam Mandaic Manichaean Marchen Masaram_Gondi "
+    "Medefaidrin Meetei_Mayek Mende_Kikakui Meroitic_Cursive Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean Nandinagari New_Tai_Lue "
+    "Newa Nko Nushu Nyiakeng_Puachue_Hmong Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_Sogdian Old_South_Arabian "
+    "Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian "
+    "Siddham SignWriting Sinhala Sogdian Sora_Sompeng Soyombo Sundanese Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut "
+    "Telugu Thaana Thai Tibetan Tifinagh Tirhuta Ugaritic Vai Wancho Warang_Citi Yezidi Yi Zanabazar_Square"
+).split()
 
 
 def words_pattern() -> str:
@@ -324,21 +335,24 @@ def quantiles(column: str) -> str:
 def routing_ctes(weight: str) -> str:
     """CTEs for router reports: pb(vec_id, w, expert, p) and tk(vec_id, w, slot, expert, p)."""
     return f"""
-      lg AS (SELECT vec_id, {weight} AS w, list_transform(embedding[1:8], lambda x: x::DOUBLE * 10) AS l FROM embeddings),
-      ex AS (SELECT vec_id, w, unnest(l) AS x, unnest(range(8)) AS expert, list_max(l) AS m FROM lg),
+      lg AS (SELECT vec_id, {weight} AS w, list_transform(embedding, lambda x: x::DOUBLE * 10) AS l FROM embeddings),
+      ex AS (SELECT vec_id, w, unnest(l) AS x, unnest(range(len(l))) AS expert, list_max(l) AS m FROM lg),
       pb AS MATERIALIZED (SELECT vec_id, w, expert, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS p FROM ex),
       tk AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, expert) - 1 AS slot FROM pb) WHERE slot < 4)"""
 
 
 def load_sql(weight: str) -> str:
     return f"""WITH {routing_ctes(weight)},
-      gr AS (SELECT s.slot, e.expert FROM (SELECT unnest(range(4)) AS slot) s, (SELECT unnest(range(8)) AS expert) e),
+      gr AS (SELECT s.slot, e.expert FROM (SELECT unnest(range(4)) AS slot) s, (SELECT DISTINCT expert FROM pb) e),
       sh AS (SELECT slot, expert, sum(w) AS f FROM tk GROUP BY slot, expert),
       pr AS (SELECT expert, sum(p * w) / sum(w) AS probability, sum(w) AS t FROM pb GROUP BY expert),
       ft AS (SELECT slot, expert, coalesce(f, 0) / t AS share, probability FROM gr LEFT JOIN sh USING (slot, expert) JOIN pr USING (expert))
       SELECT slot::INTEGER AS slot, expert::INTEGER AS expert, {six('share', 'share')}, {six('probability', 'probability')},
-      {six('(SELECT 8 * sum(share * probability) FROM ft)', 'imbalance')} FROM ft"""
+      {six('(SELECT count(DISTINCT expert) * sum(share * probability) FROM ft)', 'imbalance')} FROM ft"""
+
 
+ROLES = [("eos_token", "<|im_end|>", 2), ("pad_token", "<|endoftext|>", 0)]
+ROLES += [("additional_special_tokens", s, SPECIAL_TOKENS.index(s)) for s in ADDITIONAL_SPECIAL_TOKENS]
 
 ORDERED = (
     "SELECT doc_id, row_number() OVER (ORDER BY md5('42:1:' || doc_id), doc_id) - 1 AS shuffle_rank FROM documents"
@@ -354,13 +368,13 @@ ORACLES = {
     "s4_read_json_array": "SELECT text, count(*) AS n FROM documents GROUP BY text",
     "s5_read_csv": "SELECT doc_id, lang, text FROM documents",
     "s6_read_corpus": (
-        "SELECT 'parquet' AS format, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL "
-        "SELECT 'text', count(*), sum(length(t))::BIGINT FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) UNION ALL "
-        "SELECT 'csv', count(*), sum(length(text))::BIGINT FROM benchmark"
+        "SELECT format, text, count(*) AS n FROM (SELECT 'parquet' AS format, text FROM documents UNION ALL "
+        "SELECT 'text', unnest(string_split(text, chr(10))) FROM documents UNION ALL SELECT 'csv', text FROM benchmark UNION ALL "
+        "SELECT 'jsonl', text FROM conversations UNION ALL SELECT 'json', text FROM benchmark) GROUP BY format, text"
     ),
     "s7_require_text": "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents",
     "s8_write_jsonl": (
-        "SELECT source AS shard, '{\"doc_id\":' || d.doc_id || ',\"quality\":' || coalesce(quality::VARCHAR, 'null') || ',\"source\":\"' || source || '\"}' AS line "
+        "SELECT source AS shard, '{\"doc_id\":' || d.doc_id || ',\"quality\":' || coalesce(quality::VARCHAR, 'null') || ',\"source\":\"' || source || '\",\"text\":' || to_json(text) || '}' AS line "
         "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
     ),
     "s9_write_lines": LINES.format("conversations"),
@@ -411,8 +425,9 @@ ORACLES = {
         f"UNION ALL SELECT ((SELECT max(id) FROM v) + 1 + i)::INTEGER, s, false FROM (VALUES {values(list(enumerate(ACTIONS[:2])))}) t(i, s)"
     ),
     "v4_special_tokens_map": (
-        f"SELECT * FROM (VALUES {values([('eos_token', '<|im_end|>', 2), ('pad_token', '<|endoftext|>', 0)])}) t(role, content, token_id) UNION ALL "
-        f"SELECT * FROM (VALUES {values([('additional_special_tokens', s, SPECIAL_TOKENS.index(s)) for s in ADDITIONAL_SPECIAL_TOKENS])}) t(role, content, token_id)"
+        f"WITH {chat_ctes(PLAIN, ASK)}, us AS (SELECT seg AS content, count(*) AS n FROM (SELECT unnest({marked('prompt')}) AS seg FROM ch) GROUP BY seg), "
+        f"rl AS (SELECT * FROM (VALUES {values(ROLES)}) t(role, content, token_id)) "
+        "SELECT role, content, token_id, coalesce(n, 0)::BIGINT AS n FROM rl LEFT JOIN us USING (content)"
     ),
     "v4_vocab_size": (
         f"SELECT {N_SPECIAL + MERGES} + count(DISTINCT h) AS vocab_size FROM (SELECT unnest({HEX_BYTES.format('text')}) AS h FROM documents)"
@@ -455,7 +470,7 @@ ORACLES = {
     "a1_sample_per_file": f"SELECT doc_id, source FROM ({SAMPLE.format(42, 20)})",
     "a2_token_lengths": f"{CODED} SELECT doc_id, len(ids)::BIGINT AS n_tokens FROM x",
     "a3_length_stats_per_file": (
-        f"{CODED}, sm AS ({SAMPLE.format(7, 30)}), ln AS (SELECT source, len(ids)::BIGINT AS n FROM sm JOIN x USING (doc_id)) "
+        f"{CODED}, ln AS (SELECT source, len(ids)::BIGINT AS n FROM documents JOIN x USING (doc_id)) "
         f"SELECT source, count(*) AS count, min(n) AS min, max(n) AS max, {six('avg(n)', 'mean')}, {six('stddev_pop(n)', 'std')}, {quantiles('n')} FROM ln GROUP BY source"
     ),
     "a4_length_stats_global": (

@@ -6,9 +6,8 @@ Arrays are returned as joined strings, so a comparison sees every element in ord
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphmill.fixed import THINK_END
@@ -109,20 +108,11 @@ def s3_read_text(spark, sf_dir):
 
 
 def s4_read_json_array(spark, sf_dir):
-    def as_array(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One JSON array per partition, one object per line."""
-        opening = "["
-        for batch in rows:
-            out = []
-            for line in batch.column(0).to_pylist():
-                out.append(opening + line)
-                opening = ","
-            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
-        yield pa.record_batch([pa.array(["]" if opening == "," else "[]"])], names=["value"])
-
     path = new_path(spark, "arrays")
-    objects = texts(spark, sf_dir, F.to_json(F.struct(F.col("text").alias("completion"), "doc_id")))
-    objects.mapInArrow(as_array, "value string").write.text(path)
+    objects = documents(spark, sf_dir).select("source", F.struct(F.col("text").alias("completion"), "doc_id").alias("o"))
+    # One JSON array per hundredth of the documents, each a file of its own.
+    arrays = objects.groupBy(F.pmod(F.col("o.doc_id"), F.lit(100)).alias("part")).agg(F.to_json(F.collect_list("o")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
     return readers.read_json_array(spark, path, "completion").groupBy("text").agg(F.count("*").alias("n"))
 
 
@@ -139,10 +129,26 @@ def s6_read_corpus(spark, sf_dir):
     docs = documents(spark, sf_dir).select("text")
     docs.write.parquet(f"{root}/a")
     writers.write_lines(docs, "text", f"{root}/b")
-    out = table(spark, sf_dir, "benchmark").select("text").write.option("header", True).option("escape", '"')
-    out.option("quoteAll", True).csv(f"{root}/c")
+    items = table(spark, sf_dir, "benchmark").select("text")
+    items.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{root}/c")
+    said = table(spark, sf_dir, "conversations").select("text")
+    said.write.json(f"{root}/d0")
+    # JSON lines and JSON arrays differ by their file names, which the writer does not set.
+    renamed(spark, f"{root}/d0", f"{root}/d", ".jsonl")
+    items.agg(F.to_json(F.collect_list(F.struct("text"))).alias("value")).write.text(f"{root}/e0")
+    renamed(spark, f"{root}/e0", f"{root}/e", ".json")
     found = readers.read_corpus(spark, root, recursive=True)
-    return found.groupBy("format").agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+    return found.groupBy("format", "text").agg(F.count("*").alias("n"))
+
+
+def renamed(spark: SparkSession, folder: str, target: str, ending: str) -> None:
+    """Move the part files of a folder to another one, with another ending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(target))
+    for k, f in enumerate(files.globStatus(path(f"{folder}/part-*"))):
+        files.rename(f.getPath(), path(f"{target}/part-{k:05d}{ending}"))
+    files.delete(path(folder), True)
 
 
 def s7_require_text(spark, sf_dir):
@@ -153,7 +159,7 @@ def s8_write_jsonl(spark, sf_dir):
     path = new_path(spark, "shards")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = documents(spark, sf_dir).select("doc_id", "source", "text").join(labels, "doc_id", "left")
-    writers.write_jsonl(docs.select("doc_id", "quality", "source"), path, shard="source")
+    writers.write_jsonl(docs.select("doc_id", "quality", "source", "text"), path, shard="source")
     return spark.read.text(path).select("shard", F.col("value").alias("line"))
 
 
@@ -331,7 +337,9 @@ def v3_add_tokens(spark, sf_dir):
 
 
 def v4_special_tokens_map(spark, sf_dir):
-    return vocabulary.special_tokens_map(corpus_model(spark, sf_dir))
+    """The roles and how often each token stands in the rendered conversations."""
+    prompts = chat.render_chat(turns(spark, sf_dir), add_generation_prompt=True)
+    return vocabulary.special_token_uses(corpus_model(spark, sf_dir), prompts, "prompt")
 
 
 def v4_vocab_size(spark, sf_dir):
@@ -359,7 +367,8 @@ def _ids_out(df: DataFrame) -> DataFrame:
 
 
 def _rows_out(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
+    names = [c for c in ("input_ids", "attention_mask", "token_type_ids") if c in df.columns]
+    return df.select("doc_id", *[joined(c).alias(c) for c in names])
 
 
 def e1_encode(spark, sf_dir):
@@ -433,9 +442,7 @@ def a2_token_lengths(spark, sf_dir):
 
 
 def a3_length_stats_per_file(spark, sf_dir):
-    """Over a seeded sample of each file, as the length report does."""
-    docs = lengths.sample_per_file(documents(spark, sf_dir).select("doc_id", "source", "text"), 30, 7)
-    stats = lengths.length_stats_per_file(lengths.token_lengths(docs, corpus_model(spark, sf_dir)))
+    stats = lengths.length_stats_per_file(_lengths(spark, sf_dir))
     whole = [F.col(c).cast("long").alias(c) for c in ("count", "min", "max")]
     return stats.select("source", *whole, *[six(c) for c in ("mean", "std", "p50", "p75", "p90", "p95", "p99")])
 
@@ -467,9 +474,9 @@ def a7_skip_bad_files(spark, sf_dir):
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
     stream.write(bytearray(b"not a parquet file"))
     stream.close()
-    rows, left_out = readers.read_good_files(spark, root)
-    good = rows.agg(F.lit("read").alias("outcome"), F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
-    bad = left_out.groupBy(F.concat(F.lit("left out: "), "source_file").alias("outcome"))
+    whole = readers.good_file_totals(spark, root, [F.sum(F.length("text")).alias("n_chars")])
+    good = whole.agg(F.lit("read").alias("outcome"), F.sum("n_rows").alias("n"), F.sum("n_chars").alias("n_chars"))
+    bad = readers.bad_files(spark, root, whole.select("path")).groupBy(F.concat(F.lit("left out: "), "source_file").alias("outcome"))
     return good.unionByName(bad.agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_chars")))
 
 
@@ -589,7 +596,7 @@ def c7_split_reasoning_ids(spark, sf_dir):
 
 
 def _logits(spark, sf_dir) -> DataFrame:
-    values = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 10)
+    values = F.transform("embedding", lambda x: x.cast("double") * 10)
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", values.alias("logits"))
 
 

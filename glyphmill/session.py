@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,8 +43,30 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# A table of at most this many bytes may be dealt out anew for the sake of idle cores.
+SPREAD_BYTES = 256 << 20
+_folders: set[str] = set()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/glyphmill/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's own folder, which goes when the driver ends."""
+    folder = f"{work_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop_folder, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    try:
+        delete(spark, folder)
+    except Exception:  # the session has ended already; nothing can be reached any more
+        pass
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -78,16 +101,17 @@ class WorkTables:
 
     def drop(self) -> None:
         """Drop the oldest table."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.paths.pop(0))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a table has fewer splits than the session has cores.
+    """Use every core for a small table that has fewer splits than the session has cores.
 
-    A large table has many more splits than cores and passes through unshuffled.  For plain
-    scans only: asking a shuffled frame for its partitions would run it.
+    A file of one row group is one task, however many cores wait.  Only tables known to hold
+    at most ``SPREAD_BYTES`` are moved, whatever the number of cores; larger ones are read as
+    they are split.  For plain scans only: asking a shuffled frame for its partitions runs it.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphmill.fixed import FORMATS
-from glyphmill.session import written
 
 _BAD = "_corrupt_record"
 
@@ -40,8 +39,9 @@ def _jsonl(reader, paths: str | Sequence[str], on_bad: str, schema: str) -> Data
     df = _with_file(reader.schema(schema).json(paths))
     if on_bad == "present":
         return df.where("text is not null")
-    missing = F.raise_error(F.concat(F.lit("a line without text in "), F.col("source_file"))).cast("string")
-    return df.withColumn("text", F.coalesce(F.col("text"), missing))
+    # In a filter, so that no pruning of columns leaves the check out.
+    missing = F.raise_error(F.concat(F.lit("a line without text in "), F.col("source_file"))).cast("boolean")
+    return df.where(F.when(F.col("text").isNull(), missing).otherwise(F.lit(True)))
 
 
 def bad_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -125,23 +125,41 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = False, on_bad:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_good_files(spark: SparkSession, root: str, schema: str = "text string") -> tuple[DataFrame, DataFrame]:
-    """Rows of the parquet files that read to the end, and (path, source_file) of the others.
+def good_file_totals(spark: SparkSession, root: str, totals: Sequence[Column] = (), schema: str = "text string") -> DataFrame:
+    """(path, n_rows, totals) of the parquet files that read to the end, in one scan of their texts.
 
-    A file may break after its first rows, so a file counts as good only if reading its text
-    gives as many rows as its footer states; a broken one is left out whole.
+    The totals are aggregates over a file's rows.  A file may break after its first rows, so its
+    totals count only if its texts give as many rows as its footer states.
     """
     reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").schema(schema)
     path = F.col("_metadata.file_path").alias("path")
     rows = reader.parquet(root)
     # Without data columns only footers are read.
-    stated = rows.select(path).groupBy("path").agg(F.count("*").alias("n"))
-    size = F.sum(F.octet_length("text"))
-    found = rows.select(path, "text").groupBy("path").agg(F.count("*").alias("n"), size.alias("n_bytes"))
+    stated = rows.select(path).groupBy("path").agg(F.count("*").alias("n_rows"))
+    size = F.sum(F.octet_length("text")).alias("_bytes")
+    found = rows.select(path, *rows.columns).groupBy("path").agg(F.count("*").alias("n_rows"), size, *totals)
     # The condition on the bytes keeps the text from being pruned away unread.
-    whole = stated.join(found, ["path", "n"]).where("n > 0 AND coalesce(n_bytes, 0) >= 0")
-    good = written(whole.select("path"), "good-files")
+    return stated.join(found, ["path", "n_rows"]).where("n_rows > 0 AND coalesce(_bytes, 0) >= 0").drop("_bytes")
+
+
+def bad_files(spark: SparkSession, root: str, good: DataFrame) -> DataFrame:
+    """(path, source_file) of the parquet files that are not among ``good``."""
+    path = F.col("_metadata.file_path").alias("path")
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select(path)
-    bad = listed.join(good, "path", "left_anti").withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+    return listed.join(good, "path", "left_anti").withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+
+
+def read_good_files(spark: SparkSession, root: str, schema: str = "text string") -> tuple[DataFrame, DataFrame]:
+    """Rows of the parquet files that read to the end, and (path, source_file) of the others.
+
+    A file may break after its first rows, so a file counts as good only if reading its text
+    gives as many rows as its footer states; a broken one is left out whole.  The rows take a
+    second scan; ``good_file_totals`` gives totals in one.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").schema(schema)
+    path = F.col("_metadata.file_path").alias("path")
+    rows = reader.parquet(root)
+    good = good_file_totals(spark, root, schema=schema).select("path")
+    bad = bad_files(spark, root, good)
     kept = _with_file(rows.withColumn("path", F.col("_metadata.file_path"))).join(good, "path", "left_semi")
     return kept.drop("path"), bad
