@@ -28,6 +28,12 @@ def symbol_id(char: str) -> int:
     return point - _FIRST if point < _SURROGATES else point - _FIRST - 0x800
 
 
+def symbol_id_column(char: Column) -> Column:
+    """The id behind a code, as a column."""
+    point = F.ascii(char)
+    return point - _FIRST - F.when(point >= _SURROGATES, 0x800).otherwise(0)
+
+
 def coded(col: Column, symbols: Sequence[str], ids: Sequence[int]) -> Column:
     """Replace each one-character symbol by its code; symbols without an id vanish.
 

@@ -53,9 +53,9 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def top_pairs(pairs: DataFrame, k: int, min_frequency: int = 1) -> DataFrame:
-    """Most frequent first; ties by lower left id, then lower right id."""
-    return pairs.where(F.col("n") >= max(min_frequency, 1)).orderBy(F.desc("n"), "pair").limit(k)
+def top_pairs(pairs: DataFrame, k: int, min_frequency: int = 1, ties: Sequence[Column] = ()) -> DataFrame:
+    """Most frequent first; ties by the given columns, else by lower left id, then lower right id."""
+    return pairs.where(F.col("n") >= max(min_frequency, 1)).orderBy(F.desc("n"), *ties, "pair").limit(k)
 
 
 def apply_merges(words: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:

@@ -9,21 +9,25 @@ cheap while the merges stay those of one-at-a-time training:
   frequent than such a pair, which is itself ranked after the batch.
 * Counts by difference.  The driver holds exact counts for the pairs ranked above a bound.
   Old pairs never gain occurrences, so pairs below the bound stay below it; a round only
-  reports changes to held pairs and new pairs above the bound.  When none is left above the
-  bound, the pairs are counted afresh.
+  reports changes to held pairs and the best of the new pairs above the bound.  If there are
+  more new ones than the driver holds, the bound rises.  When none is left above the bound,
+  the pairs are counted afresh.
+
+Pairs are ranked, cut by length and limited in Spark, so no more than ``HELD_PAIRS`` beyond the
+held ones ever reach the driver, however many are tied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphmill.fixed import CHAR_VOCAB_SIZE, VOCAB_SIZE
 from glyphmill.functions.pieces import VISIBLE
-from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_around_sql, symbol_id, touches_sql
+from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_around_sql, symbol_id, symbol_id_column, touches_sql
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
 from glyphmill.operators.counts import apply_merges, char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
 from glyphmill.operators.vocabulary import char_model_tables, model_tables
@@ -32,29 +36,55 @@ from glyphmill.session import WorkTables, spread
 HELD_PAIRS = 4096
 PENDING_MERGES = 8
 WRITE_EVERY = 12
-_LOWEST = (0, "")
-
-
-def _rank(pair: str, n: int) -> tuple:
-    return (-n, pair)
 
 
 @dataclass
 class MergeState:
-    """What the driver knows: tokens by id, merges so far, and the held pair counts."""
+    """What the driver knows: tokens by id, merges so far, and the held pair counts.
+
+    ``by_text`` ranks ties by the shorter, then the smaller text, and ``longest`` limits it.
+    """
 
     tokens: list[str]
     ids: dict[str, int]
-    order: Callable[[str, int, "MergeState"], tuple] | None = None
-    allowed: Callable[[str, "MergeState"], bool] | None = None
+    by_text: bool = False
+    longest: int | None = None
     merges: list[tuple[str, str]] = field(default_factory=list)
     held: dict[str, int] = field(default_factory=dict)
-    bound: tuple[int, str] = _LOWEST
+    # The rank of the first pair that is not held; none if all are.
+    bound: tuple | None = None
     rounds: int = 0
 
     def text(self, chars: str) -> str:
         return "".join(self.tokens[symbol_id(c)] for c in chars)
 
+    def rank(self, pair: str, n: int) -> tuple:
+        if not self.by_text:
+            return (-n, pair)
+        text = self.text(pair)
+        return (-n, len(text), text, pair)
+
+    def above(self, pair: str, n: int) -> bool:
+        return self.bound is None or self.rank(pair, n) < self.bound
+
+    def ties(self) -> list[Column]:
+        """Columns that rank pairs of one count, before the pair itself."""
+        if not self.by_text:
+            return []
+        tokens = F.split(F.lit("\n".join(self.tokens)), "\n")
+        text = F.concat(*[F.element_at(tokens, symbol_id_column(F.substring("pair", k, 1)) + 1) for k in (1, 2)])
+        return [F.length(text), text]
+
+    def wanted(self) -> Column:
+        """Pairs that may be made and that rank above the bound."""
+        ties = self.ties()
+        short = ties[0] <= self.longest if ties and self.longest is not None else F.lit(True)
+        if self.bound is None:
+            return short
+        n = -self.bound[0]
+        here, there = F.struct(*ties, F.col("pair")), F.struct(*[F.lit(x) for x in self.bound[1:]])
+        return short & ((F.col("n") > n) | (F.col("n") == n) & (here < there))
+
 
 def _choose(state: MergeState, room: int, min_frequency: int) -> list[str]:
     """The longest safe batch of pairs in rank order."""
@@ -62,9 +92,8 @@ def _choose(state: MergeState, room: int, min_frequency: int) -> list[str]:
     ends: set[str] = set()
     texts: set[str] = set()
     floor, batch = max(min_frequency, 1), []
-    key = (lambda kv: state.order(kv[0], kv[1], state)) if state.order else (lambda kv: _rank(*kv))
-    for pair, n in sorted(state.held.items(), key=key):
-        if n < floor or len(batch) == room or not _above(pair, n, state):
+    for pair, n in sorted(state.held.items(), key=lambda kv: state.rank(*kv)):
+        if n < floor or len(batch) == room or not state.above(pair, n):
             break
         if pair[0] in ends or pair[1] in starts:
             break
@@ -80,43 +109,26 @@ def _choose(state: MergeState, room: int, min_frequency: int) -> list[str]:
         texts.add(text)
         if pair[0] == pair[1]:
             # Its product may meet itself, at most half as often.
-            floor = max(floor, n // 2 + (1 if state.order else 0))
+            floor = max(floor, n // 2 + (1 if state.by_text else 0))
     return batch
 
 
-def _above(pair: str, n: int, state: MergeState) -> bool:
-    bound_n, bound_pair = state.bound
-    if state.order:
-        return n > bound_n
-    return n > bound_n or (n == bound_n and pair < bound_pair)
-
-
 def _recount(words: DataFrame, state: MergeState, min_frequency: int) -> None:
-    counts = pair_counts(words)
-    kept = HELD_PAIRS
-    while True:
-        rows = top_pairs(counts, kept + 1, min_frequency).collect()
-        pairs = [(r.pair, r.n) for r in rows]
-        complete = len(pairs) <= kept
-        state.bound = _LOWEST if complete else (pairs[-1][1], pairs[-1][0])
-        state.held = {p: n for p, n in pairs[:kept] if state.allowed is None or state.allowed(p, state)}
-        if complete or any(_above(p, n, state) for p, n in state.held.items()):
-            return
-        kept *= 2  # everything held is tied with the bound or not allowed
+    state.bound = None
+    rows = top_pairs(pair_counts(words).where(state.wanted()), HELD_PAIRS + 1, min_frequency, state.ties()).collect()
+    pairs = [(r.pair, r.n) for r in rows]
+    state.held = dict(pairs[:HELD_PAIRS])
+    if len(pairs) > HELD_PAIRS:
+        state.bound = state.rank(*pairs[-1])
 
 
 def _changes(words: DataFrame, pending: list, batch: list, touched: list[str], state: MergeState) -> list:
-    """Net pair counts after a batch, for held pairs it touches and new pairs above the bound."""
+    """Net pair counts after a batch: all held pairs it touches, and the best new pairs above the bound."""
     # Other pairs of a changed word occur as often after as before.
     made = "".join(s for _, s in batch)
     lefts, rights = made + "".join(p[1] for p, _ in batch), made + "".join(p[0] for p, _ in batch)
-    bound_n, bound_pair = state.bound
-    above = f"n >= {max(bound_n, 1)}"
-    if bound_n and not state.order:
-        above = f"(n > {bound_n} OR n = {bound_n} AND pair < '{bound_pair}')"
-    wanted = f"(pair RLIKE '[{made}]' AND {above})"
-    if touched:
-        wanted += f" OR array_contains(split('{','.join(touched)}', ','), pair)"
+    known = F.array_contains(F.split(F.lit(",".join(touched)), ","), F.col("pair")) if touched else F.lit(False)
+    fresh = F.col("pair").rlike(f"[{made}]") & (F.col("n") > 0) & state.wanted()
     return (
         words.selectExpr(f"{merged_sql('syms', pending)} AS before", "n")
         .where(touches_sql("before", [p for p, _ in batch]))
@@ -125,11 +137,28 @@ def _changes(words: DataFrame, pending: list, batch: list, touched: list[str], s
         .selectExpr(f"explode({pairs_around_sql('syms', lefts, rights)}) AS pair", "n")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
-        .where(f"n <> 0 AND ({wanted})")
+        .where((F.col("n") != 0) & (known | fresh))
+        .withColumn("known", known)
+        .orderBy(F.desc("known"), F.desc("n"), *state.ties(), "pair")
+        .limit(len(touched) + HELD_PAIRS + 1)
         .collect()
     )
 
 
+def _take_in(rows: list, state: MergeState) -> None:
+    new = []
+    for row in rows:
+        if row.known:
+            state.held[row.pair] += row.n
+        else:
+            new.append((row.pair, row.n))
+    state.held.update(new[:HELD_PAIRS])
+    if len(new) > HELD_PAIRS:
+        # What was left out ranks from here on; held pairs below that are no longer known to be next.
+        state.bound = state.rank(*new[HELD_PAIRS])
+        state.held = {p: n for p, n in state.held.items() if state.above(p, n)}
+
+
 def learn_merges(
     words: DataFrame,
     state: MergeState,
@@ -143,14 +172,21 @@ def learn_merges(
     pile up, and written to the shared folder every few rebuilds so that a lost executor
     costs a short replay.
     """
-    words = spread(words).persist(StorageLevel.MEMORY_AND_DISK)
-    tables, pending, rebuilds = [words], [], 0
-    made = 0
+    tables = [spread(words).persist(StorageLevel.MEMORY_AND_DISK)]
+    try:
+        return _learn(tables, state, room, work, min_frequency)
+    finally:
+        for table in tables:
+            table.unpersist()
+
+
+def _learn(tables: list[DataFrame], state: MergeState, room: int, work: WorkTables, min_frequency: int) -> list[tuple[str, str]]:
+    words, pending, rebuilds, made = tables[0], [], 0, 0
     _recount(words, state, min_frequency)
     while made < room:
         batch = _choose(state, room - made, min_frequency)
         if not batch:
-            if state.bound == _LOWEST or state.bound[0] < max(min_frequency, 1):
+            if state.bound is None or -state.bound[0] < max(min_frequency, 1):
                 break
             _recount(apply_merges(words, pending), state, min_frequency)
             if not _choose(state, 1, min_frequency):
@@ -171,19 +207,15 @@ def learn_merges(
         if made < room and not reused:
             starts, ends = {p[0] for p in batch}, {p[1] for p in batch}
             touched = [p for p in state.held if p[1] in starts or p[0] in ends]
-            for row in _changes(words, pending, steps, touched, state):
-                known = state.held.get(row.pair)
-                if known is not None:
-                    state.held[row.pair] = known + row.n
-                elif state.allowed is None or state.allowed(row.pair, state):
-                    state.held[row.pair] = row.n
+            _take_in(_changes(words, pending, steps, touched, state), state)
             for pair in batch:
                 state.held.pop(pair, None)
             _trim(state)
         pending.extend(steps)
         if len(pending) >= PENDING_MERGES:
             rebuilds += 1
-            rebuilt = apply_merges(words, pending)
+            # A word that is one symbol has no pair left to give.
+            rebuilt = apply_merges(words, pending).where("length(syms) > 1")
             if rebuilds % WRITE_EVERY == 0:
                 rebuilt = spread(work.write(rebuilt, "words"))
                 if len(work.paths) > 2:
@@ -195,8 +227,6 @@ def learn_merges(
             tables.pop(0).unpersist()
         if reused:
             _recount(apply_merges(words, pending), state, min_frequency)
-    for table in tables:
-        table.unpersist()
     return state.merges
 
 
@@ -204,11 +234,9 @@ def _trim(state: MergeState) -> None:
     """Forget exhausted pairs and, when too many are held, the lowest ranked ones."""
     state.held = {p: n for p, n in state.held.items() if n > 0}
     if len(state.held) > 4 * HELD_PAIRS:
-        ranked = sorted(state.held.items(), key=lambda kv: _rank(*kv))
-        kept, cut = ranked[: 2 * HELD_PAIRS], ranked[2 * HELD_PAIRS]
-        if _rank(*cut) < (-state.bound[0], state.bound[1]) or state.bound == _LOWEST:
-            state.bound = (cut[1], cut[0])
-        state.held = dict(kept)
+        ranked = sorted(state.held.items(), key=lambda kv: state.rank(*kv))
+        state.bound = min(filter(None, (state.bound, state.rank(*ranked[2 * HELD_PAIRS]))))
+        state.held = dict(ranked[: 2 * HELD_PAIRS])
 
 
 def coded_words(pieces: DataFrame, profile: Profile, symbols: Sequence[str], ids: Sequence[int]) -> DataFrame:
@@ -262,13 +290,6 @@ def train_char_bpe(
     Ties go to the shorter, then the lexically smaller piece; pieces longer than the
     profile's limit are never made.
     """
-    def order(pair: str, n: int, state: MergeState) -> tuple:
-        piece = state.text(pair)
-        return (-n, len(piece), piece)
-
-    def allowed(pair: str, state: MergeState) -> bool:
-        return profile.max_piece is None or len(state.text(pair)) <= profile.max_piece
-
     # Lines are the training sentences, so no piece spans a line break.
     lines = df.select(F.explode(F.split(F.col(text), r"\n")).alias(text))
     with WorkTables(df.sparkSession) as work:
@@ -278,7 +299,7 @@ def train_char_bpe(
         room = vocab_size - 1 - len(profile.specials) - 256 - len(chars) if max_merges is None else max_merges
         if room < 0:
             raise ValueError("vocab_size is smaller than the characters, byte tokens and user symbols need")
-        state = MergeState(list(chars), {c: i for i, c in enumerate(chars)}, order, allowed)
+        state = MergeState(list(chars), {c: i for i, c in enumerate(chars)}, True, profile.max_piece)
         words = coded_words(pieces, profile, chars, range(len(chars)))
         learn_merges(words, state, room, work)
     return char_model_tables(df.sparkSession, state, profile, chars)

@@ -14,6 +14,8 @@ from glyphmill.plans.queries import (
     MAX_LENGTH,
     MERGES,
     OTHER_MERGES,
+    RETRAINED_MERGES,
+    TRAINED_MERGES,
 )
 
 PIECES = (
@@ -408,8 +410,8 @@ ORACLES = {
         f"(SELECT unnest({pieces_of('text')}) AS piece FROM documents)) WHERE len(a) > 1) GROUP BY 1, 2) ORDER BY n DESC, {visible('l')}, {visible('r')} LIMIT 200"
     ),
     "t3_apply_merges": f"{DOCS} SELECT piece, array_to_string(toks, ' ') AS tokens FROM w",
-    "t4_train_bpe": f"{DOCS} SELECT rank::INTEGER AS rank, l, r, id::INTEGER AS token_id FROM m JOIN v USING (tok)",
-    "t5_retrain_like": f"WITH {OTHER} SELECT rank::INTEGER AS rank, l, r, id::INTEGER AS token_id FROM b_m JOIN b_v USING (tok)",
+    "t4_train_bpe": f"WITH {training('documents', TRAINED_MERGES)} SELECT rank::INTEGER AS rank, l, r, id::INTEGER AS token_id FROM m JOIN v USING (tok)",
+    "t5_retrain_like": f"WITH {training('benchmark', RETRAINED_MERGES, 'b_')} SELECT rank::INTEGER AS rank, l, r, id::INTEGER AS token_id FROM b_m JOIN b_v USING (tok)",
     "t6_train_char_bpe": (
         f"WITH {char_training(CHAR_MERGES)} SELECT token_id::INTEGER AS token_id, token, score::DOUBLE AS score FROM ("
         f"SELECT * FROM (VALUES {values(CHAR_FIXED)}) t(token_id, token, score) "

@@ -20,7 +20,10 @@ from glyphmill.streaming import corpus
 
 MERGES = 64
 OTHER_MERGES = 32
-CHAR_MERGES = 32
+# The training queries themselves learn more than the models that the other queries share.
+TRAINED_MERGES = 256
+RETRAINED_MERGES = 128
+CHAR_MERGES = 128
 MAX_LENGTH = 256
 SEP = "\x1f"
 EXPANSION = ["拉布拉多", "货拉拉", "拉不拉", "拉布拉多"]
@@ -296,11 +299,14 @@ def t3_apply_merges(spark, sf_dir):
 
 
 def t4_train_bpe(spark, sf_dir):
-    return _merges_out(corpus_model(spark, sf_dir))
+    model = _cached(spark, sf_dir, "longer", lambda: training.train_bpe(texts(spark, sf_dir, "text"), None, max_merges=TRAINED_MERGES))
+    return _merges_out(model)
 
 
 def t5_retrain_like(spark, sf_dir):
-    return _merges_out(other_model(spark, sf_dir))
+    base, items = corpus_model(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    model = _cached(spark, sf_dir, "longer-benchmark", lambda: training.retrain_like(base, items, None, max_merges=RETRAINED_MERGES))
+    return _merges_out(model)
 
 
 def _merges_out(model: BpeModel) -> DataFrame:

@@ -13,7 +13,7 @@ SPECIALS = ["<|endoftext|>", "<|im_start|>", "<|im_end|>"]
 ROWS = [
     "the cat sat on the mat 12 times, the end.", "  two spaces then text", "abcabc abcabd x1y2", "Привет мир, hello мир",
     "今日は良い天気 hello", "repeat repeat repeat-repeat", "line one\nline two the", "<|im_start|>the user",
-    "😀😀 😀😀 𝐀𝐁",
+    "😀😀 😀😀 𝐀𝐁", "ߊߋߌ!ߊߋߌ! ߊߋߌ", "ⴰⴱⴳ!ⴰⴱⴳ ⴰⴱ!", "ꀀꀁ.ꀀꀁ. ꀀ",
 ]
 
 

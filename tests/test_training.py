@@ -132,3 +132,19 @@ def test_retraining_keeps_the_profile(spark):
     model = train_bpe(texts(spark, "ab ab"), 100, 1, TINY)
     again = retrain_like(model, texts(spark, "cd cd"), 100)
     assert again.profile == TINY and merges_of(again) == [("c", "d")]
+
+
+def test_tied_pairs_reach_the_driver_in_bounded_number(spark, monkeypatch):
+    """Thousands of pairs of one count, in either order of ties."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from glyphmill.operators.training import train_char_bpe
+
+    monkeypatch.setattr(training, "HELD_PAIRS", 64)
+    rows, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    letters = [chr(0x4E00 + k) for k in range(20_000)]
+    train_char_bpe(texts(spark, "".join(letters)), None, max_merges=3)
+    found = [len(r) for r in rows if r and "pair" in r[0]]
+    assert found and max(found) <= 4 * 64 + 64 + 1
+    # The others are the characters and the model's own tables.
