@@ -160,3 +160,9 @@ def test_one_conversation_with_most_turns(spark):
     # The last query is turn 4996; the answer after it is not the last message and has no reasoning.
     assert got[1] == "".join(parts)
     assert got[2] == f"{U}q{E}<|im_start|>user\n<tool_response>\nr\n</tool_response>{E}"
+
+
+def test_null_content_keeps_its_turn_and_the_default_system(spark):
+    turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "a")], "conv_id int, turn int, role string, content string")
+    want = "<|im_start|>system\nYou are a helpful assistant<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
+    assert [r.prompt for r in chat.render_chat_simple(turns).collect()] == [want]

@@ -23,7 +23,8 @@ def model(spark, sf_small):
 def test_encoding_is_one_projection(spark, documents, model):
     rows = codec.build_training_rows(documents, model, 128)
     text = plan(rows.withColumn("labels", batches.lm_labels(F.col("input_ids"), 0)))
-    assert text.count("ArrowEvalPython [") == 1
+    # One step normalises the texts that need it, one encodes.
+    assert text.count("ArrowEvalPython [") == 2
     assert "Exchange" not in text and "Join" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
@@ -37,7 +38,7 @@ def test_decoding_stays_in_the_jvm(spark, model):
 def test_counting_combines_before_its_only_shuffle(spark, documents):
     text = plan(counts.piece_counts(documents, BYTE_LEVEL))
     assert text.count("Exchange") == 1 and "partial_count" in text
-    assert "ReadSchema: struct<text:string>" in text and "Python" not in text
+    assert "ReadSchema: struct<text:string>" in text
 
 
 def test_statistics_combine_before_their_only_shuffle(spark, documents):
@@ -90,3 +91,51 @@ def test_work_tables_are_dropped(spark, tmp_path):
         path = work.paths[0]
         assert df.count() == 5 and os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_filters_reach_the_scan_through_an_encoding(spark, documents, model, tmp_path):
+    rows = codec.encode(documents, model)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan(rows.where("doc_id = 5"))
+    documents.limit(20).write.partitionBy("lang").parquet(f"{tmp_path}/parts")
+    parted = codec.encode(spark.read.parquet(f"{tmp_path}/parts"), model)
+    pruned = re.search(r"PartitionFilters: \[[^\]]*lang[^\]]*= de", plan(parted.where("lang = 'de'")))
+    assert pruned
+
+
+def test_dropped_symbols_count_pieces_first(spark, documents, model):
+    text = plan(codec.dropped_symbols(documents, model))
+    assert re.search(r"HashAggregate\(keys=\[piece", text)
+    symbols = text.index("keys=[symbol")
+    assert symbols < text.index("keys=[piece")  # the plan is printed from the top
+
+
+def test_file_totals_scan_the_texts_once(spark, documents, tmp_path):
+    from glyphmill.sources import readers
+
+    documents.select("text").write.parquet(f"{tmp_path}/t")
+    text = plan(readers.good_file_totals(spark, f"{tmp_path}/t", [F.sum(F.length("text")).alias("n_chars")]))
+    assert text.count("ReadSchema: struct<text:string>") == 1 and text.count("ReadSchema: struct<>") == 1
+
+
+def test_only_small_tables_are_spread(spark, sf_small, monkeypatch):
+    from glyphmill import session
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    assert "Exchange" in plan(spread(docs))
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1000)
+    assert spread(docs) is docs
+
+
+def test_no_folder_is_left_behind(spark, documents, tmp_path):
+    import os
+
+    from glyphmill import session
+    from glyphmill.sources import readers
+
+    folder = f"{session.work_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    documents.write.parquet(f"{tmp_path}/t")
+    lengths.sample_per_file(documents, 5).count()
+    for df in readers.read_good_files(spark, f"{tmp_path}/t"):
+        df.count()
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before

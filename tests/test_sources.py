@@ -156,3 +156,27 @@ def test_token_table(spark, tmp_path):
 
 def readers_rows(df):
     return [tuple(r) for r in df.collect()]
+
+
+@pytest.mark.parametrize("profile,eos,n", [("BYTE_LEVEL", "<|im_end|>", 13), ("DIGITS_ONLY", "<|endoftext|>", 2), ("CHARACTERS", "<|endoftext|>", 2)])
+def test_roles_follow_the_profile(spark, documents, tmp_path, profile, eos, n):
+    from glyphmill import model as models
+    from glyphmill.operators.training import train_char_bpe
+
+    own = getattr(models, profile)
+    train = train_char_bpe if profile == "CHARACTERS" else train_bpe
+    save_vocab(train(documents.limit(3), None, profile=own, max_merges=2), f"{tmp_path}/m")
+    again = load_vocab(spark, f"{tmp_path}/m")
+    rows = special_tokens_map(again).collect()
+    assert again.profile == own
+    assert [r.content for r in rows if r.role == "eos_token"] == [eos]
+    assert [r.content for r in rows if r.role == "pad_token"] == ["<|endoftext|>"]
+    assert sum(r.role == "additional_special_tokens" for r in rows) == n
+    assert pad_id(again) == next(r.token_id for r in rows if r.role == "pad_token")
+
+
+def test_strict_lines_fail_whatever_is_read(spark, tmp_path):
+    put(f"{tmp_path}/x.jsonl", '{"text": "a"}\n{"other": 1}\n')
+    for use in (lambda d: d.count(), lambda d: d.select("source_file").collect(), lambda d: d.collect()):
+        with pytest.raises(Exception, match="without text"):
+            use(readers.read_jsonl(spark, f"{tmp_path}/x.jsonl"))

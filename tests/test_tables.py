@@ -113,3 +113,20 @@ def test_added_tokens(spark):
     added = {r.content: (r.token_id, r.special) for r in more.added_tokens.collect()}
     assert added == {"<|endoftext|>": (0, True), "<|im_start|>": (1, True), "<A>": (size, False), "ab": (vocabulary.token_id(model, "ab"), False)}
     assert vocabulary.vocab_size(more).first().vocab_size == size
+
+
+def test_a_fully_masked_log_gives_nulls(spark):
+    from glyphmill.operators import routing
+
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id int, logits array<double>")
+    rows = routing.expert_load(df, 1, mask=F.lit(False)).collect()
+    assert len(rows) == 2 and {(r.share, r.probability, r.imbalance) for r in rows} == {(None, None, None)}
+
+
+def test_training_rows_have_token_types(spark, documents):
+    from glyphmill.operators.codec import build_training_rows
+    from glyphmill.operators.training import train_bpe
+
+    model = train_bpe(documents.limit(3), None, max_merges=2)
+    rows = build_training_rows(documents.limit(3), model, 16).collect()
+    assert {tuple(r.token_type_ids) for r in rows} == {(0,) * 16}
