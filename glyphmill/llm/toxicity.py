@@ -151,10 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     known = named(labels, doc_id=id_col, toxic=label_col).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = _sample(named(docs, doc_id=id_col, text=text_col), known, most_per_class, seed)
-    rows = sample.select("text", "toxic", "weight").mapInArrow(
+    found = sample.select("text", "toxic", "weight").mapInArrow(
         _features, "toxic int, weight double, sentences binary, features binary, n long"
-    ).toArrow().to_pylist()
-    return fit(rows)
+    )
+    # The packed features stay where they arrived; rows only point to them.
+    names = ("toxic", "weight", "n", "sentences", "features")
+    rows = zip(*(found.toArrow().select(names).columns))
+    return fit([dict(zip(names, (*(x.as_py() for x in r[:3]), *(x.as_buffer() for x in r[3:])))) for r in rows])
 
 
 def fit(rows: list[dict]) -> ToxicityModel:
@@ -164,27 +167,28 @@ def fit(rows: list[dict]) -> ToxicityModel:
     if not toxic.any():
         return model
     # The order of rows does not matter but for rounding; fix it all the same.
-    rows = sorted(rows, key=lambda r: (r["toxic"], r["n"], r["features"]))
+    rows = sorted(rows, key=lambda r: (r["toxic"], r["n"], zlib.crc32(r["features"])))
     toxic = np.array([r["toxic"] for r in rows], dtype=bool)
     weight = np.array([r["weight"] for r in rows])
     weight /= weight.mean()
-    n = np.array([r["n"] for r in rows], dtype=np.int64)
-    first = np.cumsum(n) - n
-    own = [np.frombuffer(r["features"], "<i4") for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in own])
-    sentence = np.concatenate([np.frombuffer(r["sentences"], "<i4") + f for r, f in zip(rows, first)])
-    feature = np.concatenate(own)
+    n = np.array([r["n"] for r in rows], dtype=np.int32)
     # Keep the features whose rates in the two classes clearly differ.
-    pairs = np.unique(doc.astype(np.int64) * FEATURES + feature)
-    with_pos, with_neg = (np.bincount(pairs[toxic[pairs // FEATURES] == k] % FEATURES, minlength=FEATURES) for k in (True, False))
+    with_pos, with_neg = np.zeros(FEATURES), np.zeros(FEATURES)
+    for r in rows:
+        (with_pos if r["toxic"] else with_neg)[np.unique(np.frombuffer(r["features"], "<i4"))] += 1
     n_pos, n_neg = toxic.sum(), max(1, (~toxic).sum())
     rate = (with_pos + with_neg) / len(rows)
     apart = with_pos / n_pos - with_neg / n_neg
     error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n_pos + 1 / n_neg))
     odds = np.log((with_pos + 0.1) / (n_pos + 0.2)) - np.log((with_neg + 0.1) / (n_neg + 0.2))
     useful = (with_pos + with_neg >= LEAST_DOCS) & (apart >= LEAST_Z * error) & (odds >= np.log(LEAST_RATIO))
-    keep = useful[feature]
-    feature, sentence = feature[keep], sentence[keep]
+    features, sentences = [], []
+    for r, first in zip(rows, np.cumsum(n) - n):
+        own = np.frombuffer(r["features"], "<i4")
+        keep = useful[own]
+        features.append(own[keep])
+        sentences.append(np.frombuffer(r["sentences"], "<i4")[keep] + first)
+    feature, sentence = np.concatenate(features), np.concatenate(sentences)
     w = np.where(useful, 2 * odds, 0.0)
     doc_of = np.repeat(np.arange(len(rows)), n)
     seen = np.full(FEATURES, 1e-8)
