@@ -117,7 +117,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFra
     share = {k: min(1.0, most / max(1, n)) for k, n in counts.items()}
 
     def at(key: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     wanted = F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
     chosen = labels.where(at("doc_id") < wanted).withColumn("weight", 1.0 / wanted)
