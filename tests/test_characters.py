@@ -42,6 +42,7 @@ def test_matches_independent_trainer(spark, model):
     size = model.vocab.count()
     out = io.BytesIO()
     lines = [line for row in ROWS for line in row.split("\n")]
+    # fixed values: the trainer's options decide the merges
     spm.SentencePieceTrainer.train(
         sentence_iterator=iter(lines), model_writer=out, vocab_size=size, model_type="bpe", character_coverage=1.0,
         pad_id=-1, bos_id=-1, eos_id=-1, unk_id=0, user_defined_symbols=SPECIALS, split_digits=True, byte_fallback=True,

@@ -60,6 +60,7 @@ def test_split_pieces(spark):
 
 def test_pieces_match_independent_splitter(spark, documents):
     tokenizers = pytest.importorskip("tokenizers")
+    # fixed value: the splitting pattern, in its own syntax
     pattern = (
         r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+"""
     )
