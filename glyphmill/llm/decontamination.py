@@ -6,14 +6,16 @@ its state gives the longest run, ending at the current word, that some item cont
 of ``window`` words that occurs in an item is a position whose longest run is that long.
 
 Items are taken in blocks of a bounded number of words, so what is broadcast never grows with
-the benchmark: a larger benchmark means more passes over the documents, and their hits are
-united.  Each document is handled by itself; nothing is shuffled unless there are several blocks.
+the benchmark: a larger benchmark means more passes over the documents, one automaton a pass, and
+their hits are united before anything is decided about a document.  Each document is handled by
+itself; nothing is shuffled unless there are several blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +290,53 @@ def _cleaner(shared, min_words: int, max_coverage: float):
     return cleaned.asNondeterministic()
 
 
+def _cutter(least: int, max_coverage: float):
+    """One round of ``_cleaner`` with the hit runs given: the text after the cuts, and whether it stays and was cut."""
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("keep", T.BooleanType()), T.StructField("cut", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        rows = []
+        for text, own in zip(text_bytes(texts), runs.to_pylist()):
+            spans = [(r["start"], r["end"]) for r in own if r["end"] - r["start"] >= least]
+            keep = sum(b - a for a, b in spans) <= max_coverage * len(words_of(text))
+            rows.append({"text": cut_spans(text, spans).decode() if spans else text.decode(), "keep": keep, "cut": bool(spans)})
+        return pa.array(rows, to_arrow_type(kind))
+
+    return cut.asNondeterministic()
+
+
+def _cleaned_by_blocks(docs: DataFrame, blocks: Callable[[], Iterator[ItemAutomaton]], min_words: int, max_coverage: float, text_col: str) -> DataFrame:
+    """What ``_cleaner`` gives with one automaton of all items, with one block's automaton in memory at a time.
+
+    Every round unites the hits of all blocks per document and cuts once; what was cut is looked
+    at again by all blocks until none finds anything.
+    """
+    base = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "decontaminate")
+    left = base.select("_row", F.col(f"_doc.`{text_col}`").alias("text"))
+    rounds = []
+    while True:
+        hits, least = [], min_words
+        for automaton in blocks():
+            least = min(least, automaton.shortest)
+            found = scanned(left, automaton, "text").select("_row", "_hits.hit_runs")
+            hits.append(written(found.where(F.size("hit_runs") > 0), "hits"))
+        united = reduce(DataFrame.unionByName, hits).groupBy("_row").agg(F.flatten(F.collect_list("hit_runs")).alias("runs"))
+        changes = left.join(united.select("_row", united_runs("runs").alias("runs")), "_row")
+        changes = changes.withColumn("_clean", _cutter(least, max_coverage)("text", "runs")).select("_row", "_clean.*")
+        changes = written(changes.where("cut"), "cuts")
+        if changes.isEmpty():
+            break
+        rounds.append(changes.select("_row", F.struct(F.lit(len(rounds)).alias("round"), "keep", "text").alias("last")))
+        left = changes.where("keep").select("_row", "text")
+    out = base.withColumn("last", F.lit(None).cast("struct<round int, keep boolean, text string>"))
+    if rounds:
+        last = reduce(DataFrame.unionByName, rounds).groupBy("_row").agg(F.max("last").alias("last"))
+        out = base.join(last, "_row", "left").where("last is null or last.keep")
+    columns = [(F.coalesce("last.text", own) if c == text_col else own).alias(c) for c in docs.columns for own in [F.col(f"_doc.`{c}`")]]
+    return out.select(*columns)
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -304,12 +353,16 @@ def decontaminate(
     A hit run of at least ``min_words`` words, or a shorter item as a whole, is a span.  A
     document of which more than ``max_coverage`` of the words are in spans is dropped; from
     others the spans are removed, and the rest is looked at again until nothing is found.
-    Null and empty texts pass unchanged.
+    The result does not depend on ``block_words``.  Null and empty texts pass unchanged.
     """
-    out = docs
-    for block in item_blocks(items, item_col, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
-        clean = _cleaner(shared, min_words, max_coverage)(F.col(f"`{text_col}`"))
-        columns = [F.col("_clean.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in out.columns]
-        out = out.withColumn("_clean", clean).where("_clean.keep").select(*columns)
-    return out
+    blocks = item_blocks(items, item_col, item_text, block_words)
+    first, more = next(blocks), next(blocks, None)
+    blocks.close()
+    if more is not None:
+        del first, more
+        automata = lambda: (ItemAutomaton(block, window) for block in item_blocks(items, item_col, item_text, block_words))
+        return _cleaned_by_blocks(docs, automata, min_words, max_coverage, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
+    clean = _cleaner(shared, min_words, max_coverage)(F.col(f"`{text_col}`"))
+    columns = [F.col("_clean.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("_clean", clean).where("_clean.keep").select(*columns)

@@ -77,3 +77,23 @@ def test_spans_are_cut_until_nothing_is_found(spark):
     assert set(got) == {1, 3, 4} and got[3] is None
     assert got[1] == text.replace("a b c d e f g h i j k", "\n")
     assert not d.ItemAutomaton([("1", ITEMS[0][1].encode())]).scan(d.words_of(got[4].encode()))[0].any()
+
+
+def test_cuts_do_not_depend_on_blocks(spark):
+    """Coverage is taken over all blocks' hits, and a cut for one block can join a window of another."""
+    one, two = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "x Y z")], "item_id long, text string")
+    covered = " ".join(one + two + ["w"] * 30)
+    joined = " ".join(one[:5] + two + one[5:10] + ["w"] * 60)
+    texts = [covered, joined, None, "", " ".join(one[:9]), "keep x y z " + "w " * 9, " ".join(two[:12] + ["w"] * 11)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").withColumn("a.b", F.lit("c"))
+
+    def cleaned(**options):
+        found = d.decontaminate(docs, items, **options)
+        assert found.columns == docs.columns
+        return sorted((tuple(r) for r in found.collect()), key=str)
+
+    whole = cleaned()
+    assert cleaned(block_words=40) == cleaned(block_words=3) == whole
+    assert [r[0] for r in whole] == [1, 2, 3, 4, 5] and whole[0][1].split() == ["w"] * 60
+    assert cleaned(min_words=15, block_words=40) == cleaned(min_words=15)
