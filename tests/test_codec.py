@@ -51,7 +51,8 @@ def test_fixed_length_rows(spark, tiny):
     cut = build_training_rows(texts(spark, "ab cd ef ab", "ab"), tiny, 4).orderBy("doc_id").collect()
     assert cut[0].input_ids == [9, 8, 10, 8] and cut[0].attention_mask == [1] * 4
     assert cut[1].input_ids == [9, 0, 0, 0] and cut[1].attention_mask == [1, 0, 0, 0]
-    assert list(cut[0].asDict()) == ["doc_id", "input_ids", "attention_mask"]
+    assert list(cut[0].asDict()) == ["doc_id", "input_ids", "attention_mask", "token_type_ids"]
+    assert all(row.token_type_ids == [0] * 4 for row in cut)
 
 
 def test_lowest_rank_first():
