@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity
+from glyphmill.llm import bpe, decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -85,6 +86,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, digest.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary(bpe.read_ranks(ranks), public_tokenizers.PATTERN))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_extraction": op9_extraction,
     "op10_secrets": op10_secrets,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLES = {
