@@ -20,6 +20,7 @@ import base64
 import heapq
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -41,8 +42,8 @@ NEW_LETTERS = (
 NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 
 # Pre-tokens that are laid out together, and misses that a task remembers per generation.
-CHUNK = 1 << 20
-MEMO, MEMO_LENGTH = 1 << 18, 64
+CHUNK = 1 << 18
+MEMO, MEMO_LENGTH = 1 << 17, 64
 
 
 @dataclass
@@ -222,8 +223,8 @@ class Encoder:
         self.ranks = {t: k for k, t in enumerate(vocabulary.tokens)}
         self.fast, self.exact = regex.compile(vocabulary.pattern), regex.compile(vocabulary.exact)
         self.odd = re.compile(f"[{vocabulary.odd}]") if vocabulary.odd else None
-        self.memo: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text, in lists of at most ``CHUNK``."""
@@ -244,28 +245,27 @@ class Encoder:
         # First tier: the token at a key's place is the key, or the key is not in the vocabulary.
         there = self.by_place[self.table.places(hashes(keys, self.table.seed))]
         hit = np.asarray(pc.equal(self.tokens.take(pa.array(there)), distinct))
-        lists: list = [None] * len(keys)
-        memo, older = self.memo, self.older
-        for k in np.flatnonzero(~hit):
+        missed = np.flatnonzero(~hit)
+        memo, older, found = self.memo, self.older, []
+        for k in missed.tolist():
             key = keys[k]
             own = memo.get(key)
             if own is None:
                 own = older.get(key)
                 if own is None:
-                    own = merged(key, self.ranks)
+                    own = array("I", merged(key, self.ranks)).tobytes()
                 if len(key) <= MEMO_LENGTH:
                     memo[key] = own
-            lists[k] = own
+            found.append(own)
         if len(memo) > MEMO:
             self.older, self.memo = memo, {}
         sizes = np.ones(len(keys), np.int64)
-        misses = np.flatnonzero(~hit)
-        sizes[misses] = [len(lists[k]) for k in misses]
-        starts = np.cumsum(sizes) - sizes
-        pool = np.empty(int(sizes.sum()), "<u4")
-        pool[starts[hit]] = there[hit]
-        for k in misses:
-            pool[starts[k] : starts[k] + sizes[k]] = lists[k]
+        sizes[missed] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # Ids of the hits, then those of the misses.
+        pool = np.concatenate([there[hit].astype("<u4"), np.frombuffer(b"".join(found), "<u4")])
+        starts = np.empty(len(keys), np.int64)
+        order = np.concatenate([np.flatnonzero(hit), missed])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
         index = np.asarray(coded.indices, dtype=np.int64)
         each = sizes[index]
         ends = np.cumsum(each)

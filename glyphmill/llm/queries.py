@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import bpe, decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity
+from glyphmill.llm import bpe, decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -91,6 +91,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary(bpe.read_ranks(ranks), public_tokenizers.PATTERN))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_extraction": op9_extraction,
     "op10_secrets": op10_secrets,
     "op12_bpe": op12_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
