@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import bpe, decontamination, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
+from glyphmill.llm import bpe, decontamination, divergence, extraction, lm, mixing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
 from glyphmill.llm.common import crc_mod, table
 
 
@@ -86,6 +86,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, digest.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary(bpe.read_ranks(ranks), public_tokenizers.PATTERN))
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_extraction": op9_extraction,
     "op10_secrets": op10_secrets,
+    "op11_divergence": op11_divergence,
     "op12_bpe": op12_bpe,
     "op13_whitening": op13_whitening,
 }
@@ -113,4 +118,5 @@ QUERIES = {
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }
