@@ -17,6 +17,7 @@ of a new one is replaced; no rows give no rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 import unicodedata
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from glyphmill.llm.common import mixed64
 
@@ -43,6 +44,8 @@ NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0
 
 # Pre-tokens that are laid out together, and misses that a task remembers per generation.
 CHUNK = 1 << 18
+# Rows of a batch that are unpacked together.
+ROWS = 512
 MEMO, MEMO_LENGTH = 1 << 17, 64
 
 
@@ -299,6 +302,12 @@ def _decoded(text: bytes) -> str:
     return text.decode("utf-8", "replace")
 
 
+def _texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """The values of a column a few at a time, so that a batch is never held twice."""
+    for at in range(0, len(column), ROWS):
+        yield [b"" if x is None else x for x in column.slice(at, ROWS).cast(pa.large_binary()).to_pylist()]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text, as little-endian unsigned 32-bit integers in one binary value."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -306,9 +315,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for texts in batches:
-            values = [b"" if x is None else x for x in texts.cast(pa.large_binary()).to_pylist()]
-            yield pa.array(encoder.encode(values), pa.binary())
+        for column in batches:
+            yield pa.array((ids for texts in _texts(column) for ids in encoder.encode(texts)), pa.binary())
 
     return docs.withColumn(out_col, encoded(F.col(f"`{text_col}`")))
 
@@ -321,24 +329,40 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_co
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = pa.array(shared.value.tokens, pa.large_binary())
         for column in batches:
-            yield pa.array((_bytes_of(x, tokens) for x in column.to_pylist()), pa.binary())
+            yield pa.array((b"".join(decoded_chunks(x, tokens)) for ids in _texts(column) for x in ids), pa.binary())
 
     return rows.withColumn(out_col, decoded(F.col(f"`{ids_col}`")))
 
 
-def _bytes_of(ids: bytes | None, tokens: pa.Array) -> bytes:
-    out = []
-    every = np.frombuffer(ids or b"", "<u4")
+def decoded_chunks(ids: bytes, tokens: pa.Array) -> Iterator[bytes]:
+    """The bytes behind packed ids, ``CHUNK`` ids at a time."""
+    every = np.frombuffer(ids, "<u4")
     for at in range(0, len(every), CHUNK):
         taken = tokens.take(pa.array(every[at : at + CHUNK]))
         ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
-        out.append(taken.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes())
-    return b"".join(out)
+        yield taken.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes()
+
+
+DIGESTS = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
 
 def digests(rows: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256``: each text encoded, and its ids decoded again."""
-    own = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    both = decode(encode(own, vocabulary).select("doc_id", "ids"), vocabulary)
-    n: Column = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``id, n_tokens, ids_sha256, decoded_sha256``: each text encoded and its ids decoded again, in one pass over the texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf(DIGESTS)
+    def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(shared.value)
+        for column in batches:
+            out = []
+            for texts in _texts(column):
+                for ids in encoder.encode(texts):
+                    back = hashlib.sha256()
+                    for chunk in decoded_chunks(ids, encoder.tokens):
+                        back.update(chunk)
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()))
+            n, coded, decoded = zip(*out) if out else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], DIGESTS.names)
+
+    found = rows.select(F.col(f"`{id_col}`").alias("doc_id"), digested(F.col(f"`{text_col}`")).alias("digests"))
+    return found.select("doc_id", "digests.*")

@@ -106,4 +106,4 @@ def test_edges(spark, vocabulary):
 
 def test_ids_outside_the_vocabulary_are_an_error(vocabulary):
     with pytest.raises(pa.lib.ArrowIndexError):
-        bpe._bytes_of(np.array([60_000], "<u4").tobytes(), pa.array(vocabulary.tokens, pa.large_binary()))
+        list(bpe.decoded_chunks(np.array([60_000], "<u4").tobytes(), pa.array(vocabulary.tokens, pa.large_binary())))
