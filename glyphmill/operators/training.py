@@ -1,7 +1,9 @@
 """Learning merges by repeated distributed counting.
 
-Each round is one job over the table of distinct words.  Two things keep rounds few and
-cheap while the merges stay those of one-at-a-time training:
+Each round is one job over the distinct words, which stay packed in rows of about a million
+symbols (``functions.packed``); a round finds the words that hold a pair of its batch and looks
+at no others.  Two more things keep rounds few and cheap while the merges stay those of
+one-at-a-time training:
 
 * Several merges per round.  Going down the ranking, a pair may join the batch while it does
   not end where a chosen pair starts or start where one ends.  Merging a chosen pair (a, b)
@@ -13,29 +15,39 @@ cheap while the merges stay those of one-at-a-time training:
   more new ones than the driver holds, the bound rises.  When none is left above the bound,
   the pairs are counted afresh.
 
+``exact=False`` takes many more merges per round: going down the ranking, each pair that meets no
+chosen one, to a share of the most frequent one's count.  Counts stay exact; only the order
+of merges may differ from one-at-a-time training, where a merge would have made a pair that ranks
+above a later one of the same round.
+
 Pairs are ranked, cut by length and limited in Spark, so no more than ``HELD_PAIRS`` beyond the
 held ones ever reach the driver, however many are tied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glyphmill.fixed import CHAR_VOCAB_SIZE, VOCAB_SIZE
+from glyphmill.functions.packed import PACKED, Step, packed_words, pair_changes, pair_code, pair_sums, rebuilt
 from glyphmill.functions.pieces import VISIBLE
-from glyphmill.functions.symbols import code_char, coded, merged_sql, pairs_around_sql, symbol_id, symbol_id_column, touches_sql
+from glyphmill.functions.symbols import code_char, coded, symbol_id
 from glyphmill.model import BYTE_LEVEL, CHARACTERS, BpeModel, Profile
-from glyphmill.operators.counts import apply_merges, char_alphabet, pair_counts, piece_counts, symbol_text, top_pairs
+from glyphmill.operators.counts import char_alphabet, piece_counts, symbol_text
 from glyphmill.operators.vocabulary import char_model_tables, model_tables
 from glyphmill.session import WorkTables, spread
 
 HELD_PAIRS = 4096
-PENDING_MERGES = 8
+PENDING_STEPS = 16
 WRITE_EVERY = 12
+# Merges that need not be exact: the least count of a round, as a share of its most frequent pair's.
+FLOOR_SHARE = 0.5
 
 
 @dataclass
@@ -67,23 +79,31 @@ class MergeState:
     def above(self, pair: str, n: int) -> bool:
         return self.bound is None or self.rank(pair, n) < self.bound
 
-    def ties(self) -> list[Column]:
-        """Columns that rank pairs of one count, before the pair itself."""
-        if not self.by_text:
-            return []
-        tokens = F.split(F.lit("\n".join(self.tokens)), "\n")
-        text = F.concat(*[F.element_at(tokens, symbol_id_column(F.substring("pair", k, 1)) + 1) for k in (1, 2)])
-        return [F.length(text), text]
-
-    def wanted(self) -> Column:
-        """Pairs that may be made and that rank above the bound."""
-        ties = self.ties()
-        short = ties[0] <= self.longest if ties and self.longest is not None else F.lit(True)
-        if self.bound is None:
-            return short
-        n = -self.bound[0]
-        here, there = F.struct(*ties, F.col("pair")), F.struct(*[F.lit(x) for x in self.bound[1:]])
-        return short & ((F.col("n") > n) | (F.col("n") == n) & (here < there))
+    def ranked(self, rows: DataFrame, first: str | None = None) -> DataFrame:
+        """New pairs that may be made, in rank order, after all rows that are marked as ``first``.
+
+        The bound is a filter as far as counts tell.
+        """
+        pair, ahead = F.col("pair"), F.col(first) if first else F.lit(False)
+        order = []
+        if self.by_text:
+            tokens = F.split(F.lit("\n".join(self.tokens)), "\n")
+            text = F.concat(*[F.element_at(tokens, half.cast("int") + 1) for half in (F.shiftright(pair, 32), pair.bitwiseAND(F.lit(0xFFFFFFFF)))])
+            rows = rows.withColumn("text", text)
+            order = [F.length("text"), F.col("text")]
+            if self.longest is not None:
+                rows = rows.where(ahead | (F.length("text") <= self.longest))
+        if self.bound is not None:
+            rows = rows.where(ahead | (F.col("n") >= -self.bound[0]))
+        return rows.orderBy(ahead.desc(), F.desc("n"), *order, "pair")
+
+
+def _coded(pair: str) -> int:
+    return pair_code(symbol_id(pair[0]), symbol_id(pair[1]))
+
+
+def _pair(code: int) -> str:
+    return code_char(code >> 32) + code_char(code & 0xFFFFFFFF)
 
 
 def _choose(state: MergeState, room: int, min_frequency: int) -> list[str]:
@@ -113,45 +133,53 @@ def _choose(state: MergeState, room: int, min_frequency: int) -> list[str]:
     return batch
 
 
-def _recount(words: DataFrame, state: MergeState, min_frequency: int) -> None:
+def _choose_many(state: MergeState, room: int, min_frequency: int) -> list[str]:
+    """Down the ranking each pair that meets no chosen one, to a share of the most frequent one's count."""
+    starts: set[str] = set()
+    ends: set[str] = set()
+    texts: set[str] = set()
+    floor, batch = max(min_frequency, 1), []
+    for pair, n in sorted(state.held.items(), key=lambda kv: state.rank(*kv)):
+        if n < floor or len(batch) == room or not state.above(pair, n):
+            break
+        text = state.text(pair)
+        repeated = text in state.ids or text in texts
+        meets = pair[0] in ends or pair[1] in starts or (pair[0] == pair[1] and (pair[0] in starts or pair[1] in ends))
+        if repeated and not batch:
+            return [pair]
+        if meets or repeated:
+            continue
+        batch.append(pair)
+        starts.add(pair[0])
+        ends.add(pair[1])
+        texts.add(text)
+        floor = max(floor, math.ceil(FLOOR_SHARE * state.held[batch[0]]))
+    return batch
+
+
+def _recount(words: DataFrame, pending: list[Step], state: MergeState, min_frequency: int) -> None:
     state.bound = None
-    rows = top_pairs(pair_counts(words).where(state.wanted()), HELD_PAIRS + 1, min_frequency, state.ties()).collect()
-    pairs = [(r.pair, r.n) for r in rows]
+    sums = words.mapInArrow(pair_sums(pending), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = state.ranked(sums.where(F.col("n") >= max(min_frequency, 1))).limit(HELD_PAIRS + 1).collect()
+    pairs = [(_pair(r.pair), r.n) for r in rows]
     state.held = dict(pairs[:HELD_PAIRS])
     if len(pairs) > HELD_PAIRS:
         state.bound = state.rank(*pairs[-1])
 
 
-def _changes(words: DataFrame, pending: list, batch: list, touched: list[str], state: MergeState) -> list:
-    """Net pair counts after a batch: all held pairs it touches, and the best new pairs above the bound."""
-    # Other pairs of a changed word occur as often after as before.
-    made = "".join(s for _, s in batch)
-    lefts, rights = made + "".join(p[1] for p, _ in batch), made + "".join(p[0] for p, _ in batch)
-    known = F.array_contains(F.split(F.lit(",".join(touched)), ","), F.col("pair")) if touched else F.lit(False)
-    fresh = F.col("pair").rlike(f"[{made}]") & (F.col("n") > 0) & state.wanted()
-    return (
-        words.selectExpr(f"{merged_sql('syms', pending)} AS before", "n")
-        .where(touches_sql("before", [p for p, _ in batch]))
-        .selectExpr("before", f"{merged_sql('before', batch)} AS after", "n")
-        .selectExpr("inline(array(named_struct('syms', before, 'n', -n), named_struct('syms', after, 'n', n)))")
-        .selectExpr(f"explode({pairs_around_sql('syms', lefts, rights)}) AS pair", "n")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("n") != 0) & (known | fresh))
-        .withColumn("known", known)
-        .orderBy(F.desc("known"), F.desc("n"), *state.ties(), "pair")
-        .limit(len(touched) + HELD_PAIRS + 1)
-        .collect()
-    )
-
-
-def _take_in(rows: list, state: MergeState) -> None:
-    new = []
-    for row in rows:
-        if row.known:
-            state.held[row.pair] += row.n
-        else:
-            new.append((row.pair, row.n))
+def _changes(words: DataFrame, pending: list[Step], step: Step, touched: list[str], state: MergeState) -> tuple[list, list]:
+    """Net pair counts after a step: all held pairs it touches, and the best new pairs above the bound."""
+    held = np.sort(np.array([_coded(p) for p in touched], np.int64))
+    rows = words.mapInArrow(pair_changes(pending, step, held), "pair long, n long, known boolean")
+    sums = rows.groupBy("pair", "known").agg(F.sum("n").alias("n")).where("n != 0 AND (known OR n > 0)")
+    found = state.ranked(sums, "known").limit(len(touched) + HELD_PAIRS + 1).collect()
+    new = [(p, n) for p, n in ((_pair(r.pair), r.n) for r in found if not r.known) if state.above(p, n)]
+    return [(_pair(r.pair), r.n) for r in found if r.known], new
+
+
+def _take_in(known: list, new: list, state: MergeState) -> None:
+    for pair, n in known:
+        state.held[pair] += n
     state.held.update(new[:HELD_PAIRS])
     if len(new) > HELD_PAIRS:
         # What was left out ranks from here on; held pairs below that are no longer known to be next.
@@ -165,6 +193,7 @@ def learn_merges(
     room: int,
     work: WorkTables,
     min_frequency: int = 1,
+    exact: bool = True,
 ) -> list[tuple[str, str]]:
     """Up to ``room`` new tokens over coded words (syms, n).
 
@@ -172,24 +201,26 @@ def learn_merges(
     pile up, and written to the shared folder every few rebuilds so that a lost executor
     costs a short replay.
     """
-    tables = [spread(words).persist(StorageLevel.MEMORY_AND_DISK)]
+    rows = spread(words.select("syms", "n")).mapInArrow(packed_words, PACKED)
+    tables = [rows.persist(StorageLevel.MEMORY_AND_DISK)]
     try:
-        return _learn(tables, state, room, work, min_frequency)
+        return _learn(tables, state, room, work, min_frequency, exact)
     finally:
         for table in tables:
             table.unpersist()
 
 
-def _learn(tables: list[DataFrame], state: MergeState, room: int, work: WorkTables, min_frequency: int) -> list[tuple[str, str]]:
+def _learn(tables: list[DataFrame], state: MergeState, room: int, work: WorkTables, min_frequency: int, exact: bool) -> list[tuple[str, str]]:
     words, pending, rebuilds, made = tables[0], [], 0, 0
-    _recount(words, state, min_frequency)
+    choose = _choose if exact else _choose_many
+    _recount(words, [], state, min_frequency)
     while made < room:
-        batch = _choose(state, room - made, min_frequency)
+        batch = choose(state, room - made, min_frequency)
         if not batch:
             if state.bound is None or -state.bound[0] < max(min_frequency, 1):
                 break
-            _recount(apply_merges(words, pending), state, min_frequency)
-            if not _choose(state, 1, min_frequency):
+            _recount(words, pending, state, min_frequency)
+            if not choose(state, 1, min_frequency):
                 break
             continue
         steps, reused = [], False
@@ -204,29 +235,30 @@ def _learn(tables: list[DataFrame], state: MergeState, room: int, work: WorkTabl
             steps.append((pair, code_char(state.ids[text])))
         state.rounds += 1
         state.merges.extend(steps)
+        step = Step.of([(symbol_id(p[0]), symbol_id(p[1]), symbol_id(c)) for p, c in steps])
         if made < room and not reused:
             starts, ends = {p[0] for p in batch}, {p[1] for p in batch}
             touched = [p for p in state.held if p[1] in starts or p[0] in ends]
-            _take_in(_changes(words, pending, steps, touched, state), state)
+            _take_in(*_changes(words, pending, step, touched, state), state)
             for pair in batch:
                 state.held.pop(pair, None)
             _trim(state)
-        pending.extend(steps)
-        if len(pending) >= PENDING_MERGES:
+        pending.append(step)
+        if len(pending) >= PENDING_STEPS:
             rebuilds += 1
             # A word that is one symbol has no pair left to give.
-            rebuilt = apply_merges(words, pending).where("length(syms) > 1")
+            table = words.mapInArrow(rebuilt(pending), PACKED)
             if rebuilds % WRITE_EVERY == 0:
-                rebuilt = spread(work.write(rebuilt, "words"))
+                table = work.write(table, "words")
                 if len(work.paths) > 2:
                     work.drop()
             # Filled by the next round; the table before it stays until then.
-            tables.append(rebuilt.persist(StorageLevel.MEMORY_AND_DISK))
-            words, pending = rebuilt, []
+            tables.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+            words, pending = table, []
         elif len(tables) > 1:
             tables.pop(0).unpersist()
         if reused:
-            _recount(apply_merges(words, pending), state, min_frequency)
+            _recount(words, pending, state, min_frequency)
     return state.merges
 
 
@@ -252,10 +284,12 @@ def train_bpe(
     profile: Profile = BYTE_LEVEL,
     text: str = "text",
     max_merges: int | None = None,
+    exact: bool = True,
 ) -> BpeModel:
     """Byte-level BPE: specials first, then the alphabet by code point, then merges in order.
 
-    ``max_merges`` limits the learned tokens instead of the vocabulary as a whole.
+    ``max_merges`` limits the learned tokens instead of the vocabulary as a whole.  Without
+    ``exact``, merges of similar counts may come in another order, in far fewer rounds.
     """
     with WorkTables(df.sparkSession) as work:
         pieces = work.write(piece_counts(df, profile, text), "pieces")
@@ -266,15 +300,15 @@ def train_bpe(
         state = MergeState(tokens, ids)
         words = coded_words(pieces, profile, alphabet, [ids[s] for s in alphabet])
         room = vocab_size - len(tokens) if max_merges is None else max_merges
-        learn_merges(words, state, room, work, min_frequency)
+        learn_merges(words, state, room, work, min_frequency, exact)
     return model_tables(df.sparkSession, state, profile, alphabet)
 
 
 def retrain_like(
-    model: BpeModel, df: DataFrame, vocab_size: int | None, text: str = "text", max_merges: int | None = None
+    model: BpeModel, df: DataFrame, vocab_size: int | None, text: str = "text", max_merges: int | None = None, exact: bool = True
 ) -> BpeModel:
     """A new vocabulary from another corpus with an existing model's normaliser, splitter and specials."""
-    return train_bpe(df, vocab_size, 0, model.profile, text, max_merges)
+    return train_bpe(df, vocab_size, 0, model.profile, text, max_merges, exact)
 
 
 def train_char_bpe(
@@ -284,6 +318,7 @@ def train_char_bpe(
     text: str = "text",
     coverage: float = 1.0,
     max_merges: int | None = None,
+    exact: bool = True,
 ) -> BpeModel:
     """Character BPE: unknown token, user symbols, 256 byte tokens, merges, then characters.
 
@@ -301,5 +336,5 @@ def train_char_bpe(
             raise ValueError("vocab_size is smaller than the characters, byte tokens and user symbols need")
         state = MergeState(list(chars), {c: i for i, c in enumerate(chars)}, True, profile.max_piece)
         words = coded_words(pieces, profile, chars, range(len(chars)))
-        learn_merges(words, state, room, work)
+        learn_merges(words, state, room, work, exact=exact)
     return char_model_tables(df.sparkSession, state, profile, chars)
