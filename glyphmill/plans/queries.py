@@ -5,12 +5,13 @@ Arrays are returned as joined strings, so a comparison sees every element in ord
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.fixed import THINK_END
+from glyphmill.fixed import CHAR_VOCAB_SIZE, THINK_END
 from glyphmill.functions import normalize, pieces
 from glyphmill.model import BYTE_LEVEL, BpeModel, added_contents
 from glyphmill.operators import batches, chat, codec, counts, lengths, routing, training, vocabulary
@@ -25,6 +26,7 @@ TRAINED_MERGES = 256
 RETRAINED_MERGES = 128
 CHAR_MERGES = 128
 MAX_LENGTH = 256
+ARRAY_BYTES = 8 << 20
 SEP = "\x1f"
 EXPANSION = ["拉布拉多", "货拉拉", "拉不拉", "拉布拉多"]
 ACTIONS = ["<ACTION_1>", "<ACTION_2>", "<think>"]
@@ -110,12 +112,20 @@ def s3_read_text(spark, sf_dir):
     return _line_counts(readers.read_text(spark, path, strip=True))
 
 
+def write_arrays(objects: DataFrame, path: str) -> None:
+    """The objects ``o`` in JSON arrays of about ``ARRAY_BYTES``, each a file of its own.
+
+    Rows go to an array by their position, so equal rows and rows without an id spread as others do.
+    """
+    size = objects.agg(F.coalesce(F.sum(F.octet_length(F.to_json("o"))), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, math.ceil(size / ARRAY_BYTES))))
+    arrays = objects.select(part.alias("part"), "o").groupBy("part").agg(F.to_json(F.collect_list("o")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+
+
 def s4_read_json_array(spark, sf_dir):
     path = new_path(spark, "arrays")
-    objects = documents(spark, sf_dir).select("source", F.struct(F.col("text").alias("completion"), "doc_id").alias("o"))
-    # One JSON array per hundredth of the documents, each a file of its own.
-    arrays = objects.groupBy(F.pmod(F.col("o.doc_id"), F.lit(100)).alias("part")).agg(F.to_json(F.collect_list("o")).alias("value"))
-    arrays.write.partitionBy("part").text(path)
+    write_arrays(documents(spark, sf_dir).select(F.struct(F.col("text").alias("completion"), "doc_id").alias("o")), path)
     return readers.read_json_array(spark, path, "completion").groupBy("text").agg(F.count("*").alias("n"))
 
 
@@ -138,7 +148,7 @@ def s6_read_corpus(spark, sf_dir):
     said.write.json(f"{root}/d0")
     # JSON lines and JSON arrays differ by their file names, which the writer does not set.
     renamed(spark, f"{root}/d0", f"{root}/d", ".jsonl")
-    items.agg(F.to_json(F.collect_list(F.struct("text"))).alias("value")).write.text(f"{root}/e0")
+    write_arrays(items.select(F.struct("text").alias("o")), f"{root}/e0")
     renamed(spark, f"{root}/e0", f"{root}/e", ".json")
     found = readers.read_corpus(spark, root, recursive=True)
     return found.groupBy("format", "text").agg(F.count("*").alias("n"))
@@ -149,7 +159,7 @@ def renamed(spark: SparkSession, folder: str, target: str, ending: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path(target))
-    for k, f in enumerate(files.globStatus(path(f"{folder}/part-*"))):
+    for k, f in enumerate(files.globStatus(path(f"{folder}/{{part-*,*/part-*}}"))):
         files.rename(f.getPath(), path(f"{target}/part-{k:05d}{ending}"))
     files.delete(path(folder), True)
 
@@ -319,6 +329,16 @@ def t6_train_char_bpe(spark, sf_dir):
     return char_model(spark, sf_dir).vocab.select("token_id", "token", "score")
 
 
+def t4_train_bpe_full(spark, sf_dir):
+    """A vocabulary of production size, or until no pair is left."""
+    return _merges_out(training.train_bpe(texts(spark, sf_dir, "text"), CHAR_VOCAB_SIZE, exact=False))
+
+
+def t6_train_char_bpe_full(spark, sf_dir):
+    model = training.train_char_bpe(texts(spark, sf_dir, "text"), CHAR_VOCAB_SIZE, exact=False)
+    return model.vocab.select("token_id", "token", "score")
+
+
 def _vocab_out(vocab: DataFrame) -> DataFrame:
     return vocab.select("token_id", "token_hex", "kind")
 
