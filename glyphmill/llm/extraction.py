@@ -6,9 +6,13 @@ children) and which contents.  What looks and reads the same in all pages is tem
 differs is content: the importance of a node is the entropy of its contents, mixed with that of
 its presentation and of its children, from 0 (the same everywhere) to 1 (always different).
 
-Roles that a page declares weigh in: a menu, an advert or a comment list has importance 0 even
-if it differs from page to page, and what stands in a declared article has importance 1 even if
-many pages of the host carry copies of it.  All other branches of low importance are removed.
+Roles that a page declares shift a node's importance, and the threshold then decides on every
+branch.  Elements for menus, adverts, comments and the like lose more than any importance can make
+up for; one whose class merely contains such a word (``share-price``) loses half a point.  Where
+most of the page's text stands in declared articles they gain, and all else loses, the more the larger
+that share; a page whose text is one article is cut to it.  Where most stands elsewhere the articles,
+as teaser cards beside a story, lose instead.  A
+form or wrapper that holds a declared article is judged by its parts.
 
 The tree is a table of node statistics, counted by Spark with partial sums, so a host that has
 a third of all pages burdens no task.  Pages meet only the nodes that they have themselves.
@@ -65,14 +69,21 @@ DROPPED_WORDS = set(
     "masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies respond "
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Class words that only say how a box is laid out.
+LAYOUT_WORDS = set(
+    "area bar block body bottom box btn button buttons card cell center col column container content controls fixed footer form full global group header inner item items js "
+    "left link links list main mobile module outer panel position primary right row secondary section sidebar site slot small space sticky tabs text title top unit wrap wrapper zone".split()
+)
 LOW, GAMMA = 0.2, 0.9
+# What roles add to an importance between 0 and 1.
+STRONG, WEAK, DECLARED = -4.0, -0.5, 1.5
 
 
 @dataclass
 class Node:
     parent: int
     step: str
-    dropped: str = ""
+    role: str = ""
     content: str = ""
     children: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
@@ -83,14 +94,20 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _role(name: str, own: dict[str, str]) -> tuple[str, str]:
-    """Why an element is dropped (tag, word, header), and what content it declares."""
-    words = set(re.split(r"[^a-z]+", f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower()))
+    """The role that an element declares (tag, form, word, weak, header or none), and what content."""
     content = name if name in ("article", "main") else own.get("role", "").lower() if own.get("role", "").lower() in ("article", "main") else ""
     if name in DROPPED or "hidden" in own or own.get("aria-hidden", "").lower() == "true":
-        return "tag", content
-    if words & DROPPED_WORDS and name not in ("html", "body"):
-        return "word", content
-    return ("header" if name == "header" or "header" in words else ""), content
+        return ("form" if name == "form" else "tag"), content
+    role = ""
+    for token in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower().split():
+        words = set(filter(None, re.split(r"[^a-z]+", token)))
+        if words & DROPPED_WORDS and name not in ("html", "body"):
+            if words <= DROPPED_WORDS | LAYOUT_WORDS:
+                return "word", content
+            role = "weak"
+        elif "header" in words and not role:
+            role = "header"
+    return ("header" if name == "header" else role), content
 
 
 class Page:
@@ -140,8 +157,8 @@ class Page:
                 self._close({"p"}, {"article", "body"})
             return
         own = _attributes(attributes)
-        dropped, content = _role(name, own)
-        if name in INLINE and not dropped and not content:
+        role, content = _role(name, own)
+        if name in INLINE and not role and not content:
             return
         self._flush()
         if name in CLOSES_P:
@@ -151,7 +168,7 @@ class Page:
         up = self._stack[-1][1]
         step = ".".join([name, *sorted(own.get("class", "").split())])
         self.nodes[up].children.append(step)
-        self.nodes.append(Node(up, step, dropped, content))
+        self.nodes.append(Node(up, step, role, content))
         self._stack.append((name, len(self.nodes) - 1))
 
     def _close(self, names: set[str], upto: set[str]) -> None:
@@ -178,27 +195,31 @@ class Page:
             self._flush()
 
     def _settle(self) -> None:
-        """Which nodes are dropped for their role, and which stand in declared content."""
-        # A wrapper's class says nothing about the article in it.
-        holds = set()
-        for node in self.nodes:
-            if node.content and node.dropped != "word":
-                at = node.parent
-                while at > 0:
-                    holds.add(at)
-                    at = self.nodes[at].parent
-        kinds = ("article", "main")
-        self.out, self.inside = [], []
+        """What roles add to each node's importance, and which nodes hold declared content and are judged by their parts."""
+        own = [n.content if n.role not in ("tag", "word") else "" for n in self.nodes]
+        self.holds, inside = [k == 0 for k in range(len(self.nodes))], []
+        self.lost = lost = []
+        for k, node in enumerate(self.nodes):
+            at = node.parent
+            while own[k] and at >= 0 and not self.holds[at]:
+                self.holds[at] = True
+                at = self.nodes[at].parent
         for k, node in enumerate(self.nodes):
             up = node.parent
-            inside = (self.inside[up] if up >= 0 else frozenset()) | ({node.content} if node.content and node.dropped != "word" else frozenset())
-            out = up >= 0 and self.out[up]
-            if node.dropped == "tag" or node.dropped == "word" and k not in holds or node.dropped == "header" and k not in holds and not (self.inside[up] if up >= 0 else ()):
-                out = True
-            self.out.append(out)
-            self.inside.append(frozenset(inside))
-        there = {kind for k, own in enumerate(self.inside) if not self.out[k] for kind in own}
-        self.declared = next((kind for kind in kinds if kind in there), None)
+            inside.append({own[k]} | (inside[up] if up >= 0 else set()))
+            free = self.holds[k] or node.role == "header" and up >= 0 and inside[up] != {""}
+            strong = node.role == "tag" or node.role in ("form", "word", "header") and not free
+            lost.append(strong or up >= 0 and lost[up])
+        # An article outweighs the main part around it.
+        there = {kind for k in range(len(self.nodes)) if not lost[k] for kind in inside[k]}
+        declared = next((kind for kind in ("article", "main") if kind in there), None)
+        self.shift = [STRONG if lost[k] else WEAK if node.role == "weak" and not self.holds[k] else 0.0 for k, node in enumerate(self.nodes)]
+        if declared:
+            sizes = [(len(text), declared in inside[k]) for k, text in self.blocks if not lost[k]]
+            total = sum(n for n, _ in sizes)
+            lead = 2 * sum(n for n, within in sizes if within) / total - 1 if total else 0.0
+            for k in range(len(self.nodes)):
+                self.shift[k] += DECLARED * (lead if declared in inside[k] else -max(lead, 0.0))
 
     def keys(self, host: str) -> list[int]:
         """The site tree's node of each node: the path of steps from the root, on that host."""
@@ -237,14 +258,12 @@ class Page:
         return out
 
     def main_text(self, importance: list[float], low: float = LOW) -> tuple[str, float]:
-        """The kept blocks, and the mean importance that the site's tree gives them."""
+        """The blocks of branches whose shifted importance is not low, and the mean importance that the site's tree gives them."""
         gone: list[bool] = []
         for k, node in enumerate(self.nodes):
-            if self.declared is not None:
-                gone.append(self.out[k] or self.declared not in self.inside[k])
-            else:
-                gone.append(self.out[k] or importance[k] < low or node.parent >= 0 and gone[node.parent])
-        kept = [(k, text) for k, text in self.blocks if not gone[k]]
+            own = self.lost[k] or importance[k] + self.shift[k] < low and not self.holds[k]
+            gone.append(own or node.parent >= 0 and gone[node.parent])
+        kept = [(k, text) for k, text in self.blocks if not gone[k] and importance[k] + self.shift[k] >= low]
         return "\n".join(t for _, t in kept), sum(importance[k] for k, _ in kept) / len(kept) if kept else 0.0
 
 

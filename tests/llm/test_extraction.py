@@ -21,6 +21,95 @@ def test_markup():
     assert text_of("") == "" and text_of("<article></article>") == "" and text_of("plain\n text") == "plain text"
 
 
+STORY = "The long story of the day has many words and goes on for a while, as stories do."
+
+
+def test_roles_shift_but_do_not_decide():
+    assert text_of(f'<div class="story">{STORY}</div><div><article>teaser one</article><article>teaser two</article></div>') == STORY
+    assert text_of("<form><article><p>real text</p></article><input></form>") == "real text"
+    sections = '<section class="share-price"><p>12 dollars</p></section><section class="comment-on-law"><p>law</p></section>'
+    assert text_of(f'<article><p>a</p>{sections}<div class="share-buttons">x</div><div class="comment">no</div></article>') == "a\n12 dollars\nlaw"
+    # A main part around the article, and text beside both.
+    assert text_of(f"<main><p>lead</p><article>{STORY}</article></main><p>after") == STORY
+    assert text_of(f"<main>{STORY}</main><div>after</div>") == STORY
+
+
+def test_importance_decides_without_and_against_roles():
+    page = extraction.Page(f"<div class=a>{STORY}</div><div class=b>{STORY}</div><div class=share-price>{STORY}</div>")
+    steps = [n.step for n in page.nodes]
+    mean = lambda **own: [own.get(s.split(".")[-1].replace("-", "_"), 1.0) for s in steps]
+    assert page.main_text(mean(a=0.1))[0] == f"{STORY}\n{STORY}"
+    assert page.main_text(mean(share_price=0.6))[0] == f"{STORY}\n{STORY}"
+    assert page.main_text(mean(a=0.1, b=0.1, share_price=0.6))[0] == ""
+    # Half of the text in a declared article: the tree alone decides.
+    page = extraction.Page(f"<article>{STORY}</article><div class=b>{STORY}</div>")
+    steps = [n.step for n in page.nodes]
+    assert page.main_text(mean(article=0.1))[0] == STORY and page.main_text(mean(b=0.1))[0] == STORY
+    assert page.main_text(mean())[0] == f"{STORY}\n{STORY}"
+
+
+def plain_importance(pages):
+    """Each page's importance by node, from a style tree kept as plain dictionaries of paths."""
+    import math
+    from collections import Counter, defaultdict
+
+    def path(page, k):
+        return () if k < 0 else (*path(page, page.nodes[k].parent), page.nodes[k].step)
+
+    styles, contents = defaultdict(Counter), defaultdict(Counter)
+    for page in pages:
+        style, content = defaultdict(list), defaultdict(list)
+        for k, node in enumerate(page.nodes):
+            style[path(page, k)] += [s for i, s in enumerate(node.children) if not i or s != node.children[i - 1]]
+            content[path(page, k)] += node.texts
+        for table, own in ((styles, style), (contents, content)):
+            for key, values in own.items():
+                if values:
+                    table[key][tuple(values)] += 1
+
+    def entropy(counts):
+        m = sum(counts.values())
+        return 1.0 if m == 1 else -sum(n / m * math.log(n / m, m) for n in counts.values())
+
+    def value(page, k):
+        key, node = path(page, k), page.nodes[k]
+        below = [value(page, c) for c, n in enumerate(page.nodes) if n.parent == k]
+        own = below + ([entropy(contents[key])] if node.texts else [])
+        style = entropy(styles[key]) if styles[key] else 1.0
+        if not own:
+            return style
+        weight = 1 - extraction.GAMMA ** len(styles[key]) if below else 0.0
+        return (1 - weight) * sum(own) / len(own) + weight * style
+
+    return [[value(page, k) for k in range(len(page.nodes))] for page in pages]
+
+
+def test_generated_site_against_a_plain_tree(spark):
+    """Teasers, a form around everything, story text beside the article, and template boxes without a role."""
+    import random
+
+    rng = random.Random(6)
+    words = "river stone light market quiet garden winter bridge paper morning".split()
+
+    def some(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    pages, stories = [], []
+    for k in range(40):
+        story = [some(rng.randrange(20, 40)) + f" {k}" for _ in range(rng.randrange(1, 5))]
+        inside = "".join(f"<p>{p}</p>" for p in story)
+        body = f"<article>{inside}</article>" if k % 2 else f'<div class="text">{inside}</div><div class="cards"><article>{some(2)}</article><article>{some(2)}</article></div>'
+        pages.append(f'<body><form><div class="top"><p>Welcome to our pages</p></div><nav>{some(3)}</nav>{body}<div class="low"><p>All rights reserved</p></div></form></body>')
+        stories.append("\n".join(story))
+    rows = [(k, "http://site.org/x", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k].text for k in range(40)] == stories
+    parsed = [extraction.Page(p) for p in pages]
+    for k, (page, importance) in enumerate(zip(parsed, plain_importance(parsed))):
+        text, mean = page.main_text(importance)
+        assert text == got[k].text and abs(mean - got[k].importance) < 1e-9
+
+
 def test_template_branches_go_and_copies_in_articles_stay(spark):
     def page(k, body):
         return f'<html><body><div class="top"><p>Welcome to our site</p></div>{body}<div class="low"><p>All rights reserved</p></div></body></html>'
