@@ -127,16 +127,72 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as its epochs say, with the columns it came with.
+def _limits(sized: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
+    """``of, times, whole, limit`` from ``source, place``: whole epochs, and the last place that the rest takes in.
 
-    Decisions are joined back by id; rows that share an id share the decision of the first in order.
+    Without a limit the rest takes in everything or nothing.  A place is key, size and text hash; rows with one place are
+    summed first, so many copies of a row are one entry of their bucket.
     """
-    id_col = options.get("id_col", "doc_id")
-    chosen = mix(docs, **options).groupBy("doc_id").agg(F.max("epochs").cast("int").alias("_epochs"))
-    joined = docs.join(chosen, docs[f"`{id_col}`"].eqNullSafe(chosen["doc_id"])).drop(chosen["doc_id"])
-    copies = F.explode(F.when(F.col("_epochs") > 0, F.sequence(F.lit(1), F.col("_epochs"))).otherwise(F.array().cast("array<int>")))
-    return joined.withColumn("_copy", copies).drop("_copy", "_epochs")
+    key, size = F.col("place.key"), F.col("place.size")
+    per_source = sized.groupBy("source").agg(F.sum(size).alias("source_size"), F.count("*").alias("n"), F.avg(key).alias("mean"))
+    targets = source_targets(per_source.select("source", "source_size"), weights, most)
+    plan = per_source.drop("source_size").join(targets, per_source["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    plan = plan.withColumn("times", times.cast("int")).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
+    plan = written(plan.select(F.col("source").alias("of"), "n", "mean", "times", "rest"), "mix-plan")
+    bucket = F.floor((1 - F.exp(-key / F.col("mean"))) * F.ceil(F.col("n") / F.lit(float(BUCKET_ROWS))))
+    placed = sized.groupBy("source", "place").agg(F.sum(size).alias("total"))
+    placed = placed.join(plan, placed["source"].eqNullSafe(plan["of"])).withColumn("bucket", bucket)
+    buckets = placed.groupBy("source", "bucket", "rest").agg(F.sum("total").alias("total"))
+    buckets = buckets.withColumn("before", F.sum("total").over(W.partitionBy("source").orderBy("bucket")) - F.col("total"))
+    ends = buckets.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("total") > F.col("rest")) & (F.col("rest") > 0))
+    ends = ends.select(F.col("source").alias("s"), F.col("bucket").alias("last"), "before")
+    edge = placed.join(ends, placed["source"].eqNullSafe(ends["s"]) & (F.col("bucket") == F.col("last")))
+    upto = F.col("before") + F.sum("total").over(W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    # The document on the edge is taken if that comes nearer to the target.
+    taken = F.max(F.when(F.col("upto") - F.col("total") / 2.0 < F.col("rest"), F.col("place")))
+    # If none of that bucket is, the place before its first one is the last.
+    start = F.struct(F.min("place.key").alias("key"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))
+    reached = edge.withColumn("upto", upto).groupBy("s").agg(F.coalesce(taken, start).alias("limit"))
+    found = plan.join(reached, plan["of"].eqNullSafe(reached["s"]), "left")
+    return found.select("of", "times", (F.col("rest") > 0).alias("whole"), "limit")
+
+
+# Sources whose limits are a table of proven size.
+MOST_SOURCES = 1 << 16
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    most: float = 3.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality=letter_share,
+) -> DataFrame:
+    """The mix itself: every row as often as its source's epochs and its own place say, with the columns it came with.
+
+    Each row decides for itself, by its place and the limit of its source, so texts stay where they
+    are; the limits of at most ``MOST_SOURCES`` sources are broadcast, more are joined.
+
+    * null or repeated ids, null texts and null sources: as in ``mix``; rows that share an id are told
+      apart by size and text, and exact copies in a source are taken together;
+    * columns keep their names, whatever they are; no rows: no rows.
+    """
+    text, source = docs[f"`{text_col}`"], docs[f"`{source_col}`"]
+    key = -F.log(uniform(docs[f"`{id_col}`"], seed)) / quality(text)
+    place = F.struct(key.alias("key"), word_count(text).alias("size"), F.xxhash64(text).alias("tie")).alias("place")
+    limits = written(_limits(written(docs.select(source.alias("source"), place), "mix-sizes"), weights, most), "mix-limits")
+    if limits.count() <= MOST_SOURCES:
+        limits = F.broadcast(limits)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), source.alias("source"), place)
+    joined = rows.join(limits, rows["source"].eqNullSafe(limits["of"]))
+    epochs = F.col("times") + F.coalesce(F.col("place") <= F.col("limit"), F.col("whole")).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(True), epochs)).alias("copy")
+    return joined.select("doc", copies).select("doc.*")
+
 
 
 

@@ -51,6 +51,8 @@ ENCODINGS = [
 ]
 _CODES = [{c: k for k, c in enumerate(alphabet)} for _, alphabet in ENCODINGS]
 BINS, RATE, LENGTHS = 50, 0.05, 12
+# Groups of bins whose evenness is tested, tokens that each must have on average, and the 1 % point of chi-squared for four free groups.
+GROUPS, LEAST_EXPECTED, UNEVEN = 5, 5, 13.28
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -148,22 +150,25 @@ def _found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def bounds(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, float]:
     """Per stratum, the lowest p-value bound with an expected share of tokens that are not random of at most ``rate``.
 
-    Random tokens are counted in the upper half of the bins, where others are rare, and fill all
-    bins alike; what a bin holds beyond that is taken as not random.
+    Random tokens fill all bins alike and others are rare in the upper half of the bins, so that half
+    says how many random tokens a bin holds; what a bin holds beyond that is taken as not random.  A
+    stratum gets no bound if its upper half has too few tokens to tell, or is not even by a
+    chi-squared test over ``GROUPS`` groups of bins: then its tokens are not those of the model.
     """
     out = {}
+    half = BINS // 2
     for stratum in {s for s, _ in counts}:
         own = [counts.get((stratum, b), 0) for b in range(BINS)]
-        even = sum(own[BINS // 2 :]) / (BINS - BINS // 2)
-        above = other = 0.0
-        lowest = None
+        groups = [sum(own[half + k * half // GROUPS : half + (k + 1) * half // GROUPS]) for k in range(GROUPS)]
+        expected = sum(groups) / GROUPS
+        if expected < LEAST_EXPECTED or sum((g - expected) ** 2 for g in groups) / expected > UNEVEN:
+            continue
+        even = sum(groups) / half
+        above = 0
         for b in reversed(range(BINS)):
             above += own[b]
-            other += max(0.0, own[b] - even)
-            if above and (b >= BINS // 2 or other <= rate * above):
-                lowest = b / BINS
-        if lowest is not None:
-            out[stratum] = lowest
+            if above and above - even * (BINS - b) <= rate * above:
+                out[stratum] = b / BINS
     return out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from glyphmill.llm.common import named, text_bytes
+from glyphmill.llm.common import text_bytes
 from glyphmill.llm.components import components
 from glyphmill.session import WorkTables, written
 
@@ -187,17 +187,19 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, row, fp, component_id`` per row; ``row`` tells rows with equal ids apart.
+def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, row, fp, component_id, root`` per row.
+
+    ``row`` tells rows with equal ids apart and is a number of its own without ``row_col``; ``root`` is
+    one fingerprint of the component, and tells components apart whose least ids are equal.
 
     * null text, or one without words: fingerprint 0, linked like any other;
     * null doc_id: keeps its row; a component of such rows alone has a null id;
     * repeated rows share fingerprint and component; no rows: no rows;
     * other columns are ignored, whatever their names.
     """
-    rows = named(docs, doc_id=id_col, text=text_col).select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), fingerprints(F.col("text")).alias("fp")
-    )
+    number = docs[row_col] if row_col else F.monotonically_increasing_id()
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), number.alias("row"), fingerprints(docs[f"`{text_col}`"]).alias("fp"))
     rows = written(rows, "fingerprints")
     leasts = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     with WorkTables(docs.sparkSession) as work:
@@ -205,13 +207,19 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named_roots = leasts.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
         roots = written(named_roots.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "row", "fp", "component_id")
+    return rows.join(roots.join(ids, "root"), "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the least id, the first of equal ones.  All columns stay."""
-    found = with_components(docs, id_col, text_col)
+    """``docs`` with one row of each component: the one with the least id, the first of equal ones.
+
+    All columns stay, whatever their names.  Rows are numbered in a written copy, so that shuffled
+    input or executors that come and go cannot give a row another number.
+    """
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "numbered")
+    texts = rows.select("row", rows["doc"][id_col].alias("id"), rows["doc"][text_col].alias("text"))
+    found = with_components(texts, "id", "text", "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first.getField("row").alias("_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    kept = found.groupBy("root").agg(first.getField("row").alias("row"))
+    return rows.join(kept.select("row"), "row", "left_semi").select("doc.*")

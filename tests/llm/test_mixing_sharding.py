@@ -51,6 +51,37 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_rows_decide_for_themselves(spark):
+    """One id in two sources, null and repeated ids, copies, and columns that look like the operator's own."""
+    rows = [(k % 150, f"text {k} " + "w " * (k % 23), "ab"[k % 2]) for k in range(600)]
+    rows += [(None, f"null {k} " + "v " * (k % 11), "c") for k in range(200)] + [(7, "same text here", "d")] * 40 + [(None, None, None), (8, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(["place", "source_size", "limit", "times", "_epochs", "_copy", "doc", "of"])])
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    sizes, taken, copies = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    for r in got.collect():
+        taken[r.source] += words(r.text)
+        copies[r.doc_id, r.text, r.source] += 1
+    want = targets(sizes)
+    for s in "abc":
+        assert abs(taken[s] - want[s]) <= max(words(t) for _, t, own in rows if own == s) / 2 + 1e-6
+    there = collections.Counter(rows)
+    assert all(n % there[k] == 0 and n <= 3 * there[k] for k, n in copies.items())
+    assert abs(taken["d"] - want["d"]) <= sizes["d"] / 2
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mixed_rows(docs).collect()))
+    assert mixing.mixed_rows(docs.limit(0)).collect() == []
+
+
+def test_rows_equal_the_mix(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "source")
+    want = {r.doc_id: r.epochs for r in mixing.mix(docs).collect() if r.epochs}
+    assert collections.Counter(r.doc_id for r in mixing.mixed_rows(docs).collect()) == want
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rows = op5_sharding(spark, "/root/testdata/sf0.01").collect()
     load, slots = collections.Counter(), collections.defaultdict(list)

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import secrets
@@ -61,6 +63,42 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert sum(k >= 300 for k in found) <= 0.15 * len(found)
 
 
+def test_bounds_need_an_even_tail_of_enough_tokens():
+    assert secrets.bounds({(0, 0): 100, (0, 10): 50, (0, 26): 40, (0, 30): 1}) == {}
+    assert secrets.bounds({(3, 30): 3, (3, 2): 1}) == {}
+    assert secrets.bounds({}) == {}
+    even = {(1, b): 20 for b in range(secrets.BINS)}
+    assert secrets.bounds(even) == {1: 0.0}
+    # A heap of other tokens in the lowest bins: the bound stays above it.
+    assert secrets.bounds(even | {(1, 0): 5000, (1, 1): 400})[1] == pytest.approx(2 / secrets.BINS)
+    # Others spread over the lower half: at most one in twenty is let in.
+    slope = {(2, b): 100 + max(0, 25 - b) * 10 for b in range(secrets.BINS)}
+    b = round(secrets.bounds(slope)[2] * secrets.BINS)
+    above = sum(slope[2, k] for k in range(b, secrets.BINS))
+    assert 0 < b < 25 and above - 100 * (secrets.BINS - b) <= 0.05 * above
+    below = above + slope[2, b - 1]
+    assert below - 100 * (secrets.BINS - b + 1) > 0.05 * below
+
+
+def test_false_discoveries_are_held_in_mixed_corpora():
+    """Random tokens and heaps of others at random sizes: the share of others above the bound."""
+    rng = random.Random(9)
+    shares = []
+    for _ in range(200):
+        counts, others = Counter(), Counter()
+        for _ in range(rng.randrange(200, 5000)):
+            counts[0, rng.randrange(secrets.BINS)] += 1
+        for _ in range(rng.randrange(0, 5000)):
+            b = min(secrets.BINS - 1, int(rng.expovariate(0.3)))
+            counts[0, b] += 1
+            others[b] += 1
+        bound = secrets.bounds(counts).get(0)
+        if bound is not None:
+            b = round(bound * secrets.BINS)
+            shares.append(sum(n for k, n in others.items() if k >= b) / sum(n for (_, k), n in counts.items() if k >= b))
+    assert len(shares) > 150 and sum(shares) / len(shares) <= secrets.RATE
+
+
 def test_p_values_of_random_tokens_are_even():
     rng = random.Random(4)
     p = sorted(secrets.randomness_p("".join(rng.choice(string.digits + "ABCDEF") for _ in range(64)), 1) for _ in range(2000))

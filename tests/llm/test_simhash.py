@@ -107,3 +107,19 @@ def test_nulls_ties_and_clashes(spark):
 def test_empty_table(spark, column):
     docs = spark.createDataFrame([], column)
     assert simhash.with_components(docs).collect() == [] and simhash.one_per_component(docs).collect() == []
+
+
+def test_one_row_of_each_component_from_shuffled_input(spark):
+    rows = [(k % 30 if k % 7 else None, f"text number {k % 25} of some words that differ {'x' * (k % 25)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS doc", "3 AS fp", "4 AS _row").repartition(7)
+    kept = simhash.one_per_component(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    members = {}
+    for k, (_, group) in brute(list(enumerate(t for _, t in rows))).items():
+        members.setdefault(group, []).append(rows[k])
+    assert len(found) == len(members) > 1
+    for own in members.values():
+        ids = [i for i, _ in own if i is not None]
+        mine = [f for f in found if f in own]
+        assert mine and (mine[0][0] == min(ids) if ids else mine[0][0] is None)
