@@ -1,8 +1,10 @@
 """Sharding over fixed virtual slots.
 
-A record's slot is a hash of its id and never changes.  Bytes are summed per slot, and a
-versioned map says which shard holds each slot.  Rebalancing edits the map: it writes a new
-version in which as few slots as possible have moved, and leaves the records' slots alone.
+A record's slot is a hash of its id (of its text, where it has none) and never changes.  Bytes are
+summed per slot, and a stored map says which shard holds each slot.  The first run over a map's
+folder writes version 1; later ones edit the latest version, moving as few slots as possible, write
+it as the next one if anything moved, and leave the records' slots alone.  Rows are placed by what
+has been read back from the folder.
 
 Only the map (``SLOTS`` rows, a fixed bound) is ever handled by the driver.
 """
@@ -14,14 +16,15 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from glyphmill.llm.common import named
-from glyphmill.session import written
+from glyphmill.session import new_path, written
 
 SLOTS = 16384
 RECORD_BYTES = 16
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    hashed = F.when(key.isNotNull(), F.xxhash64(key.cast("string"))).otherwise(F.xxhash64(text))
+    return F.pmod(hashed, F.lit(slots)).cast("int")
 
 
 def record_size(text: Column) -> Column:
@@ -83,6 +86,31 @@ def load_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     return {r.virtual_slot: r.shard for r in rows.collect()}
 
 
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The highest version that has been written to its end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path.rstrip("/"))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = files.globStatus(hadoop(f"{path.rstrip('/')}/version=*/_SUCCESS")) or []
+    return max((int(f.getPath().getParent().getName().removeprefix("version=")) for f in done), default=None)
+
+
+def current_map(spark: SparkSession, path: str, loads: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """The map of a folder for these loads: its first version, or its latest one edited, as it is stored."""
+    version = latest_version(spark, path)
+    if version is None:
+        save_map(spark, path, 1, first_map(loads, shards, slots))
+        return load_map(spark, path, 1)
+    old = load_map(spark, path, version)
+    if len(old) != slots:
+        raise ValueError(f"the stored map has {len(old)} slots, not {slots}")
+    new = rebalanced_map(old, loads, shards)
+    if new == old:
+        return old
+    save_map(spark, path, version + 1, new)
+    return load_map(spark, path, version + 1)
+
+
 def place(placed: dict[int, int]) -> Column:
     """The shard of ``virtual_slot`` under a map, as a lookup in a constant array of fixed length."""
     shards = ",".join(str(placed[k]) for k in range(len(placed)))
@@ -90,26 +118,27 @@ def place(placed: dict[int, int]) -> Column:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", placed: dict[int, int] | None = None
+    docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None
 ) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot, shard, slot`` per row; ``slot`` numbers the rows of a shard from 0.
 
-    * null text: no bytes, checksum of the empty text; null doc_id: the slot of the empty id;
+    * null text: no bytes, checksum of the empty text; null doc_id: the slot of its text;
     * repeated ids share slot and shard, equal rows get different numbers in either order;
     * no rows: no rows; other columns are ignored, whatever their names.
 
-    A record larger than the mean shard leaves its shard above it: records are never cut.
+    A record larger than the mean shard leaves its shard above it: records are never cut.  The map
+    lives in ``map_path``, or in a folder of this run.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = named(docs, doc_id=id_col, text=text_col).select(
         "doc_id",
         record_size(F.col("text")).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"),
+        virtual_slot(F.col("doc_id"), F.col("text"), slots).alias("virtual_slot"),
     )
     rows = written(rows, "shard-sizes")
-    if placed is None:
-        placed = first_map(slot_bytes(rows), shards, slots)
+    placed = current_map(spark, map_path or new_path(spark, "shard-map"), slot_bytes(rows), shards, slots)
     # Rows are numbered within their slot; the slots of a shard follow one another.
     counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("_n")).withColumn("shard", place(placed))
     ahead = F.sum("_n").over(W.partitionBy("shard").orderBy("virtual_slot")) - F.col("_n")
@@ -122,11 +151,14 @@ def shard_documents(
     )
 
 
-def sharded_rows(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded_rows(
+    docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None
+) -> DataFrame:
     """``docs`` with ``virtual_slot`` and ``shard`` (in place of columns of these names); texts are not moved."""
+    spark = docs.sparkSession
     sizes = named(docs, doc_id=id_col, text=text_col).select(
-        virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"), record_size(F.col("text")).alias("size")
+        virtual_slot(F.col("doc_id"), F.col("text"), slots).alias("virtual_slot"), record_size(F.col("text")).alias("size")
     )
-    placed = first_map(slot_bytes(sizes), shards, slots)
-    rows = docs.withColumn("virtual_slot", virtual_slot(docs[f"`{id_col}`"], slots))
+    placed = current_map(spark, map_path or new_path(spark, "shard-map"), slot_bytes(sizes), shards, slots)
+    rows = docs.withColumn("virtual_slot", virtual_slot(docs[f"`{id_col}`"], docs[f"`{text_col}`"], slots))
     return rows.withColumn("shard", place(placed))

@@ -1,6 +1,7 @@
 import collections
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import mixing, sharding
@@ -110,6 +111,46 @@ def test_rebalancing_moves_little(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path), 1) == first and sharding.load_map(spark, str(tmp_path), 2) == more
 
 
+def test_the_map_is_stored_and_edited(spark, tmp_path):
+    """Sizes, checksums, slots and the greedy map against plain Python; a second run edits the stored version."""
+    import zlib
+
+    import xxhash
+
+    folder = f"{tmp_path}/map"
+    rows = [(k if k % 9 else None, "é word " * (k * 37 % 211) + str(k)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, 7, 256, map_path=folder).collect()
+    assert sharding.latest_version(spark, folder) == 1
+    size = lambda t: len(t.encode()) + 16
+    slot = lambda i, t: xxhash.xxh64_intdigest((t if i is None else str(i)).encode(), seed=42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    loads = collections.Counter()
+    for i, t in rows:
+        loads[signed(slot(i, t)) % 256] += size(t)
+    placed, held = {}, [0] * 7
+    for k in sorted(range(256), key=lambda k: (-loads[k], k)):
+        placed[k] = min(range(7), key=lambda s: (held[s], s))
+        held[placed[k]] += max(1, loads[k])
+    want = sorted((str(i), size(t), zlib.crc32(t.encode()), signed(slot(i, t)) % 256, placed[signed(slot(i, t)) % 256]) for i, t in rows)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32, r.virtual_slot, r.shard) for r in got) == want
+    assert sharding.load_map(spark, folder, 1) == placed
+    # More rows and one more shard: version 2, in which few slots have moved.
+    more = docs.union(spark.createDataFrame([(k, "new " * 50) for k in range(1000, 1200)], docs.schema))
+    again = {r.doc_id: r.shard for r in sharding.sharded_rows(more, 8, 256, map_path=folder).collect()}
+    edited = sharding.load_map(spark, folder, 2)
+    assert sharding.latest_version(spark, folder) == 2 and set(edited.values()) == set(range(8))
+    assert sum(edited[k] != placed[k] for k in placed) < 256 / 3
+    assert all(again[r.doc_id] == edited[r.virtual_slot] for r in got if r.doc_id is not None)
+    # Nothing to move: no new version.  A version that was not finished does not count.
+    sharding.sharded_rows(more, 8, 256, map_path=folder)
+    assert sharding.latest_version(spark, folder) in (2, 3)
+    (tmp_path / "map" / "version=00000009").mkdir()
+    assert sharding.latest_version(spark, folder) in (2, 3)
+    with pytest.raises(ValueError):
+        sharding.sharded_rows(more, 8, 128, map_path=folder)
+
+
 def test_sharding_edge_cases(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "é" * 90_000)], "doc_id long, text string").withColumn("shard", F.lit("c")).withColumn("size", F.lit(0))
     got = sorted((str(r.doc_id), r.size, r.text_crc32) for r in sharding.shard_documents(docs).collect())
