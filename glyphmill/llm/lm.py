@@ -1,50 +1,55 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Every context is a restaurant, every word that follows it a dish.  The customers of a dish sit at
-tables, and each table is one customer of the same dish in the parent restaurant, which all
-contexts share; the parent's own tables draw from a uniform choice among the known words and one
-sign for all others.  Contexts are the preceding word, hashed into ``CONTEXTS`` restaurants, so
-that what describes the restaurants as such has a fixed size.
+tables, and each table is one customer of the same dish in the parent restaurant.  A restaurant
+of two preceding words has that of the nearer word as its parent, and all of these share one
+root, whose tables draw from a uniform choice among the known words and one sign for all others.
+Contexts are the words themselves, as 64-bit hashes: there are as many restaurants as the corpus
+has contexts, and none is shared by strangers.
 
 Gibbs sweeps draw the tables of each dish anew, given everything else as the last sweep left it.
-Given the parent's probabilities and the number of tables in its restaurant, a dish depends on
-nothing else; so dishes are dealt out by word and sampled side by side, and only the tables per
-restaurant and a few totals pass through the driver between sweeps.  The predictive
+Given its parent's probability and the totals of its restaurant, a dish depends on nothing else.
+So dishes are dealt out by word, with the whole chain of a word's dishes in one part, and are
+sampled side by side.  Restaurants reach over all parts: every part sends the customers and
+tables of its contexts to their buckets, where they are summed and sent back.  The predictive
 probabilities of the sweeps after the first ones are averaged.
 
-Tokens move once, packed in arrays by word.  Words and word pairs that are a large part of the
-corpus are spread over all parts, their counts joined through the driver (at most ``1 / HOT``
-words and pairs can be so frequent).  Every sweep reads the kept parts again and replays the
-earlier sweeps from their recorded totals, so no state but the packed tokens has to survive.
+Tokens move once, packed in arrays by word, and are written.  Each sweep writes its tables and the
+totals it met, and the next starts from there.  Words, pairs and triples that are a large part of
+the corpus are spread over all parts; their counts and tables are joined through the driver (at
+most ``1 / HOT`` of each kind can be so frequent).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphmill.llm.common import mixed64, named, small_batches, text_bytes
-from glyphmill.session import written
+from glyphmill.session import WorkTables, delete, new_path, written
 
-CONTEXTS = 1 << 14
 SWEEPS, FIRST_KEPT = 4, 2
 STRENGTH = 1.0
-# A word or pair with this share of the tokens is spread over all parts.
+# A word, pair or triple with this share of the tokens is spread over all parts.
 HOT = 1 / 1024
-# Text that one part of the packed tokens comes from, and text that is read to find the hot words.
+# Text that one part of the packed tokens comes from, and text that is read to find the hot and common words.
 PART_BYTES, LAYOUT_BYTES = 12 << 20, 256 << 20
 BATCH_ROWS = 1 << 15
+# Words with a short code in packed tokens; all others are packed as their hash.
+COMMON = (1 << 16) - 1
+FILES = 1 << 15
 # Up to so many customers of a dish a table holds the weights of its numbers of tables; beyond it, an
 # integral of so many points is taken at so many numbers of tables.
-STIRLING, _NODES, _STEPS = 1024, 72, 96
+STIRLING, _NODES, _STEPS = 1024, 48, 64
 END, START = b"\n", b"\r"
 _TRAIN = 1 << 15
 
@@ -54,27 +59,34 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _context(hashed: np.ndarray) -> np.ndarray:
-    return (mixed64(hashed) >> np.uint64(32)) % np.uint64(CONTEXTS)
+START_HASH = _hashes([START])[0]
 
 
-START_CONTEXT = int(_context(_hashes([START]))[0])
+def joined(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """One number for a key and the word before it: a pair from a word, a triple from a pair."""
+    with np.errstate(over="ignore"):
+        return mixed64(near ^ mixed64(far + np.uint64(1)))
 
 
-def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """One number for a word in a context."""
-    return mixed64(words ^ mixed64(contexts.astype(np.uint64) + np.uint64(1)))
+def context1(v: np.ndarray) -> np.ndarray:
+    """The restaurant of one preceding word."""
+    return mixed64(~v)
+
+
+def context2(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The restaurant of two preceding words, ``u`` before ``v``."""
+    return joined(context1(v), u)
 
 
 @dataclass
 class Tokens:
-    """Words of a batch of texts, each text closed by an end sign."""
+    """Words of a batch of texts, each text closed by an end sign; ``v`` precedes a word, ``u`` precedes ``v``."""
 
     words: np.ndarray
     code: np.ndarray
-    context: np.ndarray
+    v: np.ndarray
+    u: np.ndarray
     doc: np.ndarray
-    counts: np.ndarray
 
 
 def tokens_of(texts: list[bytes]) -> Tokens:
@@ -87,11 +99,14 @@ def tokens_of(texts: list[bytes]) -> Tokens:
         flat += own
     coded = pa.array(flat, pa.large_binary()).dictionary_encode()
     words, code = _hashes(coded.dictionary.to_pylist()), np.asarray(coded.indices)
-    of_word = _context(words)
-    context = np.empty(len(code), dtype=np.int64)
-    context[1:] = of_word[code[:-1]]
-    context[np.cumsum(counts) - counts] = START_CONTEXT
-    return Tokens(words, code, context, np.repeat(np.arange(len(texts)), counts), counts)
+    starts = np.cumsum(counts) - counts
+    v = np.full(len(code), START_HASH)
+    v[1:] = words[code[:-1]]
+    v[starts] = START_HASH
+    u = np.full(len(code), START_HASH)
+    u[1:] = v[:-1]
+    u[starts] = START_HASH
+    return Tokens(words, code, v, u, np.repeat(np.arange(len(texts)), counts))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,34 +115,31 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+_FOUND = "kind int, word long, v long, u long, n long"
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0) and pairs (kind 1) that are frequent within a batch, and the tokens (kind 2)."""
+    """Of a batch: frequent words (kind 0), pairs (1) and triples (2), the most common words (3) and the number of tokens (4)."""
     for batch in _batches(batches):
         t = tokens_of(text_bytes(batch.column("text")))
-        of_word = t.words[t.code]
-        out = [(2, 0, 0, len(t.code))]
-        for kind, keys in ((0, of_word), (1, _pair(of_word, t.context))):
+        w = t.words[t.code]
+        pairs = joined(w, t.v)
+        none = np.zeros(1, dtype=np.uint64)
+        out = [(np.array([4]), none, none, none, np.array([len(w)]))]
+        for kind, keys in enumerate((w, pairs, joined(pairs, t.u))):
             _, first, n = np.unique(keys, return_index=True, return_counts=True)
-            big = n >= max(2, HOT / 2 * len(keys))
-            out += [(kind, int(of_word[f].view(np.int64)), int(t.context[f]) * kind, int(c)) for f, c in zip(first[big], n[big])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["kind", "word", "context", "n"])
-
-
-@dataclass
-class Layout:
-    """Number of parts, and the words and pairs that are spread over all of them."""
-
-    parts: int
-    words: np.ndarray
-    pair_words: np.ndarray
-    pair_contexts: np.ndarray
-    pairs: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.words = np.sort(self.words)
-        keys = _pair(self.pair_words, self.pair_contexts)
-        order = np.argsort(keys)
-        self.pairs, self.pair_words, self.pair_contexts = keys[order], self.pair_words[order], self.pair_contexts[order]
+            big = np.flatnonzero(n >= max(2, HOT / 2 * len(keys)))
+            f = first[big]
+            out.append((np.full(len(f), kind), w[f], t.v[f] * np.uint64(kind > 0), t.u[f] * np.uint64(kind > 1), n[big]))
+        n = np.bincount(t.code, minlength=len(t.words))
+        top = np.argsort(-n, kind="stable")[:COMMON]
+        zero = np.zeros(len(top), dtype=np.uint64)
+        out.append((np.full(len(top), 3), t.words[top], zero, zero, n[top]))
+        kind, *keys, n = (np.concatenate(c) for c in zip(*out))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind.astype(np.int32)), *[pa.array(k.astype(np.uint64).view(np.int64)) for k in keys], pa.array(n.astype(np.int64))],
+            ["kind", "word", "v", "u", "n"],
+        )
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -138,79 +150,132 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+@dataclass
+class Layout:
+    """Number of parts, words with a short code, and what is spread over all parts.
+
+    ``hot`` are triples of word, word before and word before that; each triple brings its pair and each pair its word.
+    """
+
+    parts: int
+    common: np.ndarray
+    hot_words: np.ndarray
+    hot_pairs: np.ndarray
+    hot_triples: np.ndarray
+    keys: list[np.ndarray] = field(init=False)
+    parents: list[np.ndarray] = field(init=False)
+    contexts: list[np.ndarray] = field(init=False)
+
+    def __post_init__(self):
+        triples = self.hot_triples.reshape(-1, 3)
+        pairs = np.unique(np.concatenate([self.hot_pairs.reshape(-1, 2), triples[:, :2]]), axis=0)
+        words = np.unique(np.concatenate([self.hot_words, pairs[:, 0]]))
+        key1, key2 = joined(pairs[:, 0], pairs[:, 1]), joined(joined(triples[:, 0], triples[:, 1]), triples[:, 2])
+        pairs, triples = pairs[np.argsort(key1)], triples[np.argsort(key2)]
+        self.common = np.sort(self.common)
+        self.keys = [words, np.sort(key1), np.sort(key2)]
+        self.parents = [None, _find(words, pairs[:, 0]), _find(self.keys[1], joined(triples[:, 0], triples[:, 1]))]
+        self.contexts = [None, context1(pairs[:, 1]), context2(triples[:, 1], triples[:, 2])]
+        self.hot_contexts = np.unique(np.concatenate(self.contexts[1:]))
+
+    def bucket(self, contexts: np.ndarray) -> np.ndarray:
+        """Buckets of restaurants, in the order of the keys."""
+        return ((contexts >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+
+    def short(self, words: np.ndarray) -> tuple[bytes, bytes]:
+        at = _find(self.common, words)
+        return np.where(at < 0, COMMON, at).astype("<u2").tobytes(), words[at < 0].tobytes()
+
+    def long(self, codes: bytes, rest: bytes) -> np.ndarray:
+        at = np.frombuffer(codes, "<u2")
+        out = np.empty(len(at), dtype=np.uint64)
+        there = at < COMMON
+        out[there] = self.common[at[there]]
+        out[~there] = np.frombuffer(rest, "<u8")
+        return out
+
+
 def find_layout(rows: DataFrame, size: int, parts: int) -> Layout:
+    """Hot and common words of a bounded sample: they decide where tokens go and how they are packed, not what comes out."""
     seen = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(min(1.0, LAYOUT_BYTES / max(1, size)) * (1 << 20)))
-    found = seen.select("text").mapInArrow(_frequent, "kind long, word long, context long, n long").groupBy("kind", "word", "context").agg(F.sum("n").alias("n"))
-    total = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = found.where((F.col("kind") < 2) & (F.col("n") >= max(2, total * HOT))).collect()
-    pairs = [r for r in top if r.kind == 1]
-    words = {r.word for r in top}
-    as_u64 = lambda x: np.array(sorted(x), dtype=np.int64).view(np.uint64)
+    with WorkTables(rows.sparkSession) as work:
+        found = work.write(seen.select("text").mapInArrow(_frequent, _FOUND).groupBy("kind", "word", "v", "u").agg(F.sum("n").alias("n")), "lm-layout")
+        total = found.where("kind = 4").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        top = found.where((F.col("kind") < 3) & (F.col("n") >= max(2, total * HOT))).collect()
+        common = found.where("kind = 3 and n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").toArrow()
+    as_u64 = lambda x: np.array(x, dtype=np.int64).view(np.uint64)
     return Layout(
-        parts, as_u64(words), np.array([r.word for r in pairs], dtype=np.int64).view(np.uint64), np.array([r.context for r in pairs], dtype=np.int64)
+        parts,
+        np.asarray(common.column("word").combine_chunks()).astype(np.int64).view(np.uint64),
+        as_u64([r.word for r in top if r.kind == 0]),
+        as_u64([x for r in top if r.kind == 1 for x in (r.word, r.v)]),
+        as_u64([x for r in top if r.kind == 2 for x in (r.word, r.v, r.u)]),
     )
 
 
+_CHUNK = ["base", "w", "n", "v", "vr", "u", "ur", "d"]
+_PACKED = "part int, base long, w binary, n binary, v binary, vr binary, u binary, ur binary, d binary"
+
+
 def _packed(layout):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens of a batch by part: distinct words, how often each occurs, and contexts and documents in that order."""
+        """Tokens of a batch by part: distinct words, how often each occurs, and what stands before each and its document in that order."""
         own = layout.value
         for batch in _batches(batches):
             t = tokens_of(text_bytes(batch.column("text")))
             row = np.asarray(batch.column("row"))
             train = np.asarray(batch.column("train").cast(pa.int8())).astype(bool)
-            part = (mixed64(t.words) % np.uint64(own.parts))[t.code].astype(np.int64)
-            hot = np.flatnonzero((_find(own.words, t.words) >= 0)[t.code])
-            pairs = _pair(t.words[t.code[hot]], t.context[hot])
-            salt = np.where(_find(own.pairs, pairs) >= 0, np.uint64(row[0]) + np.uint64(1), np.uint64(0))
-            part[hot] = mixed64(pairs ^ mixed64(salt)) % np.uint64(own.parts)
+            key = t.words[t.code]
+            # What is hot is told apart by one more word, at last by the batch.
+            for level, more in enumerate((t.v, t.u, np.full(len(key), row[0], dtype=np.uint64))):
+                hot = np.flatnonzero(_find(own.keys[level], key) >= 0) if level == 0 else hot[_find(own.keys[level], key[hot]) >= 0]
+                key[hot] = joined(key[hot], more[hot])
+            part = (mixed64(key) % np.uint64(own.parts)).astype(np.int64)
             order = np.argsort(part << 32 | t.code)
             part, code = part[order], t.code[order]
-            x = (t.context | np.where(train, _TRAIN, 0)[t.doc])[order].astype("<u2")
-            d = t.doc[order].astype("<u2")
+            d = (t.doc | np.where(train, _TRAIN, 0)[t.doc])[order].astype("<u2")
+            v, u = t.v[order], t.u[order]
             runs = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (code[1:] != code[:-1]))))
             sizes = np.diff(np.append(runs, len(code))).astype("<u4")
             words, run_part = t.words[code[runs]], part[runs]
             cuts = np.flatnonzero(np.concatenate(([True], run_part[1:] != run_part[:-1], [True])))
             at = np.append(runs, len(code))
-            rows = [
-                (int(run_part[a]), int(row[0]), words[a:b].tobytes(), sizes[a:b].tobytes(), x[at[a] : at[b]].tobytes(), d[at[a] : at[b]].tobytes())
-                for a, b in zip(cuts, cuts[1:])
-            ]
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", "base", "w", "n", "x", "d"])
+            rows = []
+            for a, b in zip(cuts, cuts[1:]):
+                s = slice(at[a], at[b])
+                rows.append((int(run_part[a]), int(row[0]), words[a:b].tobytes(), sizes[a:b].tobytes(), *own.short(v[s]), *own.short(u[s]), d[s].tobytes()))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", *_CHUNK])
 
     return pack
 
 
 @dataclass
 class State:
-    """What the driver knows: counts, and per sweep the totals that the next one needs."""
+    """What the driver knows: counts, and per sweep the totals and hot dishes that the next one needs."""
 
     layout: Layout
+    seed: int
     tokens: int = 0
     known: int = 0
-    discount: float = 0.5
-    root_discount: float = 0.5
-    context_counts: np.ndarray = None
-    hot_counts: np.ndarray = None
-    pair_counts: np.ndarray = None
-    # One entry per sweep, the first before any.
-    context_tables: list[np.ndarray] = field(default_factory=list)
-    customers: list[float] = field(default_factory=list)
+    # Of the root, of contexts of one word and of two.
+    discount: list[float] = field(default_factory=lambda: [0.5, 0.5, 0.5])
+    word_counts: np.ndarray = None
+    triple_counts: np.ndarray = None
+    # One entry per sweep, the first before any: customers of hot words and pairs, and tables of hot words, pairs and triples.
+    hot_customers: list[list[np.ndarray]] = field(default_factory=list)
+    hot_tables: list[list[np.ndarray]] = field(default_factory=list)
+    root_customers: list[float] = field(default_factory=list)
     root_tables: list[float] = field(default_factory=list)
-    hot_customers: list[np.ndarray] = field(default_factory=list)
-    hot_root: list[np.ndarray] = field(default_factory=list)
-    pair_tables: list[np.ndarray] = field(default_factory=list)
 
     def root(self, sweep: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The parent's probability of words with these customers and tables."""
-        d, t = self.root_discount, self.root_tables[sweep]
-        return (customers - d * tables + (STRENGTH + d * t) / (self.known + 1)) / (STRENGTH + self.customers[sweep])
+        """The root's probability of words with these customers and tables."""
+        d, t = self.discount[0], self.root_tables[sweep]
+        return (customers - d * tables + (STRENGTH + d * t) / (self.known + 1)) / (STRENGTH + self.root_customers[sweep])
 
-    def predictive(self, sweep: int, count: np.ndarray, tables: np.ndarray, context: np.ndarray, root: np.ndarray) -> np.ndarray:
-        d = self.discount
-        return (count - d * tables + (STRENGTH + d * self.context_tables[sweep][context]) * root) / (STRENGTH + self.context_counts[context])
+    def predictive(self, level: int, customers, tables, all_customers, all_tables, parent) -> np.ndarray:
+        d = self.discount[level]
+        return (customers - d * tables + (STRENGTH + d * all_tables) * parent) / (STRENGTH + all_customers)
 
 
 @lru_cache(maxsize=4)
@@ -225,17 +290,21 @@ def _stirling(discount: float, most: int) -> np.ndarray:
     return out
 
 
-def _large_stirling(customers: int, tables: np.ndarray, discount: float) -> np.ndarray:
+def _log_ratio(n: np.ndarray, d: float, y: np.ndarray) -> np.ndarray:
+    """Number of tables whose saddle point is at ``y``, as a logarithm."""
+    return np.log(n / d) + np.log(-np.expm1(d * np.log(y))) - (d - 1) * np.log(y) - np.log1p(-y)
+
+
+def _large_stirling(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     """The same for many customers, without the factor n! / discount**t, by an integral over a parabola.
 
     The numbers are the coefficients of ``(1 - (1 - x)**d)**t / t!``; the path goes through the saddle
     point, or at six n-ths from the branch point at 1 where the saddle is nearer.
     """
-    n, t, d = float(customers), tables.astype(np.float64), discount
+    n, t, d = customers.astype(np.float64), tables.astype(np.float64), discount
     low, high = np.full(len(t), -400.0), np.full(len(t), -1e-12)
     for _ in range(50):
         mid = (low + high) / 2
-        y = np.exp(mid)
         right = np.log(t * d / n) + (d - 1) * mid - np.log(-np.expm1(d * mid)) + np.log(-np.expm1(mid)) > 0
         low, high = np.where(right, mid, low), np.where(right, high, mid)
     y = np.maximum(np.exp(high), 6 / n)
@@ -245,7 +314,7 @@ def _large_stirling(customers: int, tables: np.ndarray, discount: float) -> np.n
     v = ends * np.arange(_NODES) / (_NODES - 1)
     u = width * np.sinh(v)
     z = y[:, None] * (1 + 1j * u) ** 2
-    phi = t[:, None] * np.log(1 - z**d) - (n + 1) * np.log(1 - z)
+    phi = t[:, None] * np.log(1 - z**d) - (n[:, None] + 1) * np.log(1 - z)
     top = phi[:, :1].real
     value = (np.exp(phi - top) * (1 + 1j * u)).real * width * np.cosh(v) * ends
     value = np.abs(value.sum(1) - value[:, 0] / 2)
@@ -254,28 +323,49 @@ def _large_stirling(customers: int, tables: np.ndarray, discount: float) -> np.n
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.fromiter(map(math.lgamma, x), dtype=np.float64, count=len(x))
-
-
-def _seat_large(customers: int, others: float, probability: float, discount: float, rng: np.random.Generator) -> float:
-    """One draw for a dish with many customers: the range that holds the mass is narrowed down, and drawn from in steps."""
-    start = (STRENGTH + discount * others) / discount
-    low, high = 1, customers
-    for _ in range(12):
-        even = np.arange(low, high + 1) if high - low < _STEPS else np.linspace(low, high, _STEPS) if high < 4 * low else np.geomspace(low, high, _STEPS)
-        at = np.unique(np.rint(even).astype(np.int64))
-        weight = _large_stirling(customers, at, discount) + at * math.log(probability) + _lgamma(start + at)
-        weight -= weight.max()
-        there = np.flatnonzero(weight > -36)
-        first, last = max(there[0] - 1, 0), min(there[-1] + 1, len(at) - 1)
-        if last - first >= _STEPS // 2 or high - low < _STEPS:
-            break
-        low, high = int(at[first]), int(at[last])
-    # Each number stands for those up to half way to its neighbours.
-    edges = np.concatenate(([at[0]], (at[1:] + at[:-1] + 1) // 2, [at[-1] + 1]))
-    mass = np.cumsum(np.exp(weight) * np.diff(edges))
-    k = min(int(np.searchsorted(mass, rng.random() * mass[-1])), len(at) - 1)
-    return float(rng.integers(edges[k], edges[k + 1]))
+    return np.fromiter(map(math.lgamma, x.ravel()), dtype=np.float64, count=x.size).reshape(x.shape)
+
+
+def _seat_large(customers: np.ndarray, others: np.ndarray, probability: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """One draw for each dish with many customers.
+
+    The weights are largest where a further table weighs as much as none; they are taken at even steps
+    over eight standard deviations on both sides, at every number where there are few.
+    """
+    n, d, start = customers.astype(np.float64), discount, (STRENGTH + discount * others) / discount
+
+    def slope(log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.exp(log_y)
+        t = np.exp(_log_ratio(n, d, y))
+        return np.log(-np.expm1(d * log_y)) + np.log(probability) + np.log(start + t) - np.log(t + 1), t
+
+    low, high = np.full(len(n), -300.0), np.full(len(n), -1e-9)
+    for _ in range(60):
+        mid = (low + high) / 2
+        up = slope(mid)[0] > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    (s0, t0), (s1, t1) = slope(high * 1.0001), slope(high * 0.9999)
+    best = np.clip(slope(high)[1], 1, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = np.sqrt(np.nan_to_num((t1 - t0) / np.maximum(s0 - s1, 1e-300), nan=1.0, posinf=1.0))
+    spread = np.clip(spread, 1.0, n)
+    first = np.floor(np.maximum(1, best - 8 * spread - 12))
+    tail = np.minimum(n**d, 1 / np.maximum(-np.log(probability), 1e-12))
+    last = np.ceil(np.minimum(n, best + 8 * spread + 24 + 20 * tail))
+    at = np.rint(first[:, None] + (last - first)[:, None] * np.linspace(0, 1, _STEPS))
+    every = first[:, None] + np.arange(_STEPS)
+    at = np.where((last - first < _STEPS)[:, None], np.minimum(every, last[:, None]), at)
+    flat = _large_stirling(np.repeat(customers, _STEPS), at.ravel(), discount).reshape(at.shape)
+    weight = flat + at * np.log(probability)[:, None] + _lgamma(start[:, None] + at)
+    # Each number stands for those up to half way to its neighbours, a repeated one for none.
+    middle = np.floor((at[:, 1:] + at[:, :-1] + 1) / 2)
+    edges = np.concatenate([at[:, :1], middle, at[:, -1:] + 1], axis=1)
+    repeated = np.concatenate([np.zeros((len(at), 1), dtype=bool), at[:, 1:] == at[:, :-1]], axis=1)
+    edges[:, :-1] = np.where(repeated, at + 1, edges[:, :-1])
+    mass = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)) * np.diff(edges, axis=1), axis=1)
+    k = np.minimum((mass < (rng.random(len(n)) * mass[:, -1])[:, None]).sum(axis=1), _STEPS - 1)
+    own = np.arange(len(n))
+    return np.floor(edges[own, k] + rng.random(len(n)) * (edges[own, k + 1] - edges[own, k]))
 
 
 def seat(customers: np.ndarray, others: np.ndarray, probability: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -287,8 +377,9 @@ def seat(customers: np.ndarray, others: np.ndarray, probability: np.ndarray, dis
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     large = np.flatnonzero(customers > STIRLING)
-    for k in large:
-        tables[k] = _seat_large(int(customers[k]), float(others[k]), float(probability[k]), discount, rng)
+    for at in range(0, len(large), 64):
+        k = large[at : at + 64]
+        tables[k] = _seat_large(customers[k], others[k], probability[k], discount, rng)
     left = np.flatnonzero((customers > 1) & (customers <= STIRLING))
     left = left[np.argsort(customers[left], kind="stable")]
     numbers = _stirling(discount, STIRLING) if len(left) else None
@@ -310,235 +401,388 @@ def seat(customers: np.ndarray, others: np.ndarray, probability: np.ndarray, dis
 
 
 class Part:
-    """The dishes of one part: its words, and its words in contexts."""
-
-    def __init__(self, chunks: list[tuple[int, bytes, bytes, bytes, bytes]], layout: Layout):
-        self.layout = layout
-        words = np.concatenate([np.frombuffer(c[1], "<u8") for c in chunks])
-        sizes = np.concatenate([np.frombuffer(c[2], "<u4") for c in chunks])
-        self.words, code = np.unique(words, return_inverse=True)
-        self.code = np.repeat(code.astype(np.int32), sizes)
-        x = np.concatenate([np.frombuffer(c[3], "<u2") for c in chunks])
-        self.context, self.train = (x & (_TRAIN - 1)).astype(np.int32), x >= _TRAIN
-        # Words in contexts, and how often training texts have them.
-        key = self.code.astype(np.int64) * CONTEXTS + self.context
-        pairs, self.pair = np.unique(key, return_inverse=True)
-        self.pair_word, self.pair_context = (pairs // CONTEXTS).astype(np.int32), (pairs % CONTEXTS).astype(np.int32)
-        self.pair_count = np.bincount(self.pair[self.train], minlength=len(pairs)).astype(np.int64)
-        self.word_count = np.bincount(self.code[self.train], minlength=len(self.words)).astype(np.int64)
-        self.hot_word = _find(layout.words, self.words)
-        self.hot_pair = np.full(len(pairs), -1)
-        near = np.flatnonzero(self.hot_word[self.pair_word] >= 0)
-        self.hot_pair[near] = _find(layout.pairs, _pair(self.words[self.pair_word[near]], self.pair_context[near]))
-
-    def _sum_hot(self, values: np.ndarray) -> np.ndarray:
-        own = self.hot_word >= 0
-        return np.bincount(self.hot_word[own], values[own], len(self.layout.words))
-
-    def counts(self) -> dict[str, np.ndarray]:
-        plain, own = self.hot_word < 0, self.hot_pair < 0
-        hot_pairs = self.hot_pair >= 0
-        there = own & (self.pair_count > 0)
-        ones = [np.count_nonzero(there & (self.pair_count == n)) for n in (1, 2)]
-        roots = np.bincount(self.pair_word[there], minlength=len(self.words))
-        once = [np.count_nonzero(plain & (roots == n)) for n in (1, 2)]
-        return {
-            "scalar": np.array([self.word_count.sum(), np.count_nonzero(self.word_count[plain]), *ones, *once, there.sum()], dtype=np.float64),
-            "hot": self._sum_hot(self.word_count),
-            "hot_tables": self._sum_hot(roots),
-            "pair": np.bincount(self.hot_pair[hot_pairs], self.pair_count[hot_pairs], len(self.layout.pairs)),
-            "context": np.bincount(self.context[self.train], minlength=CONTEXTS).astype(np.float64),
-            "tables": np.bincount(self.pair_context[there], minlength=CONTEXTS).astype(np.float64),
-        }
-
-    def start(self, state: State) -> None:
-        """Counts of what is spread over the parts come from the driver; each dish begins with one table."""
-        hot, pairs = self.hot_word >= 0, self.hot_pair >= 0
-        self.count, self.known = self.pair_count.copy(), self.word_count.copy()
-        self.count[pairs] = state.pair_counts[self.hot_pair[pairs]]
-        self.known[hot] = state.hot_counts[self.hot_word[hot]]
-        self.tables = np.minimum(self.count, 1).astype(np.float64)
-        self._roots(state, 0, np.minimum(self.known, 1).astype(np.float64))
-
-    def _roots(self, state: State, sweep: int, tables: np.ndarray) -> None:
-        self.customers = np.bincount(self.pair_word, self.tables, len(self.words))
-        hot = self.hot_word >= 0
-        self.root_tables = tables
-        if sweep < len(state.hot_customers):
-            self.customers[hot] = state.hot_customers[sweep][self.hot_word[hot]]
-            self.root_tables[hot] = state.hot_root[sweep][self.hot_word[hot]]
-
-    def sweep(self, state: State, sweep: int, seed: int) -> None:
-        """Reseat every dish, from the state after ``sweep - 1``."""
-        rng = np.random.default_rng([seed, sweep])
-        before = sweep - 1
-        root = state.root(before, self.customers, self.root_tables)
-        own = np.flatnonzero((self.hot_pair < 0) & (self.count > 0))
-        others = state.context_tables[before][self.pair_context[own]] - self.tables[own]
-        self.tables[own] = seat(self.count[own], others, root[self.pair_word[own]], state.discount, rng)
-        pairs = self.hot_pair >= 0
-        self.tables[pairs] = state.pair_tables[sweep][self.hot_pair[pairs]]
-        old = self.root_tables
-        self.customers = np.bincount(self.pair_word, self.tables, len(self.words))
-        drawn = seat(self.customers.astype(np.int64), state.root_tables[before] - old, np.full(len(old), 1 / (state.known + 1)), state.root_discount, rng)
-        self._roots(state, sweep, drawn)
-
-    def totals(self) -> dict[str, np.ndarray]:
-        plain, own = self.hot_word < 0, self.hot_pair < 0
-        by_word = np.bincount(self.pair_word[own], self.tables[own], len(self.words))
-        return {
-            "scalar": np.array([by_word.sum(), self.root_tables[plain].sum()]),
-            "hot_tables": self._sum_hot(by_word),
-            "tables": np.bincount(self.pair_context[own], self.tables[own], CONTEXTS),
-        }
+    """The dishes of one part: words at the root, pairs in the restaurants of one word, triples in those of two."""
+
+    def __init__(self, number: int, chunks: list[dict], layout: Layout):
+        self.number, self.layout = number, layout
+        self.words, code = np.unique(np.concatenate([np.frombuffer(c["w"], "<u8") for c in chunks]), return_inverse=True)
+        code = np.repeat(code, np.concatenate([np.frombuffer(c["n"], "<u4") for c in chunks]))
+        v = np.concatenate([layout.long(c["v"], c["vr"]) for c in chunks])
+        u = np.concatenate([layout.long(c["u"], c["ur"]) for c in chunks])
+        train = np.concatenate([np.frombuffer(c["d"], "<u2") for c in chunks]) >= _TRAIN
+        pair = joined(self.words[code], v)
+        keys2, first, self.triple = np.unique(joined(pair, u), return_index=True, return_inverse=True)
+        keys1, of_pair, self.pair_of = np.unique(pair[first], return_index=True, return_inverse=True)
+        some = first[of_pair]
+        self.word_of = code[some]
+        contexts = np.concatenate([context1(v[some]), context2(v[first], u[first])])
+        self.contexts, at = np.unique(contexts, return_inverse=True)
+        self.context = [None, at[: len(some)], at[len(some) :]]
+        self.one_word = np.zeros(len(self.contexts), dtype=bool)
+        self.one_word[self.context[1]] = True
+        self.hot = [_find(table, keys) for table, keys in zip(layout.keys, (self.words, keys1, keys2))]
+        self.hot_context = _find(layout.hot_contexts, self.contexts)
+        self.word_count = np.bincount(code[train], minlength=len(self.words)).astype(np.float64)
+        self.triple_count = np.bincount(self.triple[train], minlength=len(keys2)).astype(np.float64)
+        self.chunks = chunks
+
+    def start(self) -> None:
+        """Each dish begins with one table; what is hot is counted by the driver."""
+        self.count, self.tables = self.triple_count, [None, None, None]
+        self.tables[2] = np.minimum(self.count, 1)
+        self.customers = [None, np.bincount(self.pair_of, np.where(self.hot[2] < 0, self.tables[2], 0), len(self.word_of))]
+        self.tables[1] = np.minimum(self.customers[1], 1)
+        self.customers[0] = np.bincount(self.word_of, np.where(self.hot[1] < 0, self.tables[1], 0), len(self.words))
+        self.tables[0] = np.minimum(self.customers[0], 1)
+
+    def resume(self, state: State, sweep: int, tables: list[np.ndarray]) -> None:
+        """The dishes as ``sweep`` left them."""
+        self.count, self.tables, self.customers = self.triple_count.copy(), [t.astype(np.float64) for t in tables], [None, None]
+        for level, hot in enumerate(self.hot):
+            there = hot >= 0
+            self.tables[level][there] = state.hot_tables[sweep][level][hot[there]]
+        there = self.hot[2] >= 0
+        self.count[there] = state.triple_counts[self.hot[2][there]]
+        for level, of in ((1, self.pair_of), (0, self.word_of)):
+            self.customers[level] = np.bincount(of, self.tables[level + 1], len(self.tables[level]))
+            there = self.hot[level] >= 0
+            self.customers[level][there] = state.hot_customers[sweep][level][self.hot[level][there]]
+
+    def totals(self, before: tuple[np.ndarray, np.ndarray] | None, active: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of all contexts, of which only the active ones were sent."""
+        if before is None:
+            return active
+        out = tuple(x.copy() for x in before)
+        at = self.active(before)
+        for x, new in zip(out, active):
+            x[at] = new
+        return out
+
+    def active(self, totals: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Contexts whose totals may change: a restaurant of two words with one customer at most keeps its table."""
+        return np.ones(len(self.contexts), dtype=bool) if totals is None else self.one_word | (totals[0] > 1)
+
+    def probabilities(self, state: State, sweep: int, totals: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Of words at the root, and of pairs and triples, as ``sweep`` left them."""
+        out = [state.root(sweep, self.customers[0], self.tables[0])]
+        for level, of, customers in ((1, self.word_of, self.customers[1]), (2, self.pair_of, self.count)):
+            c, t = (x[self.context[level]] for x in totals)
+            out.append(state.predictive(level, customers, self.tables[level], c, t, out[-1][of]))
+        return out
+
+    def sweep(self, state: State, sweep: int, totals: tuple[np.ndarray, np.ndarray]) -> None:
+        """Reseat every dish that is not hot, from the state after ``sweep - 1``."""
+        rng = np.random.default_rng([state.seed, sweep, self.number])
+        p = self.probabilities(state, sweep - 1, totals)
+        for level, of in ((2, self.pair_of), (1, self.word_of), (0, None)):
+            customers = self.count if level == 2 else self.customers[level]
+            own = np.flatnonzero((self.hot[level] < 0) & (customers > 0))
+            old = self.tables[level]
+            new = np.zeros(len(old))
+            if level:
+                others, parent = totals[1][self.context[level][own]] - old[own], p[level - 1][of[own]]
+            else:
+                others, parent = state.root_tables[sweep - 1] - old[own], np.full(len(own), 1 / (state.known + 1))
+            new[own] = seat(customers[own].astype(np.int64), np.maximum(others, 0), parent, state.discount[level], rng)
+            self.tables[level] = new
+            if level:
+                # The customers of what is hot come from the driver, after the sweep.
+                self.customers[level - 1] = np.bincount(of, np.where(self.hot[level] < 0, new, 0), len(self.tables[level - 1]))
+
+    def sums(self) -> np.ndarray:
+        """What the driver adds up, without the hot dishes themselves."""
+        plain = [h < 0 for h in self.hot]
+        customers = [self.customers[0], self.customers[1], self.count]
+        scalars = [self.word_count.sum(), np.count_nonzero(self.word_count[plain[0]]), self.tables[1][plain[1]].sum(), self.tables[0][plain[0]].sum()]
+        for level in range(3):
+            scalars += [np.count_nonzero(customers[level][plain[level]] == n) for n in (1, 2)]
+
+        def of(hot: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+            return np.bincount(hot[hot >= 0], values[hot >= 0], n)
+
+        sizes = [len(k) for k in self.layout.keys]
+        hot = [of(self.hot[0], self.word_count, sizes[0])] + [of(self.hot[k], customers[k], sizes[k]) for k in range(3)]
+        tables = self.context_sums()[1]
+        return np.concatenate([scalars, *hot, of(self.hot_context, tables, len(self.layout.hot_contexts))]).astype(np.float64)
+
+    def context_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of this part's dishes in each context."""
+        out = np.zeros((2, len(self.contexts)))
+        for level, customers in ((1, self.customers[1]), (2, self.count)):
+            plain = self.hot[level] < 0
+            at = self.context[level][plain]
+            out[0] += np.bincount(at, customers[plain], len(self.contexts))
+            out[1] += np.bincount(at, self.tables[level][plain], len(self.contexts))
+        return out[0], out[1]
+
+
+# Rows of a sweep: the tables of a part's dishes, its sums by bucket of contexts, sums for the driver, and the totals it met.
+TABLES, CONTEXTS, SUMS, MET, TOTALS = range(5)
+_ROWS = "kind int, sweep int, part int, bucket int, keys binary, a binary, b binary, c binary, sums array<double>"
+_NAMES = ["kind", "sweep", "part", "bucket", "keys", "a", "b", "c", "sums"]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (*[pa.int32()] * 4, *[pa.binary()] * 4, pa.list_(pa.float64()))
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
+
+
+def _ints(x: np.ndarray) -> bytes:
+    return np.rint(x).astype("<i8").tobytes()
+
+
+def _floats(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, "<i8").astype(np.float64)
+
+
+def _history(part: Part, rows: list[dict], last: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Totals of a part's contexts after each sweep that the rows know, the last one from what its buckets sent."""
+    met = {r["sweep"]: (_floats(r["a"]), _floats(r["b"])) for r in rows if r["kind"] == MET}
+    sent = sorted((r for r in rows if r["kind"] == TOTALS), key=lambda r: r["bucket"])
+    new = tuple(np.concatenate([_floats(r[c]) for r in sent]) if sent else np.empty(0) for c in ("a", "b"))
+    return met | {last: part.totals(met.get(last - 1), new)}
+
+
+def _tables(rows: list[dict]) -> dict[int, list[np.ndarray]]:
+    return {r["sweep"]: [_floats(r["a"]), _floats(r["b"]), _floats(r["c"])] for r in rows if r["kind"] == TABLES}
+
+
+def _part(tokens: pa.Table, layout: Layout) -> Part | None:
+    chunks = tokens.sort_by("base").to_pylist()
+    return Part(chunks[0]["part"], chunks, layout) if chunks else None
+
+
+def _swept(part: Part, state: State, sweep: int, rows: list[dict]) -> list[tuple]:
+    out, met = [], None
+    if sweep:
+        met = _history(part, rows, sweep - 1)[sweep - 1]
+        part.resume(state, sweep - 1, _tables(rows)[sweep - 1])
+        part.sweep(state, sweep, met)
+        out.append((MET, sweep - 1, part.number, None, None, _ints(met[0]), _ints(met[1]), None, None))
+    else:
+        part.start()
+    out.append((TABLES, sweep, part.number, None, None, *map(_ints, part.tables), None))
+    out.append((SUMS, sweep, part.number, None, None, None, None, None, part.sums().tolist()))
+    active = part.active(met)
+    keys, (customers, tables) = part.contexts[active], (x[active] for x in part.context_sums())
+    bucket = part.layout.bucket(keys)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, dtype=int)
+    for a, b in zip(cuts, cuts[1:]):
+        out.append((CONTEXTS, sweep, part.number, int(bucket[a]), keys[a:b].tobytes(), _ints(customers[a:b]), _ints(tables[a:b]), None, None))
+    return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[int, list[tuple], Part]]:
-    """The parts of a task, one in memory at a time; rows come sorted by part."""
-    at, chunks = None, []
-    for batch in batches:
-        for part, *chunk in zip(*(c.to_pylist() for c in batch.columns)):
-            if part != at and chunks:
-                yield at, chunks, Part(chunks, layout)
-                chunks = []
-            at = part
-            chunks.append(tuple(chunk))
-    if chunks:
-        yield at, chunks, Part(chunks, layout)
-
-
-_SUMS = "kind string, key int, value double"
-
-
-def _summed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
-    kinds, keys, values = [], [], []
-    for kind, own in sums.items():
-        there = np.flatnonzero(own)
-        kinds += [kind] * len(there)
-        keys.append(there)
-        values.append(own[there])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.string()), pa.array(np.concatenate(keys), pa.int32()), pa.array(np.concatenate(values), pa.float64())], ["kind", "key", "value"]
+def _total(group: pa.Table) -> pa.Table:
+    """Of one bucket: each part gets the totals of the contexts that it sent, in its order."""
+    rows = group.to_pylist()
+    sizes = [len(r["keys"]) // 8 for r in rows]
+    _, at = np.unique(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_floats(r[c]) for r in rows]))[at] for c in ("a", "b")]
+    ends = np.cumsum(sizes)
+    return _table(
+        [(TOTALS, r["sweep"], r["part"], r["bucket"], None, _ints(sums[0][e - n : e]), _ints(sums[1][e - n : e]), None, None) for r, n, e in zip(rows, sizes, ends) if r["part"] >= 0]
     )
 
 
-def _collected(tokens: DataFrame, shared, seed: int, sweep: int | None) -> dict[str, np.ndarray]:
-    """Sums over all parts: counts, or the totals after a sweep.  At most ``CONTEXTS`` and the hot words' rows of each kind."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = shared.value
-        for number, _, part in _parts(batches, state.layout):
-            if sweep is None:
-                yield _summed(part.counts())
-                continue
-            part.start(state)
-            for k in range(1, sweep + 1):
-                part.sweep(state, k, seed + 7919 * number)
-            yield _summed(part.totals())
-
-    rows = tokens.mapInArrow(run, _SUMS).groupBy("kind", "key").agg(F.sum("value").alias("value")).toArrow()
-    state = shared.value
-    sizes = {"scalar": 7, "hot": len(state.layout.words), "hot_tables": len(state.layout.words), "pair": len(state.layout.pairs)}
-    out = {kind: np.zeros(sizes.get(kind, CONTEXTS)) for kind in ("scalar", "hot", "hot_tables", "pair", "context", "tables")}
-    for kind, key, value in zip(*(c.to_pylist() for c in rows.columns)):
-        out[kind][key] = value
-    return out
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession):
+    """Shuffle files go when their query ends: no later query of the fit reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Fit:
+    """A fitted model: packed tokens in files by part, and what each sweep wrote."""
+
+    def __init__(self, rows: DataFrame, layout: Layout, seed: int):
+        self.spark, self.layout, self.state = rows.sparkSession, layout, State(layout, seed)
+        self.sweeps: list[DataFrame] = []
+        self.files = min(layout.parts, FILES)
+        self.name, self.path = f"glyphmill_lm_{uuid.uuid4().hex}", new_path(self.spark, "lm-tokens")
+        packed = rows.select("row", "train", "text").mapInArrow(_packed(self.spark.sparkContext.broadcast(layout)), _PACKED)
+        # Files by part, so that no sweep has to move the tokens again.
+        out = packed.repartition(self.files, "part").sortWithinPartitions("part").write.bucketBy(self.files, "part").sortBy("part")
+        out.option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.tokens = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+    def over_parts(self, function, right: DataFrame | None, schema: str) -> DataFrame:
+        """``function`` of each part and of the rows of earlier sweeps that belong to it."""
+        layout = self.layout
+
+        def alone(tokens: pa.Table) -> pa.Table:
+            return function(_part(tokens, layout), [])
+
+        def both(tokens: pa.Table, rows: pa.Table) -> pa.Table:
+            return function(_part(tokens, layout), rows.to_pylist())
+
+        own = self.tokens.groupBy("part")
+        if right is None:
+            return own.applyInArrow(alone, schema)
+        return own.cogroup(right.repartition(self.files, "part").groupBy("part")).applyInArrow(both, schema)
+
+    def totals(self, sweep: int) -> DataFrame:
+        """The totals of contexts after a sweep, for the parts that know them."""
+        hot = self.hot_sums(sweep)
+        sent = self.sweeps[sweep].where(F.col("kind") == CONTEXTS)
+        if hot:
+            sent = sent.unionByName(self.spark.createDataFrame(hot, sent.schema))
+        return sent.repartition(self.files, "bucket").groupBy("bucket").applyInArrow(_total, _ROWS)
+
+    def hot_sums(self, sweep: int) -> list[tuple]:
+        """The hot dishes' share in their contexts, as rows of a part of its own."""
+        state, layout, out = self.state, self.layout, []
+        for level, customers in ((1, state.hot_customers[sweep][1]), (2, state.triple_counts)):
+            tables, keys = state.hot_tables[sweep][level], layout.contexts[level]
+            for key, bucket, c, t in zip(keys, layout.bucket(keys), customers, tables):
+                out.append((CONTEXTS, sweep, -1, int(bucket), key.tobytes(), _ints(np.array([c])), _ints(np.array([t])), None, None))
+        return out
+
+    def sweep(self, work: WorkTables, sweep: int) -> None:
+        state, layout = self.state, self.layout
+        rng = np.random.default_rng([state.seed, sweep])
+        if sweep:
+            # Hot triples are drawn before their sweep, hot pairs and words from what it adds up.
+            old, customers = state.hot_tables[-1], state.hot_customers[-1]
+            root = state.root(sweep - 1, customers[0], old[0])
+            at = _find(layout.hot_contexts, layout.contexts[1])
+            pair_others, pair_parent = self.context_tables[at] - old[1], root[layout.parents[1]]
+            pair = state.predictive(1, customers[1], old[1], self.context_customers[at], self.context_tables[at], pair_parent)
+            at = _find(layout.hot_contexts, layout.contexts[2])
+            tables2 = seat(state.triple_counts.astype(np.int64), np.maximum(self.context_tables[at] - old[2], 0), pair[layout.parents[2]], state.discount[2], rng)
+        shared = self.spark.sparkContext.broadcast(state)
+
+        def run(part: Part, rows: list[dict]) -> pa.Table:
+            return _table(_swept(part, shared.value, sweep, rows) if part else [])
+
+        right = None
+        if sweep:
+            right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).unionByName(self.totals(sweep - 1))
+        self.sweeps.append(work.write(self.over_parts(run, right, _ROWS), "lm-sweep"))
+        found = self.sweeps[-1].where(F.col("kind") == SUMS).select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum")).orderBy("pos")
+        sums = np.asarray(found.toArrow().column("sum").combine_chunks()).astype(np.float64)
+        n0, n1, n2 = (len(k) for k in layout.keys)
+        scalars, words, customers0, customers1, counts, contexts = np.split(sums if len(sums) else np.zeros(10 + 2 * n0 + n1 + n2 + len(layout.hot_contexts)), np.cumsum([10, n0, n0, n1, n2]))
+        if not sweep:
+            state.word_counts, state.triple_counts = words, counts
+            state.tokens, state.known = int(scalars[0]), int(scalars[1]) + int(np.count_nonzero(words))
+            state.discount = [_discount(*scalars[4 + 2 * k : 6 + 2 * k]) for k in range(3)]
+            tables2 = np.minimum(counts, 1)
+        np.add.at(customers1, layout.parents[2], tables2)
+        tables1 = seat(customers1.astype(np.int64), np.maximum(pair_others, 0), pair_parent, state.discount[1], rng) if sweep else np.minimum(customers1, 1)
+        np.add.at(customers0, layout.parents[1], tables1)
+        if sweep:
+            tables0 = seat(customers0.astype(np.int64), state.root_tables[-1] - old[0], np.full(n0, 1 / (state.known + 1)), state.discount[0], rng)
+        else:
+            tables0 = np.minimum(customers0, 1)
+        state.hot_customers.append([customers0, customers1])
+        state.hot_tables.append([tables0, tables1, tables2])
+        state.root_customers.append(float(scalars[2] + tables1.sum()))
+        state.root_tables.append(float(scalars[3] + tables0.sum()))
+        # Totals of the hot dishes' contexts: the parts' tables and those drawn here.
+        self.context_tables = contexts
+        for level, tables in ((1, tables1), (2, tables2)):
+            np.add.at(self.context_tables, _find(layout.hot_contexts, layout.contexts[level]), tables)
+        self.context_customers = self.customers_of_hot_contexts(sweep)
+
+    def customers_of_hot_contexts(self, sweep: int) -> np.ndarray:
+        keys = self.layout.hot_contexts
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, customers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    at = _find(keys, np.frombuffer(own, "<u8"))
+                    there = at >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(at[there], pa.int32()), pa.array(_floats(customers)[there])], ["at", "n"])
+
+        sent = self.sweeps[sweep].where(F.col("kind") == CONTEXTS).select("keys", "a")
+        out = np.zeros(len(keys))
+        if len(keys):
+            found = sent.mapInArrow(some, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+            out[np.asarray(found.column("at").combine_chunks())] = np.asarray(found.column("n").combine_chunks())
+        for key, customers in ((1, self.state.hot_customers[sweep][1]), (2, self.state.triple_counts)):
+            np.add.at(out, _find(keys, self.layout.contexts[key]), customers)
+        return out
+
+    def kept(self, first: int) -> DataFrame:
+        """What the parts need to know the probabilities after the sweeps from ``first`` on."""
+        last = len(self.sweeps) - 1
+        out = self.totals(last)
+        for k in range(first, last + 1):
+            out = out.unionByName(self.sweeps[k].where((F.col("kind") == TABLES) | ((F.col("kind") == MET) & (F.col("sweep") >= min(first, last - 1)))))
+        return out
 
 
 def _discount(once: float, twice: float) -> float:
     """From the dishes with one and with two customers, as in Kneser-Ney smoothing."""
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-
-
-def fit(tokens: DataFrame, layout: Layout, seed: int, sweeps: int) -> State:
-    sc = tokens.sparkSession.sparkContext
-    state = State(layout)
-    first = _collected(tokens, sc.broadcast(state), seed, None)
-    n = first["scalar"]
-    state.hot_counts, state.pair_counts = first["hot"].astype(np.int64), first["pair"].astype(np.int64)
-    state.tokens, state.known = int(n[0]), int(n[1]) + int(np.count_nonzero(state.hot_counts))
-    state.discount, state.root_discount = _discount(n[2], n[3]), _discount(n[4], n[5])
-    state.context_counts = first["context"]
-    of_word = _find(layout.words, layout.pair_words)
-    of_word, of_context = of_word[of_word >= 0], layout.pair_contexts.astype(np.int64)
-
-    def record(sums: dict[str, np.ndarray], pair_tables: np.ndarray, root_tables: float, hot_root) -> None:
-        """Add to the parts' sums what the driver keeps: hot pairs and the hot words' own tables."""
-        tables, hot = sums["tables"].copy(), sums["hot_tables"].copy()
-        np.add.at(tables, of_context, pair_tables)
-        np.add.at(hot, of_word, pair_tables)
-        state.pair_tables.append(pair_tables)
-        state.context_tables.append(tables)
-        state.customers.append(float(tables.sum()))
-        state.hot_customers.append(hot)
-        own = hot_root(hot)
-        state.hot_root.append(own)
-        state.root_tables.append(root_tables + float(own.sum()))
-
-    record(first, np.minimum(state.pair_counts, 1).astype(np.float64), n[1], lambda hot: np.minimum(state.hot_counts, 1).astype(np.float64))
-    for k in range(1, sweeps + 1):
-        rng = np.random.default_rng([seed, k, 1])
-        root = state.root(k - 1, state.hot_customers[-1], state.hot_root[-1])
-        others = state.context_tables[-1][of_context] - state.pair_tables[-1]
-        pair_tables = seat(state.pair_counts, others, root[of_word], state.discount, rng)
-        # The parts need the hot pairs' tables of this sweep, and later the rest of its totals.
-        state.pair_tables.append(pair_tables)
-        sums = _collected(tokens, sc.broadcast(state), seed, k)
-        state.pair_tables.pop()
-        before, old = state.root_tables[-1], state.hot_root[-1]
-
-        def hot_root(hot: np.ndarray) -> np.ndarray:
-            return seat(hot.astype(np.int64), before - old, np.full(len(hot), 1 / (state.known + 1)), state.root_discount, rng)
-
-        record(sums, pair_tables, sums["scalar"][1], hot_root)
-    return state
-
-
-def _score_parts(shared, seed: int, sweeps: int, first_kept: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per part and batch of documents: the documents met, and their sums over this part's tokens.
-
-        The sampled score needs no more than single precision for a part's sum; the base keeps double.
-        """
-        state = shared.value
-        floor = math.log10(state.tokens + state.known + 1)
-        for number, chunks, part in _parts(batches, state.layout):
-            part.start(state)
-            mean = np.zeros(len(part.pair_word))
-            for k in range(1, sweeps + 1):
-                part.sweep(state, k, seed + 7919 * number)
-                if k >= first_kept:
-                    root = state.root(k, part.customers, part.root_tables)
-                    mean += state.predictive(k, part.count, part.tables, part.pair_context, root[part.pair_word])
-            score = np.log10(mean / (sweeps + 1 - first_kept))[part.pair]
-            base = (np.log10(part.known + 1.0) - floor)[part.code]
-            known = (part.known > 0)[part.code]
-            at, rows = 0, []
-            for chunk in chunks:
-                d = np.frombuffer(chunk[4], "<u2")
+    return float(min(0.95, max(0.05, once / (once + 2 * twice)))) if once else 0.5
+
+
+def fit(work: WorkTables, rows: DataFrame, layout: Layout, seed: int, sweeps: int) -> Fit:
+    """The model of ``row, train, text`` after Gibbs sweeps; its tokens are there until ``drop``."""
+    model = Fit(rows, layout, seed)
+    for k in range(sweeps + 1):
+        model.sweep(work, k)
+    return model
+
+
+def averaged(part: Part, state: State, rows: list[dict], first_kept: int) -> np.ndarray:
+    """Mean probability of each triple over the kept sweeps."""
+    last = len(state.root_tables) - 1
+    totals, tables = _history(part, rows, last), _tables(rows)
+    mean = np.zeros(len(part.triple_count))
+    for k in range(first_kept, last + 1):
+        part.resume(state, k, tables[k])
+        mean += part.probabilities(state, k, totals[k])[2]
+    return mean / (last + 1 - first_kept)
+
+
+def _score_part(shared, first_kept: int):
+    def run(part: Part, rows: list[dict]) -> pa.Table:
+        """Per batch of documents: the documents met, and their sums over this part's tokens."""
+        out = []
+        if part:
+            state = shared.value
+            floor = math.log10(state.tokens + state.known + 1)
+            counts, there = part.word_count.copy(), part.hot[0] >= 0
+            counts[there] = state.word_counts[part.hot[0][there]]
+            score = np.log10(averaged(part, state, rows, first_kept))[part.triple]
+            code = part.word_of[part.pair_of[part.triple]]
+            base, known = (np.log10(counts + 1) - floor)[code], (counts > 0)[code]
+            at = 0
+            for chunk in part.chunks:
+                d = np.frombuffer(chunk["d"], "<u2") & (_TRAIN - 1)
                 own = slice(at, at + len(d))
                 at += len(d)
                 docs, where = np.unique(d, return_inverse=True)
-                sums = [np.bincount(where, v[own], len(docs)) for v in (score, base, known)]
-                rows.append((chunk[0], docs.tobytes(), sums[0].astype("<f4").tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes()))
-            kinds = (pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["base", "d", "s", "b", "k"])
+                s, b, k = (np.bincount(where, x[own], len(docs)) for x in (score, base, known))
+                out.append((chunk["base"], part.number, docs.astype("<u2").tobytes(), s.tobytes(), b.tobytes(), k.astype("<u4").tobytes()))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["base", "part", "d", "s", "b", "k"])
 
     return run
 
 
-def _unpacked(key: tuple, chunks: pa.Table) -> pa.Table:
+def _unpacked(chunks: pa.Table) -> pa.Table:
     """Sums of one batch of documents over all parts."""
-    d = np.concatenate([np.frombuffer(x, "<u2") for x in chunks.column("d").to_pylist()])
-    docs, where = np.unique(d, return_inverse=True)
+    rows = chunks.sort_by("part").to_pylist()
+    docs, where = np.unique(np.concatenate([np.frombuffer(r["d"], "<u2") for r in rows]), return_inverse=True)
 
     def total(name: str, kind: str) -> np.ndarray:
-        return np.bincount(where, np.concatenate([np.frombuffer(x, kind) for x in chunks.column(name).to_pylist()]), len(docs))
+        return np.bincount(where, np.concatenate([np.frombuffer(r[name], kind) for r in rows]), len(docs))
 
     return pa.table(
         {
-            "_row": pa.array(docs.astype(np.int64) + key[0].as_py()),
-            "score": total("s", "<f4"),
+            "_row": pa.array(docs.astype(np.int64) + rows[0]["base"]),
+            "score": total("s", "<f8"),
             "base_score": total("b", "<f8"),
             "n_known": pa.array(total("k", "<u4").astype(np.int64)),
         }
@@ -570,20 +814,19 @@ def score_documents(
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     layout = find_layout(rows, size, max(12, math.ceil(size / part_bytes)))
-    shared = spark.sparkContext.broadcast(layout)
-    packed = rows.select("row", "train", "text").mapInArrow(_packed(shared), "part int, base long, w binary, n binary, x binary, d binary")
-    tokens = packed.repartition(layout.parts, "part").sortWithinPartitions("part").persist(StorageLevel.DISK_ONLY)
-    try:
-        state = fit(tokens, layout, seed, sweeps)
-        parts = tokens.mapInArrow(_score_parts(spark.sparkContext.broadcast(state), seed, sweeps, first_kept), "base long, d binary, s binary, b binary, k binary")
-        sums = parts.groupBy("base").applyInArrow(_unpacked, "_row long, score double, base_score double, n_known long")
-        sums = written(sums, "lm-sums")
-    finally:
-        tokens.unpersist()
+    with _short_lived_shuffles(spark), WorkTables(spark) as work:
+        model = fit(work, rows, layout, seed, sweeps)
+        try:
+            run = _score_part(spark.sparkContext.broadcast(model.state), first_kept)
+            parts = model.over_parts(run, model.kept(first_kept), "base long, part int, d binary, s binary, b binary, k binary")
+            sums = parts.repartition(layout.parts, "base").groupBy("base").applyInArrow(_unpacked, "_row long, score double, base_score double, n_known long")
+            sums = written(sums, "lm-sums")
+        finally:
+            model.drop()
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     info = rows.select("row", "doc_id", (~F.col("train")).alias("held_out"), (words + 1).alias("n_tokens"))
     return info.join(sums, info["row"] == sums["_row"]).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(state.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.state.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

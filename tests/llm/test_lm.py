@@ -1,15 +1,15 @@
 import math
+import random
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import lm
 from glyphmill.llm.queries import op2_lm_scoring
+from glyphmill.session import WorkTables
 
 
 def words(text):
@@ -39,78 +39,135 @@ def test_query_base_and_gain(spark, sf_small):
 TEXTS = ["the cat sat on the mat", "the dog sat", "", "The the the the cat"] * 5 + ["a b c d e f g h", "zebra"]
 
 
-def fitted(monkeypatch, layout, sweeps=3):
-    """The model over local parts, without Spark."""
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(range(len(TEXTS)), pa.int64()), pa.array([True] * len(TEXTS)), pa.array(TEXTS)], ["row", "train", "text"]
-    )
-    chunks = next(lm._packed(SimpleNamespace(value=layout))(iter([batch]))).to_pylist()
-    own = {}
-    for c in chunks:
-        own.setdefault(c["part"], []).append(tuple(c[k] for k in ("base", "w", "n", "x", "d")))
-
-    def collected(tokens, shared, seed, sweep):
-        total = {k: np.zeros(n) for k, n in (("scalar", 7), ("hot", len(layout.words)), ("hot_tables", len(layout.words)), ("pair", len(layout.pairs)), ("context", lm.CONTEXTS), ("tables", lm.CONTEXTS))}
-        for number, c in own.items():
-            part = lm.Part(c, layout)
-            sums = part.counts()
-            if sweep is not None:
-                part.start(shared.value)
-                for k in range(1, sweep + 1):
-                    part.sweep(shared.value, k, seed + 7919 * number)
-                sums = part.totals()
-            for kind, x in sums.items():
-                total[kind][: len(x)] += x
-        return total
-
-    monkeypatch.setattr(lm, "_collected", collected)
-    tokens = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
-    state = lm.fit(tokens, layout, 5, sweeps)
-    parts = []
-    for number, c in own.items():
-        part = lm.Part(c, layout)
-        part.start(state)
-        for k in range(1, sweeps + 1):
-            part.sweep(state, k, 5 + 7919 * number)
-        parts.append(part)
-    return state, parts, sweeps
-
-
 def hashes(*w):
     return lm._hashes([x.encode() for x in w])
 
 
+def layout(parts, words=(), pairs=(), triples=(), common=()):
+    return lm.Layout(parts, hashes(*common), hashes(*words), hashes(*pairs), hashes(*triples))
+
+
 LAYOUTS = {
-    "one part": lm.Layout(1, hashes(), hashes(), np.empty(0, dtype=np.int64)),
-    "hot words and pairs": lm.Layout(3, hashes("the", "cat"), hashes("cat", "the"), np.concatenate([lm._context(hashes("the")), [lm.START_CONTEXT]]).astype(np.int64)),
+    "one part": layout(1),
+    "several parts": layout(4, common=("the", "cat", "\n")),
+    "hot words, pairs and triples": layout(3, words=("sat",), pairs=("cat", "the"), triples=("the", "the", "the", "the", "\r", "\r"), common=("the",)),
 }
 
 
+def fitted(spark, layout, sweeps=3):
+    """State, and per part its dishes after the last sweep, the totals of its contexts and its mean probabilities."""
+    rows = spark.createDataFrame([(k, True, t) for k, t in enumerate(TEXTS)], "row long, train boolean, text string").coalesce(1)
+    with WorkTables(spark) as work:
+        model = lm.fit(work, rows, layout, 5, sweeps)
+        try:
+            tokens, kept = ([r.asDict() for r in df.collect()] for df in (model.tokens, model.kept(1)))
+        finally:
+            model.drop()
+    out = []
+    for number in sorted({r["part"] for r in tokens}):
+        part = lm.Part(number, [r for r in tokens if r["part"] == number], layout)
+        own = [r for r in kept if r["part"] == number]
+        mean = lm.averaged(part, model.state, own, 1)
+        out.append((part, lm._history(part, own, sweeps)[sweeps], mean))
+    return model.state, out
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
-def test_probabilities_add_up(monkeypatch, name):
-    state, parts, k = fitted(monkeypatch, LAYOUTS[name])
+def test_probabilities_add_up(spark, name):
+    """At the root, and in every restaurant: dishes that it serves, and the others by its parent alone."""
+    state, parts = fitted(spark, LAYOUTS[name])
     counts = Counter(w for t in TEXTS for w in words(t))
     assert (state.tokens, state.known) == (sum(counts.values()), len(counts))
-    roots, tables = {}, Counter()
-    for part in parts:
-        root = state.root(k, part.customers, part.root_tables)
-        roots |= dict(zip(part.words.tolist(), root))
-        assert np.all((part.tables >= 1) == (part.count > 0)) and np.all(part.tables <= part.count)
-        assert np.all(part.root_tables <= np.maximum(part.customers, 0)) and np.all(part.root_tables >= 1)
-    unknown = state.root(k, np.zeros(1), np.zeros(1))[0]
+    roots, seen, all_totals = {}, {}, {}
+    for part, totals, _ in parts:
+        p = part.probabilities(state, 3, totals)
+        for customers, tables in zip([*part.customers, part.count], part.tables):
+            assert np.all(tables <= customers) and np.all((tables >= 1) == (customers > 0))
+        roots |= dict(zip(part.words.tolist(), p[0]))
+        all_totals |= {c: (n, t) for c, n, t in zip(part.contexts.tolist(), *totals)}
+        for level, of in ((1, part.word_of), (2, part.pair_of)):
+            for context, own, parent, word in zip(part.contexts[part.context[level]].tolist(), p[level], p[level - 1][of], part.words[of if level == 1 else part.word_of[of]].tolist()):
+                seen.setdefault((level, context), {})[word] = (own, parent)
+    unknown = state.root(3, np.zeros(1), np.zeros(1))[0]
     assert math.isclose(sum(roots.values()) + unknown, 1, rel_tol=1e-9)
-    # In the context "the": the words seen after it, and the others by the parent alone.
-    context = int(lm._context(hashes("the"))[0])
-    seen = {}
-    for part in parts:
-        at = np.flatnonzero(part.pair_context == context)
-        root = np.array([roots[int(w)] for w in part.words[part.pair_word[at]]])
-        p = state.predictive(k, part.count[at], part.tables[at], part.pair_context[at], root)
-        seen |= dict(zip(part.words[part.pair_word[at]].tolist(), p))
-        tables.update(dict(zip(part.words[part.pair_word[at]].tolist(), part.tables[at])))
-    rest = np.array([r for w, r in roots.items() if w not in seen] + [unknown])
-    others = state.predictive(k, np.zeros(len(rest)), np.zeros(len(rest)), np.full(len(rest), context), rest)
-    assert math.isclose(sum(seen.values()) + others.sum(), 1, rel_tol=1e-9)
+    for (level, context), dishes in seen.items():
+        n, t = all_totals[context]
+        left = (lm.STRENGTH + state.discount[level] * t) / (lm.STRENGTH + n)
+        total = sum(p for p, _ in dishes.values()) + left * (1 - sum(q for _, q in dishes.values()))
+        assert math.isclose(total, 1, rel_tol=1e-9)
+
+
+def plain_sampler(texts, discount, sweeps, seed):
+    """Customers moved one by one between tables; mean probability of each word after the two before it."""
+    rng = random.Random(seed)
+    tokens = []
+    for t in texts:
+        before = ["\r", "\r"]
+        for w in words(t):
+            tokens.append((w, before[1], before[0]))
+            before = [before[1], w]
+    known = len({t[0] for t in tokens})
+    dishes, totals = {}, {}  # tables of a dish in a context, and customers and tables of a context
+
+    def probability(context, w):
+        if context is None:
+            return 1 / (known + 1)
+        own, (n, t) = dishes.get((context, w), []), totals.get(context, (0, 0))
+        d = discount[len(context)]
+        return (sum(own) - d * len(own) + (lm.STRENGTH + d * t) * probability(context[:-1] if context else None, w)) / (lm.STRENGTH + n)
+
+    def add(context, w):
+        if context is None:
+            return
+        own, (n, t), d, parent = dishes.setdefault((context, w), []), totals.get(context, (0, 0)), discount[len(context)], context[:-1] if context else None
+        weights = [c - d for c in own] + [(lm.STRENGTH + d * t) * probability(parent, w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(1)
+            add(parent, w)
+        else:
+            own[k] += 1
+        totals[context] = (n + 1, t + (k == len(weights) - 1))
+
+    def remove(context, w):
+        if context is None:
+            return
+        own, (n, t) = dishes[context, w], totals[context]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        gone = own[k] == 0
+        if gone:
+            own.pop(k)
+            remove(context[:-1] if context else None, w)
+        totals[context] = (n - 1, t - gone)
+
+    for w, v, u in tokens:
+        add((v, u), w)
+    mean = Counter()
+    for k in range(sweeps):
+        for w, v, u in tokens:
+            remove((v, u), w)
+            add((v, u), w)
+        if k >= sweeps // 4:
+            for t in set(tokens):
+                mean[t] += probability((t[1], t[2]), t[0]) / (sweeps - sweeps // 4)
+    return tokens, mean
+
+
+def test_agrees_with_a_plain_sampler(spark):
+    state, parts = fitted(spark, LAYOUTS["hot words, pairs and triples"], sweeps=12)
+    mine = {}
+    for part, _, mean in parts:
+        for chunk in part.chunks:
+            w = np.repeat(np.frombuffer(chunk["w"], "<u8"), np.frombuffer(chunk["n"], "<u4"))
+            at = len(mine.setdefault("used", {}).get(part.number, []))
+            mine["used"].setdefault(part.number, []).extend(w)
+            v, u = (part.layout.long(chunk[c], chunk[c + "r"]) for c in "vu")
+            mine |= {(int(a), int(b), int(c)): p for a, b, c, p in zip(w, v, u, mean[part.triple[at : at + len(w)]])}
+    tokens, mean = plain_sampler(TEXTS, state.discount, 400, 3)
+    code = lambda x: int(lm._hashes([x if isinstance(x, bytes) else x.encode()])[0])
+    gap = [math.log10(mine[code(w), code(v), code(u)]) - math.log10(mean[w, v, u]) for w, v, u in tokens]
+    assert abs(sum(gap) / len(gap)) < 0.02 and max(map(abs, gap)) < 0.2
 
 
 def test_seating_follows_the_restaurant_process():
@@ -153,5 +210,16 @@ def test_tables_follow_their_conditional_distribution(n, others, p, d):
     assert np.abs(np.bincount(got.astype(int), minlength=n + 1)[1:] / 20000 - want).max() < 0.015
     if n < 40:  # the integral is for many customers
         return
-    large = np.array([lm._seat_large(n, float(others), p, d, rng) for _ in range(2000)])
-    assert np.abs(np.bincount(large.astype(int), minlength=n + 1)[1:] / 2000 - want).max() < 0.05
+    large = lm._seat_large(np.full(20000, n), np.full(20000, float(others)), np.full(20000, p), d, rng)
+    assert np.abs(np.bincount(large.astype(int), minlength=n + 1)[1:] / 20000 - want).max() < 0.015
+
+
+@pytest.mark.parametrize("others,p,d", [(0, 1.0, 0.5), (3, 0.95, 0.75), (200, 0.3, 0.6), (10**5, 1e-4, 0.75), (10**5, 0.02, 0.8)])
+def test_table_and_integral_agree(others, p, d):
+    """Just below the size where the integral takes over, both draw from one distribution."""
+    rng, n = np.random.default_rng(4), 1000
+    args = np.full(4000, n), np.full(4000, float(others)), np.full(4000, p), d, rng
+    a, b = np.sort(lm.seat(*args)), np.sort(lm._seat_large(*args))
+    grid = np.unique(a)
+    gap = np.abs(np.searchsorted(a, grid, side="right") - np.searchsorted(b, grid, side="right")) / 4000
+    assert gap.max() < 0.045 and abs(a.mean() - b.mean()) < 0.05 * max(1.0, a.std())
