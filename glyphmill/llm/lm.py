@@ -42,7 +42,7 @@ STRENGTH = 1.0
 # A word, pair or triple with this share of the tokens is spread over all parts.
 HOT = 1 / 1024
 # Text that one part of the packed tokens comes from, and text that is read to find the hot and common words.
-PART_BYTES, LAYOUT_BYTES = 12 << 20, 256 << 20
+PART_BYTES, LAYOUT_BYTES = 6 << 20, 256 << 20
 BATCH_ROWS = 1 << 15
 # Words with a short code in packed tokens; all others are packed as their hash.
 COMMON = (1 << 16) - 1
@@ -406,16 +406,18 @@ class Part:
     def __init__(self, number: int, chunks: list[dict], layout: Layout):
         self.number, self.layout = number, layout
         self.words, code = np.unique(np.concatenate([np.frombuffer(c["w"], "<u8") for c in chunks]), return_inverse=True)
-        code = np.repeat(code, np.concatenate([np.frombuffer(c["n"], "<u4") for c in chunks]))
+        code = np.repeat(code.astype(np.int32), np.concatenate([np.frombuffer(c["n"], "<u4") for c in chunks]))
         v = np.concatenate([layout.long(c["v"], c["vr"]) for c in chunks])
         u = np.concatenate([layout.long(c["u"], c["ur"]) for c in chunks])
         train = np.concatenate([np.frombuffer(c["d"], "<u2") for c in chunks]) >= _TRAIN
         pair = joined(self.words[code], v)
-        keys2, first, self.triple = np.unique(joined(pair, u), return_index=True, return_inverse=True)
+        keys2, first, triple = np.unique(joined(pair, u), return_index=True, return_inverse=True)
+        self.triple = triple.astype(np.int32)
         keys1, of_pair, self.pair_of = np.unique(pair[first], return_index=True, return_inverse=True)
         some = first[of_pair]
         self.word_of = code[some]
         contexts = np.concatenate([context1(v[some]), context2(v[first], u[first])])
+        del pair, triple, u, v
         self.contexts, at = np.unique(contexts, return_inverse=True)
         self.context = [None, at[: len(some)], at[len(some) :]]
         self.one_word = np.zeros(len(self.contexts), dtype=bool)
@@ -528,11 +530,13 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _ints(x: np.ndarray) -> bytes:
-    return np.rint(x).astype("<i8").tobytes()
+    """Whole numbers in as few bytes as the largest needs, after their width."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or x.max() < 1 << 8 * w - (w == 8))
+    return bytes([width]) + np.rint(x).astype(f"<u{width}").tobytes()
 
 
 def _floats(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<i8").astype(np.float64)
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.float64)
 
 
 def _history(part: Part, rows: list[dict], last: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
