@@ -22,10 +22,10 @@ most ``1 / HOT`` of each kind can be so frequent).
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -42,7 +42,7 @@ STRENGTH = 1.0
 # A word, pair or triple with this share of the tokens is spread over all parts.
 HOT = 1 / 1024
 # Text that one part of the packed tokens comes from, and text that is read to find the hot and common words.
-PART_BYTES, LAYOUT_BYTES = 6 << 20, 256 << 20
+PART_BYTES, LAYOUT_BYTES = 6 << 20, 64 << 20
 BATCH_ROWS = 1 << 15
 # Words with a short code in packed tokens; all others are packed as their hash.
 COMMON = (1 << 16) - 1
@@ -62,6 +62,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 START_HASH = _hashes([START])[0]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where each stands once, and the place of every key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(keys)]
+    place = np.empty(len(keys), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], place
+
+
 def joined(near: np.ndarray, far: np.ndarray) -> np.ndarray:
     """One number for a key and the word before it: a pair from a word, a triple from a pair."""
     with np.errstate(over="ignore"):
@@ -127,7 +137,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(1, dtype=np.uint64)
         out = [(np.array([4]), none, none, none, np.array([len(w)]))]
         for kind, keys in enumerate((w, pairs, joined(pairs, t.u))):
-            _, first, n = np.unique(keys, return_index=True, return_counts=True)
+            _, first, place = distinct(keys)
+            n = np.bincount(place)
             big = np.flatnonzero(n >= max(2, HOT / 2 * len(keys)))
             f = first[big]
             out.append((np.full(len(f), kind), w[f], t.v[f] * np.uint64(kind > 0), t.u[f] * np.uint64(kind > 1), n[big]))
@@ -213,6 +224,14 @@ def find_layout(rows: DataFrame, size: int, parts: int) -> Layout:
     )
 
 
+def _pressed(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _opened(x: bytes) -> bytes:
+    return pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
 _CHUNK = ["base", "w", "n", "v", "vr", "u", "ur", "d"]
 _PACKED = "part int, base long, w binary, n binary, v binary, vr binary, u binary, ur binary, d binary"
 
@@ -243,7 +262,8 @@ def _packed(layout):
             rows = []
             for a, b in zip(cuts, cuts[1:]):
                 s = slice(at[a], at[b])
-                rows.append((int(run_part[a]), int(row[0]), words[a:b].tobytes(), sizes[a:b].tobytes(), *own.short(v[s]), *own.short(u[s]), d[s].tobytes()))
+                arrays = (words[a:b].tobytes(), sizes[a:b].tobytes(), *own.short(v[s]), *own.short(u[s]), d[s].tobytes())
+                rows.append((int(run_part[a]), int(row[0]), *map(_pressed, arrays)))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", *_CHUNK])
 
@@ -405,20 +425,19 @@ class Part:
 
     def __init__(self, number: int, chunks: list[dict], layout: Layout):
         self.number, self.layout = number, layout
-        self.words, code = np.unique(np.concatenate([np.frombuffer(c["w"], "<u8") for c in chunks]), return_inverse=True)
-        code = np.repeat(code.astype(np.int32), np.concatenate([np.frombuffer(c["n"], "<u4") for c in chunks]))
+        self.words, _, code = distinct(np.concatenate([np.frombuffer(c["w"], "<u8") for c in chunks]))
+        code = np.repeat(code, np.concatenate([np.frombuffer(c["n"], "<u4") for c in chunks]))
         v = np.concatenate([layout.long(c["v"], c["vr"]) for c in chunks])
         u = np.concatenate([layout.long(c["u"], c["ur"]) for c in chunks])
         train = np.concatenate([np.frombuffer(c["d"], "<u2") for c in chunks]) >= _TRAIN
         pair = joined(self.words[code], v)
-        keys2, first, triple = np.unique(joined(pair, u), return_index=True, return_inverse=True)
-        self.triple = triple.astype(np.int32)
-        keys1, of_pair, self.pair_of = np.unique(pair[first], return_index=True, return_inverse=True)
+        keys2, first, self.triple = distinct(joined(pair, u))
+        keys1, of_pair, self.pair_of = distinct(pair[first])
         some = first[of_pair]
         self.word_of = code[some]
         contexts = np.concatenate([context1(v[some]), context2(v[first], u[first])])
-        del pair, triple, u, v
-        self.contexts, at = np.unique(contexts, return_inverse=True)
+        del pair, u, v
+        self.contexts, _, at = distinct(contexts)
         self.context = [None, at[: len(some)], at[len(some) :]]
         self.one_word = np.zeros(len(self.contexts), dtype=bool)
         self.one_word[self.context[1]] = True
@@ -552,7 +571,7 @@ def _tables(rows: list[dict]) -> dict[int, list[np.ndarray]]:
 
 
 def _part(tokens: pa.Table, layout: Layout) -> Part | None:
-    chunks = tokens.sort_by("base").to_pylist()
+    chunks = [{k: _opened(x) if isinstance(x, bytes) else x for k, x in r.items()} for r in tokens.sort_by("base").to_pylist()]
     return Part(chunks[0]["part"], chunks, layout) if chunks else None
 
 
@@ -580,7 +599,7 @@ def _total(group: pa.Table) -> pa.Table:
     """Of one bucket: each part gets the totals of the contexts that it sent, in its order."""
     rows = group.to_pylist()
     sizes = [len(r["keys"]) // 8 for r in rows]
-    _, at = np.unique(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), return_inverse=True)
+    at = distinct(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]))[2]
     sums = [np.bincount(at, np.concatenate([_floats(r[c]) for r in rows]))[at] for c in ("a", "b")]
     ends = np.cumsum(sizes)
     return _table(
@@ -588,16 +607,13 @@ def _total(group: pa.Table) -> pa.Table:
     )
 
 
-@contextmanager
-def _short_lived_shuffles(spark: SparkSession):
-    """Shuffle files go when their query ends: no later query of the fit reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of queries that have ended, which nothing refers to any more.
+
+    It waits for a collection on the driver, which a driver that holds little else may not have for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Fit:
@@ -612,6 +628,8 @@ class Fit:
         # Files by part, so that no sweep has to move the tokens again.
         out = packed.repartition(self.files, "part").sortWithinPartitions("part").write.bucketBy(self.files, "part").sortBy("part")
         out.option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        del packed, out
+        _free_shuffles(self.spark)
         self.tokens = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -671,6 +689,8 @@ class Fit:
         if sweep:
             right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).unionByName(self.totals(sweep - 1))
         self.sweeps.append(work.write(self.over_parts(run, right, _ROWS), "lm-sweep"))
+        del right
+        _free_shuffles(self.spark)
         found = self.sweeps[-1].where(F.col("kind") == SUMS).select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum")).orderBy("pos")
         sums = np.asarray(found.toArrow().column("sum").combine_chunks()).astype(np.float64)
         n0, n1, n2 = (len(k) for k in layout.keys)
@@ -818,7 +838,7 @@ def score_documents(
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     layout = find_layout(rows, size, max(12, math.ceil(size / part_bytes)))
-    with _short_lived_shuffles(spark), WorkTables(spark) as work:
+    with WorkTables(spark) as work:
         model = fit(work, rows, layout, seed, sweeps)
         try:
             run = _score_part(spark.sparkContext.broadcast(model.state), first_kept)

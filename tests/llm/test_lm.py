@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def fitted(spark, layout, sweeps=2):
             model.drop()
     out = []
     for number in sorted({r["part"] for r in tokens}):
-        part = lm.Part(number, [r for r in tokens if r["part"] == number], layout)
+        part = lm._part(pa.Table.from_pylist([r for r in tokens if r["part"] == number]), layout)
         own = [r for r in kept if r["part"] == number]
         mean = lm.averaged(part, model.state, own, 1)
         out.append((part, lm._history(part, own, sweeps)[sweeps], mean))
