@@ -558,6 +558,17 @@ def _floats(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.float64)
 
 
+def _keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps, bytes of one rank side by side: the upper ones are all zero."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _pressed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _keys_of(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(_opened(x), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _history(part: Part, rows: list[dict], last: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Totals of a part's contexts after each sweep that the rows know, the last one from what its buckets sent."""
     met = {r["sweep"]: (_floats(r["a"]), _floats(r["b"])) for r in rows if r["kind"] == MET}
@@ -591,15 +602,16 @@ def _swept(part: Part, state: State, sweep: int, rows: list[dict]) -> list[tuple
     bucket = part.layout.bucket(keys)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, dtype=int)
     for a, b in zip(cuts, cuts[1:]):
-        out.append((CONTEXTS, sweep, part.number, int(bucket[a]), keys[a:b].tobytes(), _ints(customers[a:b]), _ints(tables[a:b]), None, None))
+        out.append((CONTEXTS, sweep, part.number, int(bucket[a]), _keys(keys[a:b]), _ints(customers[a:b]), _ints(tables[a:b]), None, None))
     return out
 
 
 def _total(group: pa.Table) -> pa.Table:
     """Of one bucket: each part gets the totals of the contexts that it sent, in its order."""
     rows = group.to_pylist()
-    sizes = [len(r["keys"]) // 8 for r in rows]
-    at = distinct(np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]))[2]
+    keys = [_keys_of(r["keys"]) for r in rows]
+    sizes = [len(k) for k in keys]
+    at = distinct(np.concatenate(keys))[2]
     sums = [np.bincount(at, np.concatenate([_floats(r[c]) for r in rows]))[at] for c in ("a", "b")]
     ends = np.cumsum(sizes)
     return _table(
@@ -665,7 +677,7 @@ class Fit:
         for level, customers in ((1, state.hot_customers[sweep][1]), (2, state.triple_counts)):
             tables, keys = state.hot_tables[sweep][level], layout.contexts[level]
             for key, bucket, c, t in zip(keys, layout.bucket(keys), customers, tables):
-                out.append((CONTEXTS, sweep, -1, int(bucket), key.tobytes(), _ints(np.array([c])), _ints(np.array([t])), None, None))
+                out.append((CONTEXTS, sweep, -1, int(bucket), _keys(np.array([key])), _ints(np.array([c])), _ints(np.array([t])), None, None))
         return out
 
     def sweep(self, work: WorkTables, sweep: int) -> None:
@@ -723,7 +735,7 @@ class Fit:
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for own, customers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    at = _find(keys, np.frombuffer(own, "<u8"))
+                    at = _find(keys, _keys_of(own))
                     there = at >= 0
                     yield pa.RecordBatch.from_arrays([pa.array(at[there], pa.int32()), pa.array(_floats(customers)[there])], ["at", "n"])
 
@@ -750,11 +762,14 @@ def _discount(once: float, twice: float) -> float:
     return float(min(0.95, max(0.05, once / (once + 2 * twice)))) if once else 0.5
 
 
-def fit(work: WorkTables, rows: DataFrame, layout: Layout, seed: int, sweeps: int) -> Fit:
+def fit(work: WorkTables, rows: DataFrame, layout: Layout, seed: int, sweeps: int, first_kept: int) -> Fit:
     """The model of ``row, train, text`` after Gibbs sweeps; its tokens are there until ``drop``."""
     model = Fit(rows, layout, seed)
     for k in range(sweeps + 1):
         model.sweep(work, k)
+        if 0 < k <= first_kept:
+            # Nothing reads the sweep before this one any more.
+            work.drop()
     return model
 
 
@@ -839,7 +854,7 @@ def score_documents(
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     layout = find_layout(rows, size, max(12, math.ceil(size / part_bytes)))
     with WorkTables(spark) as work:
-        model = fit(work, rows, layout, seed, sweeps)
+        model = fit(work, rows, layout, seed, sweeps, first_kept)
         try:
             run = _score_part(spark.sparkContext.broadcast(model.state), first_kept)
             parts = model.over_parts(run, model.kept(first_kept), "base long, part int, d binary, s binary, b binary, k binary")

@@ -59,7 +59,7 @@ def fitted(spark, layout, sweeps=2):
     """State, and per part its dishes after the last sweep, the totals of its contexts and its mean probabilities."""
     rows = spark.createDataFrame([(k, True, t) for k, t in enumerate(TEXTS)], "row long, train boolean, text string").coalesce(1)
     with WorkTables(spark) as work:
-        model = lm.fit(work, rows, layout, 5, sweeps)
+        model = lm.fit(work, rows, layout, 5, sweeps, 1)
         try:
             tokens, kept = ([r.asDict() for r in df.collect()] for df in (model.tokens, model.kept(1)))
         finally:
@@ -224,3 +224,12 @@ def test_table_and_integral_agree(others, p, d):
     grid = np.unique(a)
     gap = np.abs(np.searchsorted(a, grid, side="right") - np.searchsorted(b, grid, side="right")) / 4000
     assert gap.max() < 0.045 and abs(a.mean() - b.mean()) < 0.05 * max(1.0, a.std())
+
+
+def test_keys_and_numbers_come_back():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        assert np.array_equal(lm._keys_of(lm._keys(keys)), keys)
+    for x in ([], [0, 255], [0, 256], [70000], [2**40]):
+        assert lm._floats(lm._ints(np.array(x, dtype=float))).tolist() == x
