@@ -523,3 +523,7 @@ ORACLES = {
 }
 ORACLES["p7_streaming_piece_counts"] = ORACLES["p5_piece_counts"]
 ORACLES["e9_streaming_encode"] = ORACLES["e6_training_rows"]
+ORACLES["p7_streaming_piece_state"] = ORACLES["p5_piece_counts"]
+ORACLES["s12_stream_corpus_bounded"] = ORACLES["s12_stream_corpus"]
+ORACLES["s4_read_json_array_ranges"] = ORACLES["s4_read_json_array"]
+ORACLES["s5_read_csv_ranges"] = ORACLES["s5_read_csv"]

@@ -16,8 +16,8 @@ from glyphmill.functions import normalize, pieces
 from glyphmill.model import BYTE_LEVEL, BpeModel, added_contents
 from glyphmill.operators import batches, chat, codec, counts, lengths, routing, training, vocabulary
 from glyphmill.session import new_path, spread, written
-from glyphmill.sources import readers, writers
-from glyphmill.streaming import corpus
+from glyphmill.sources import readers, splits, writers
+from glyphmill.streaming import corpus, state
 
 MERGES = 64
 OTHER_MERGES = 32
@@ -129,14 +129,29 @@ def s4_read_json_array(spark, sf_dir):
     return readers.read_json_array(spark, path, "completion").groupBy("text").agg(F.count("*").alias("n"))
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    out = df.write.option("header", True).option("escape", '"').option("quoteAll", True)
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def s5_read_csv(spark, sf_dir):
     path = new_path(spark, "csv")
-    out = documents(spark, sf_dir).select("doc_id", "lang", "text").write.option("header", True).option("escape", '"')
-    out = out.option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
-    out.option("ignoreTrailingWhiteSpace", False).csv(path)
+    write_csv(documents(spark, sf_dir).select("doc_id", "lang", "text"), path)
     return readers.read_csv(spark, path, "doc_id long, lang string, text string").drop("source_file")
 
 
+def s4_read_json_array_ranges(spark, sf_dir):
+    path = new_path(spark, "arrays")
+    write_arrays(documents(spark, sf_dir).select(F.struct(F.col("text").alias("completion"), "doc_id").alias("o")), path)
+    return splits.read_json_array(spark, path, "completion").groupBy("text").agg(F.count("*").alias("n"))
+
+
+def s5_read_csv_ranges(spark, sf_dir):
+    path = new_path(spark, "csv")
+    write_csv(documents(spark, sf_dir).select("doc_id", "lang", "text"), path)
+    return splits.read_csv(spark, path, "doc_id long, lang string, text string").drop("source_file")
+
+
 def s6_read_corpus(spark, sf_dir):
     root = new_path(spark, "mixed")
     docs = documents(spark, sf_dir).select("text")
@@ -202,6 +217,20 @@ def s12_stream_corpus(spark, sf_dir):
     return _line_counts(spark.read.parquet(out))
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    listing = spark.read.format("binaryFile").load(folder).select("length")
+    return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def s12_stream_corpus_bounded(spark, sf_dir):
+    """The folder in about four micro-batches, whatever its size."""
+    folder, out, mark = (new_path(spark, label) for label in ("lines", "streamed", "progress"))
+    writers.write_lines(texts(spark, sf_dir, "text"), "text", folder)
+    stream = corpus.stream_corpus(spark, folder, max_bytes=1 + folder_bytes(spark, folder) // 4)
+    corpus.start_append(stream, out, mark).awaitTermination()
+    return _line_counts(spark.read.parquet(out))
+
+
 # --- normalisation -----------------------------------------------------------------------
 
 
@@ -265,6 +294,15 @@ def p7_streaming_piece_counts(spark, sf_dir):
     return corpus.streamed_piece_counts(spark, out)
 
 
+def p7_streaming_piece_state(spark, sf_dir):
+    """Totals in a state store over about four micro-batches, upserted after each."""
+    folder, out, mark = (new_path(spark, label) for label in ("input", "totals", "progress"))
+    texts(spark, sf_dir, "text").write.parquet(folder)
+    stream = corpus.stream_corpus(spark, folder, "parquet", max_bytes=1 + folder_bytes(spark, folder) // 4)
+    state.start_piece_state(stream, BYTE_LEVEL, out, mark).awaitTermination()
+    return state.piece_state(spark, out)
+
+
 # --- training ----------------------------------------------------------------------------
 
 
