@@ -527,3 +527,7 @@ ORACLES["p7_streaming_piece_state"] = ORACLES["p5_piece_counts"]
 ORACLES["s12_stream_corpus_bounded"] = ORACLES["s12_stream_corpus"]
 ORACLES["s4_read_json_array_ranges"] = ORACLES["s4_read_json_array"]
 ORACLES["s5_read_csv_ranges"] = ORACLES["s5_read_csv"]
+ORACLES["a3_length_stats_from_histogram"] = ORACLES["a3_length_stats_per_file"]
+ORACLES["a4_length_stats_from_histogram"] = ORACLES["a4_length_stats_global"]
+ORACLES["a5_max_length_from_histogram"] = ORACLES["a5_recommended_max_length"]
+ORACLES["a6_compression_from_histogram"] = ORACLES["a6_compression_rate"]

@@ -529,6 +529,44 @@ def a6_compression_rate(spark, sf_dir):
     return rates.select("lang", "n_rows", "n_chars", "n_tokens", *ratios)
 
 
+def histogram(spark, sf_dir) -> DataFrame:
+    """Lengths of all documents per source and language, encoded once for the four queries below."""
+    key = (spark.sparkContext.applicationId, sf_dir, "histogram")
+    if key not in _histograms:
+        docs = texts(spark, sf_dir, "source", "lang", "text")
+        _histograms[key] = written(lengths.length_histogram(docs, corpus_model(spark, sf_dir), ["source", "lang"]), "histogram")
+    return _histograms[key]
+
+
+_histograms: dict[tuple, DataFrame] = {}
+
+
+def a3_length_stats_from_histogram(spark, sf_dir):
+    stats = lengths.histogram_stats(histogram(spark, sf_dir))
+    return stats.select("source", "count", "min", "max", *[six(c) for c in ("mean", "std", "p50", "p75", "p90", "p95", "p99")])
+
+
+def a4_length_stats_from_histogram(spark, sf_dir):
+    stats = lengths.histogram_stats(histogram(spark, sf_dir), None)
+    return stats.select(
+        F.col("count").alias("total_samples"),
+        F.col("max").alias("global_max"),
+        F.col("recommended_max_length").cast("long").alias("recommended_max_length"),
+        F.round("mean", 6).alias("global_mean"),
+        F.round("p95", 6).alias("global_95_percentile"),
+    )
+
+
+def a5_max_length_from_histogram(spark, sf_dir):
+    return lengths.histogram_stats(histogram(spark, sf_dir)).select("source", F.col("recommended_max_length").cast("long").alias("recommended_max_length"))
+
+
+def a6_compression_from_histogram(spark, sf_dir):
+    rates = lengths.histogram_compression(histogram(spark, sf_dir), "lang")
+    ratios = [six(c) for c in ("chars_per_token", "chars_per_row", "tokens_per_row")]
+    return rates.select("lang", "n_rows", "n_chars", "n_tokens", *ratios)
+
+
 def a7_skip_bad_files(spark, sf_dir):
     """A broken file among the shards is reported and left out of the totals."""
     root = new_path(spark, "shards")
