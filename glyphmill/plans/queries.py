@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from glyphmill.fixed import CHAR_VOCAB_SIZE, THINK_END
 from glyphmill.functions import normalize, pieces
 from glyphmill.model import BYTE_LEVEL, BpeModel, added_contents
-from glyphmill.operators import batches, chat, codec, counts, lengths, routing, training, vocabulary
+from glyphmill.operators import batches, chat, codec, counts, epochs, lengths, routing, training, vocabulary
 from glyphmill.session import new_path, spread, written
 from glyphmill.sources import readers, splits, writers
 from glyphmill.streaming import corpus, state
@@ -619,6 +619,13 @@ def l5_epoch_batches(spark, sf_dir):
     return rows.select("doc_id", *[F.col(n).cast("long").alias(n) for n in names])
 
 
+def l5_epoch_permutation(spark, sf_dir):
+    """The same table ordered by a permutation of its row numbers."""
+    path = new_path(spark, "numbered")
+    rows = epochs.number_rows(documents(spark, sf_dir).select("doc_id"), path)
+    return epochs.epoch_order(rows, epochs.n_rows(spark, path), 42, 1, 4, 3, 2).drop("row")
+
+
 def l6_epoch_summary(spark, sf_dir):
     rows = batches.epoch_summary(table(spark, sf_dir, "documents"), 1, 2, 2, 5)
     return rows.select(*[F.col(c).cast("long").alias(c) for c in rows.columns])
