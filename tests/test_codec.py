@@ -1,11 +1,16 @@
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 from test_training import TINY, reference_merges, texts
 
 from glyphmill.fixed import SPECIAL_TOKENS
+from glyphmill.functions import merging
 from glyphmill.functions.merging import merge_symbols
 from glyphmill.model import Profile
 from glyphmill.operators.codec import (
+    _encoder,
+    _tables,
     build_training_rows,
     compare_vocab,
     decode,
@@ -132,3 +137,21 @@ def test_memo_turnover_changes_nothing(spark, documents, monkeypatch):
     sliced = pa.array([["zz"], *rows], pa.list_(pa.string())).slice(1)
     for _ in range(3):
         assert merging.batch_ids(sliced, tables).to_pylist() == first
+
+
+def test_long_batches_are_laid_out_in_steps(spark, tiny):
+    """One batch of many long texts takes memory for a step, not for the batch."""
+    pa = pytest.importorskip("pyarrow")
+    rows = [["ab", " ", "cd", "é", " ", "ef"] * 100, None, [], ["abab"]] * 6_000
+    batch = pa.array(rows, pa.list_(pa.string())).slice(1)
+    _, to_ids = _encoder(tiny)
+    tables, got, peak = _tables(tiny), [], 0
+    tracemalloc.start()
+    for part in to_ids.func(iter([batch, batch.slice(0, 0)])):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        got.append(part)
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert peak < 50 * merging.STEP_BYTES
+    assert pa.concat_arrays(got).to_pylist() == merging.batch_ids(batch, tables).to_pylist()
+    assert len(got) > 2
