@@ -1,9 +1,10 @@
 """Removal of long byte strings that occur more than once, with a logarithmic family of suffix tables.
 
-Documents arrive in batches.  A batch becomes a table of suffixes in the order of their first
-bytes, is scanned together with the tables of earlier batches for beginnings in common, and is
-then kept as a level of its own; levels of equal size are merged before the next batch, so a
-suffix is rewritten a logarithmic number of times.
+Documents are dealt into batches, four at least and more as the text grows; one pass over the
+text writes the suffixes of all of them.  A batch is a table of suffixes in the order of their
+first bytes, is scanned together with the levels of earlier batches for beginnings in common, and
+is then kept as a level of its own; levels of equal size are merged before the next batch and
+those they came from dropped, so a suffix is rewritten a logarithmic number of times.
 
 A suffix for every byte would be many times the text.  Kept are those that start at an anchor
 (see ``anchors``): each 200-byte window has one, and equal windows have equal ones.  A row stands
@@ -12,9 +13,9 @@ first bytes, since only equality matters.  Rows whose beginning occurs once are
 the others, those with equal bytes throughout are repeats as a whole; one of each kind, where a
 beginning has several, is taken back to its text and compared window by window.
 
-No group of equal beginnings is gathered anywhere: equal rows are counted with partial sums,
-and a beginning with very many continuations is split by the bytes that blocks of its windows
-have in common.
+Equal rows are counted with partial sums, and found again by a broadcast of the few kinds that
+have very many; a beginning with very many continuations is split by the bytes that blocks of its
+windows have in common.  The contexts of one block are compared in one task.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphmill.llm.anchors import PIECE, WINDOW, Hashed, anchor_runs
 from glyphmill.llm.common import mixed64, named, small_batches, text_bytes
-from glyphmill.session import WorkTables, written
+from glyphmill.session import WorkTables, new_path, written
 
-BATCHES = 2
+# At least so many batches, so that levels merge, and no batch of more text than this.
+BATCHES, BATCH_BYTES = 4, 16 << 30
+# A kind of so many equal rows is broadcast; there are at most as many of them as rows divided by this.
+FREQUENT = 4096
 # Continuations of one beginning that are compared in one place, and windows in a block beyond that.
 MANY, BLOCK = 4096, 16
 STEP = 2 << 20
@@ -72,29 +76,43 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def suffix_batches(rows: DataFrame, work: WorkTables, batches: int) -> Iterator[tuple[DataFrame, str]]:
+    """Suffix tables of all batches of ``row, text`` and their paths, sorted by beginning, from one pass over the text."""
+    path = new_path(rows.sparkSession, "suffixes")
+    work.paths.append(path)
+    found = rows.select("row", "text").mapInArrow(_suffixes, _SUFFIXES).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
+    found.sortWithinPartitions("batch", "gram").write.partitionBy("batch").parquet(path)
+    every = rows.sparkSession.read.schema(f"{_SUFFIXES}, batch int").parquet(path)
+    for k in range(batches):
+        own = f"{path}/batch={k}"
+        work.paths.append(own)
+        yield every.where(F.col("batch") == k).drop("batch"), own
+
+
 class SuffixIndex:
-    """Levels of suffix tables, ``(batches in it, table)``, the largest first."""
+    """Levels of suffix tables, ``(batches in it, table, path)``, the largest first."""
 
     def __init__(self, work: WorkTables):
         self.work = work
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.repeated: list[DataFrame] = []
 
-    def add(self, rows: DataFrame) -> None:
-        """Index a batch of ``row, text``, and note the beginnings that it shares with itself or earlier batches."""
+    def add(self, own: DataFrame, path: str) -> None:
+        """Take in a batch's suffixes, and note the beginnings that it shares with itself or earlier batches."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            merged = a.unionByName(b).repartition("gram").sortWithinPartitions("gram")
-            self.levels.append((n + m, self.work.write(merged, "suffixes")))
-        own = self.work.write(rows.mapInArrow(_suffixes, _SUFFIXES).sortWithinPartitions("gram"), "suffixes")
-        grams = _union([own.select("gram", F.lit(1).alias("new")), *[t.select("gram", F.lit(0).alias("new")) for _, t in self.levels]])
+            (n, a, first), (m, b, second) = self.levels.pop(-2), self.levels.pop()
+            merged = self.work.write(a.unionByName(b).repartition("gram").sortWithinPartitions("gram"), "suffixes")
+            self.levels.append((n + m, merged, self.work.paths[-1]))
+            self.work.drop(first)
+            self.work.drop(second)
+        grams = _union([own.select("gram", F.lit(1).alias("new")), *[t.select("gram", F.lit(0).alias("new")) for _, t, _ in self.levels]])
         twice = grams.groupBy("gram").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("gram")
         self.repeated.append(self.work.write(twice, "beginnings"))
-        self.levels.append((1, own))
+        self.levels.append((1, own, path))
 
     def candidates(self) -> DataFrame:
         """All suffixes whose beginning occurs more than once."""
-        return _union([t for _, t in self.levels]).join(_union(self.repeated).distinct(), "gram", "left_semi")
+        return _union([t for _, t, _ in self.levels]).join(_union(self.repeated).distinct(), "gram", "left_semi")
 
 
 _WANTED = "array<struct<start:bigint,windows:int,lead:int,gram:bigint,n:bigint,many:boolean>>"
@@ -166,16 +184,26 @@ def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield compared(pa.Table.from_batches(held))
 
 
-def repeated_spans(rows: DataFrame, work: WorkTables, batches: int = BATCHES) -> DataFrame:
+def batches_for(rows: DataFrame) -> int:
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(BATCHES, -(-size // BATCH_BYTES))
+
+
+def repeated_spans(rows: DataFrame, work: WorkTables, batches: int | None = None) -> DataFrame:
     """``row, start, end``: stretches of repeated windows of ``row, text``; they may overlap."""
     index = SuffixIndex(work)
-    for k in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == k).select("row", "text"))
+    for own, path in suffix_batches(rows, work, batches or batches_for(rows)):
+        index.add(own, path)
     kind = ["gram", "lead", "windows", "whole"]
     entries = work.write(index.candidates(), "candidates")
+    for _, _, path in index.levels:
+        work.drop(path)
     kinds = entries.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one"))
     kinds = work.write(kinds, "kinds")
-    whole = entries.join(kinds.where("n > 1"), kind, "left_semi").select("row", "start", (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end"))
+    frequent = F.broadcast(kinds.where(F.col("n") >= FREQUENT))
+    rare = kinds.where((F.col("n") > 1) & (F.col("n") < FREQUENT))
+    same = entries.join(frequent, kind, "left_semi").unionByName(entries.join(frequent, kind, "left_anti").join(rare, kind, "left_semi"))
+    whole = same.select("row", "start", (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end"))
     several = kinds.groupBy("gram").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
     wanted = kinds.join(several, "gram").select(
         F.col("one.row").alias("row"),
@@ -211,7 +239,7 @@ def _cutter(keep: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, keep: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` per row; ``kept`` are the remaining bytes.
 
     * null and empty texts, and texts under 200 bytes, lose nothing;

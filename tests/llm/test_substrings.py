@@ -74,3 +74,28 @@ def test_ties_and_empty(spark):
     docs = spark.createDataFrame([(None, long), (1, long), (1, long)], "doc_id long, text string")
     assert {(r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs).collect()} == {(len(long.encode()), 1, b"")}
     assert substrings.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_query_merges_levels_and_reads_the_text_once(spark, sf_small, monkeypatch):
+    merged, passes = [], []
+    add, batches = substrings.SuffixIndex.add, substrings.suffix_batches
+    monkeypatch.setattr(substrings.SuffixIndex, "add", lambda index, *own: (add(index, *own), merged.append([n for n, *_ in index.levels])))
+    monkeypatch.setattr(substrings, "suffix_batches", lambda *a: passes.append(a[2]) or batches(*a))
+    op8_substrings(spark, sf_small)
+    assert passes == [substrings.BATCHES] and merged == [[1], [1, 1], [2, 1], [2, 1, 1]]
+
+
+@pytest.mark.parametrize("frequent", [2, 3, 10**9])
+def test_frequent_kinds_apart(spark, monkeypatch, frequent):
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    texts = made_texts(6) * 2 + made_texts(6)[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+
+
+def test_batches_follow_from_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([("é" * 100,), (None,)], "text string")
+    assert substrings.batches_for(docs) == 4 and substrings.batches_for(docs.limit(0)) == 4
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 30)
+    assert substrings.batches_for(docs) == 7
