@@ -13,8 +13,8 @@ first bytes, since only equality matters.  Rows whose beginning occurs once are
 the others, those with equal bytes throughout are repeats as a whole; one of each kind, where a
 beginning has several, is taken back to its text and compared window by window.
 
-Equal rows are counted with partial sums, and found again by a broadcast of the few kinds that
-have very many; a beginning with very many continuations is split by the bytes that blocks of its
+Equal rows are counted with partial sums, and found again by a broadcast of the few beginnings
+and kinds that have very many; a beginning with very many continuations is split by the bytes that blocks of its
 windows have in common.  The contexts of one block are compared in one task.
 """
 
@@ -35,7 +35,7 @@ from glyphmill.session import WorkTables, new_path, written
 
 # At least so many batches, so that levels merge, and no batch of more text than this.
 BATCHES, BATCH_BYTES = 4, 16 << 30
-# A kind of so many equal rows is broadcast; there are at most as many of them as rows divided by this.
+# A beginning or kind of so many rows is broadcast; there are at most as many of them as rows divided by this.
 FREQUENT = 4096
 # Continuations of one beginning that are compared in one place, and windows in a block beyond that.
 MANY, BLOCK = 4096, 16
@@ -76,6 +76,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``keys``, which stand ``n`` times each; the rows of frequent ones stay where they are."""
+    frequent = F.broadcast(keys.where(F.col("n") >= FREQUENT).select(*on))
+    rare = rows.join(frequent, on, "left_anti").join(keys.where(F.col("n") < FREQUENT), on, "left_semi")
+    return rows.join(frequent, on, "left_semi").unionByName(rare)
+
+
 def suffix_batches(rows: DataFrame, work: WorkTables, batches: int) -> Iterator[tuple[DataFrame, str]]:
     """Suffix tables of all batches of ``row, text`` and their paths, sorted by beginning, from one pass over the text."""
     path = new_path(rows.sparkSession, "suffixes")
@@ -106,13 +113,15 @@ class SuffixIndex:
             self.work.drop(first)
             self.work.drop(second)
         grams = _union([own.select("gram", F.lit(1).alias("new")), *[t.select("gram", F.lit(0).alias("new")) for _, t, _ in self.levels]])
-        twice = grams.groupBy("gram").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("gram")
+        twice = grams.groupBy("gram").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("gram", "n")
         self.repeated.append(self.work.write(twice, "beginnings"))
         self.levels.append((1, own, path))
 
     def candidates(self) -> DataFrame:
         """All suffixes whose beginning occurs more than once."""
-        return _union([t for _, t, _ in self.levels]).join(_union(self.repeated).distinct(), "gram", "left_semi")
+        rows = _union([t for _, t, _ in self.levels])
+        found = _union(self.repeated).groupBy("gram").agg(F.max("n").alias("n"))
+        return _of_keys(rows, found, ["gram"])
 
 
 _WANTED = "array<struct<start:bigint,windows:int,lead:int,gram:bigint,n:bigint,many:boolean>>"
@@ -200,9 +209,7 @@ def repeated_spans(rows: DataFrame, work: WorkTables, batches: int | None = None
         work.drop(path)
     kinds = entries.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one"))
     kinds = work.write(kinds, "kinds")
-    frequent = F.broadcast(kinds.where(F.col("n") >= FREQUENT))
-    rare = kinds.where((F.col("n") > 1) & (F.col("n") < FREQUENT))
-    same = entries.join(frequent, kind, "left_semi").unionByName(entries.join(frequent, kind, "left_anti").join(rare, kind, "left_semi"))
+    same = _of_keys(entries, kinds.where("n > 1"), kind)
     whole = same.select("row", "start", (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end"))
     several = kinds.groupBy("gram").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
     wanted = kinds.join(several, "gram").select(
