@@ -155,3 +155,15 @@ def test_long_batches_are_laid_out_in_steps(spark, tiny):
     assert peak < 50 * merging.STEP_BYTES
     assert pa.concat_arrays(got).to_pylist() == merging.batch_ids(batch, tables).to_pylist()
     assert len(got) > 2
+
+
+def test_tokens_are_looked_up_as_they_are(spark):
+    """Token strings stand in the constant table; none is decoded for every position of a text."""
+    profile = Profile("s", specials=(",|", "é,"))
+    model = train_bpe(texts(spark, "ab ab, x"), 100, 1, profile)
+    rows = tokenize(texts(spark, "ab, é,,|x"), model)
+    assert rows.first().tokens == ["ab", ",", "Ġ", "é,", ",|", "x"]
+    both = compare_vocab(model, model, texts(spark, "é,ab"))
+    assert both.first().first_tokens == both.first().second_tokens == ["é,", "ab"]
+    for df in (rows, both):
+        assert "unhex" not in df._jdf.queryExecution().optimizedPlan().toString()
