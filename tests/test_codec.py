@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_training import TINY, reference_merges, texts
 
 from glyphmill.fixed import SPECIAL_TOKENS
-from glyphmill.functions import merging
+from glyphmill.functions import merging, steps
 from glyphmill.functions.merging import merge_symbols
 from glyphmill.model import Profile
 from glyphmill.operators.codec import (
@@ -152,7 +152,7 @@ def test_long_batches_are_laid_out_in_steps(spark, tiny):
         got.append(part)
         tracemalloc.reset_peak()
     tracemalloc.stop()
-    assert peak < 50 * merging.STEP_BYTES
+    assert peak < 50 * steps.STEP_BYTES
     assert pa.concat_arrays(got).to_pylist() == merging.batch_ids(batch, tables).to_pylist()
     assert len(got) > 2
 

@@ -129,3 +129,27 @@ def test_symbols_beyond_the_basic_plane(spark):
     assert [r.s for r in merged] == [codes[3] + codes[2], codes[0] + a]
     with pytest.raises(ValueError):
         symbols.code_char(symbols.MAX_SYMBOLS)
+
+
+def test_long_batches_are_normalised_in_steps():
+    """A batch of many long texts never stands as Python strings at once; nulls, empties and slices stay right."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from glyphmill.functions import steps
+
+    rows = [None, "", "é" * 3_000, "ﬁ’" * 5] * 4_000
+    texts = pa.array(rows, pa.string()).slice(1)
+    lists = pa.array([None if t is None else [t[:40], None, t[40:90]][:: 2] for t in rows], pa.list_(pa.string())).slice(2)
+    tracemalloc.start()
+    got = normalize._normal(texts, "NFKC", "NFD")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * steps.STEP_BYTES
+    nfd = lambda t: unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t))
+    assert got.to_pylist() == [t and nfd(t) for t in rows[1:]]
+    own = normalize._form_list("NFC").func(lists)
+    assert own.to_pylist() == [x and [unicodedata.normalize("NFC", t) for t in x] for x in lists.to_pylist()]
+    for none in (texts.slice(0, 0), pa.nulls(3, pa.string())):
+        assert normalize._normal(none, "NFC").equals(none)
