@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphmill.fixed import DEFAULT_SYSTEM, TOOLS_INTRO, TOOLS_OUTRO
+from glyphmill.functions.binding import let as _let
 from glyphmill.model import BpeModel
 from glyphmill.operators.codec import decoded, encode
 
@@ -32,11 +33,6 @@ def strip_newlines(col: Column) -> Column:
     return strip_right(strip_left(col))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: a lambda's variable is never expanded again."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _parts(reasoning: Column, answer: Column) -> Column:
     return F.struct(reasoning.alias("reasoning"), answer.alias("answer"))
 

@@ -6,33 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glyphmill.functions.binding import let
 
-def _probabilities(df: DataFrame, logits: str) -> DataFrame:
-    """Stable softmax; each step is a column so nothing is computed twice per element."""
-    top = df.withColumn("_max", F.array_max(logits))
-    powers = top.withColumn("_exp", F.transform(F.col(logits), lambda x: F.exp(x - F.col("_max"))))
-    total = powers.withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda a, x: a + x))
-    return total.withColumn("_p", F.transform("_exp", lambda x: x / F.col("_sum"))).drop("_max", "_exp", "_sum")
 
+def _probabilities(logits: Column) -> Column:
+    """Stable softmax.  Each step is bound: the planner would put a column of its own back into the next step's lambda."""
 
-def _chosen(k: int) -> Column:
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda s: F.transform(powers, lambda x: x / s))
+
+    return let(logits, lambda own: let(F.array_max(own), lambda top: let(F.transform(own, lambda x: F.exp(x - top)), shares)))
+
+
+def _chosen(p: Column, k: int) -> Column:
     """The k likeliest experts of a row as (slot, expert, weight); ties go to the lower expert."""
-    pairs = F.transform("_p", lambda p, i: F.struct((-p).alias("w"), i.alias("expert")))
-    best = F.slice(F.array_sort(pairs), 1, k)
+    pairs = F.transform(p, lambda p, i: F.struct((-p).alias("w"), i.alias("expert")))
+    best = F.slice(F.sort_array(pairs), 1, k)
     return F.transform(best, lambda b, s: F.struct(s.alias("slot"), b.expert.alias("expert"), (-b.w).alias("weight")))
 
 
+def _weighted(best: Column, total: Column) -> Column:
+    return F.transform(best, lambda b: F.struct(b.slot.alias("slot"), b.expert.alias("expert"), (b.weight / total).alias("weight")))
+
+
 def route_topk(
     df: DataFrame, k: int, renorm: bool, logits: str = "logits", keys: Sequence[str] = ("vec_id",)
 ) -> DataFrame:
     """(keys, slot, expert, weight), all inside the row: no shuffle."""
-    best = _probabilities(df, logits).select(*keys, _chosen(k).alias("_best"))
-    if renorm:
-        best = best.withColumn("_total", F.aggregate("_best", F.lit(0.0), lambda a, b: a + b.weight))
-    else:
-        best = best.withColumn("_total", F.lit(1.0))
-    rows = best.select(*keys, "_total", F.inline("_best"))
-    return rows.select(*keys, "slot", "expert", (F.col("weight") / F.col("_total")).alias("weight"))
+
+    def weights(best: Column) -> Column:
+        total = F.aggregate(best, F.lit(0.0), lambda a, b: a + b.weight) if renorm else F.lit(1.0)
+        return let(total, lambda t: _weighted(best, t))
+
+    best = let(_chosen(_probabilities(F.col(logits)), k), weights)
+    # Outer, for else the planner computes the array once more to leave out empty ones before.
+    return df.select(*keys, F.inline_outer(best)).where(F.col("slot").isNotNull())
 
 
 def expert_load(df: DataFrame, k: int, logits: str = "logits", mask: Column | None = None) -> DataFrame:
@@ -44,22 +53,17 @@ def expert_load(df: DataFrame, k: int, logits: str = "logits", mask: Column | No
     at most slots * experts rows.
     """
     weight = F.lit(1.0) if mask is None else mask.cast("double")
-    rows = _probabilities(df, logits).select("_p", _chosen(k).alias("_best"), weight.alias("_w"))
+
     # One element per expert: its probability and, if chosen, the slot it filled.
-    slots = F.transform(
-        F.col("_p"),
-        lambda p, i: F.struct(
-            i.alias("expert"),
-            p.alias("p"),
-            F.element_at(
-                F.concat(
-                    F.transform(F.filter("_best", lambda b: b.expert == i), lambda b: b.slot), F.array(F.lit(-1))
-                ),
-                1,
-            ).alias("slot"),
-        ),
-    )
-    cells = rows.select("_w", F.inline(slots)).groupBy("expert", "slot")
+    def slots(p: Column) -> Column:
+        return let(_chosen(p, k), lambda best: F.transform(p, lambda own, i: cell(best, own, i)))
+
+    def cell(best: Column, own: Column, i: Column) -> Column:
+        filled = F.transform(F.filter(best, lambda b: b.expert == i), lambda b: b.slot)
+        return F.struct(i.alias("expert"), own.alias("p"), F.element_at(F.concat(filled, F.array(F.lit(-1))), 1).alias("slot"))
+
+    rows = df.select(weight.alias("_w"), F.inline_outer(let(_probabilities(F.col(logits)), slots)))
+    cells = rows.where(F.col("expert").isNotNull()).groupBy("expert", "slot")
     cells = cells.agg(F.sum("_w").alias("filled"), F.sum(F.col("p") * F.col("_w")).alias("mass"))
     experts = cells.groupBy("expert").agg(
         F.sum("filled").alias("total"),

@@ -139,3 +139,13 @@ def test_no_folder_is_left_behind(spark, documents, tmp_path):
     for df in readers.read_good_files(spark, f"{tmp_path}/t"):
         df.count()
     assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_routing_computes_each_step_once(spark):
+    """No step of the softmax is put into the lambda of the next one, nor into a filter before the rows are made."""
+    df = spark.createDataFrame([(1, [1.0, 2.0, 2.0]), (2, []), (3, None)], "vec_id long, logits array<double>")
+    for rows in (routing.route_topk(df, 2, True), routing.expert_load(df, 2)):
+        done = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert done.count("array_max(") == 1 and done.count("EXP(") == 1 and done.count("sort_array(") == 1
+    assert [(r.vec_id, r.slot, r.expert) for r in routing.route_topk(df, 2, True).orderBy("slot").collect()] == [(1, 0, 1), (1, 1, 2)]
+    assert {r.expert for r in routing.expert_load(df, 2).collect()} == {0, 1, 2}
