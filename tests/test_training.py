@@ -238,3 +238,22 @@ def test_packed_rows_keep_words_apart():
         assert dict(zip(changes["pair"], changes["n"])) == net
         again = pa.Table.from_batches(list(packed.pair_sums([])(packed.rebuilt([step])(iter(rows))))).to_pydict()
         assert dict(zip(again["pair"], again["n"])) == after
+
+
+def test_packed_rows_are_views_of_their_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from glyphmill.functions import packed
+
+    syms, counts = np.arange(1 << 16, dtype="<i4"), np.arange(3, dtype="<i8")
+    one = packed._row(syms, counts)
+    batch = pa.Table.from_batches([one] * 40).combine_chunks().to_batches()[0].slice(1)
+    tracemalloc.start()
+    rows = list(packed._rows(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 39 and all((s == syms).all() and (n == counts).all() for s, n in rows)
+    assert peak < syms.nbytes
