@@ -39,7 +39,7 @@ BATCHES, BATCH_BYTES = 4, 16 << 30
 FREQUENT = 4096
 # Continuations of one beginning that are compared in one place, and windows in a block beyond that.
 MANY, BLOCK = 4096, 16
-STEP = 2 << 20
+STEP = 1 << 19
 _SUFFIXES = "gram long, whole long, row long, start long, windows int, lead int"
 
 
