@@ -631,9 +631,11 @@ def _free_shuffles(spark: SparkSession) -> None:
 class Fit:
     """A fitted model: packed tokens in files by part, and what each sweep wrote."""
 
-    def __init__(self, rows: DataFrame, layout: Layout, seed: int):
+    def __init__(self, work: WorkTables, rows: DataFrame, layout: Layout, seed: int):
+        self.work = work
         self.spark, self.layout, self.state = rows.sparkSession, layout, State(layout, seed)
         self.sweeps: list[DataFrame] = []
+        self.paths: list[str] = []
         self.files = min(layout.parts, FILES)
         self.name, self.path = f"glyphmill_lm_{uuid.uuid4().hex}", new_path(self.spark, "lm-tokens")
         packed = rows.select("row", "train", "text").mapInArrow(_packed(self.spark.sparkContext.broadcast(layout)), _PACKED)
@@ -671,6 +673,13 @@ class Fit:
             sent = sent.unionByName(self.spark.createDataFrame(hot, sent.schema))
         return sent.repartition(self.files, "bucket").groupBy("bucket").applyInArrow(_total, _ROWS)
 
+    def met(self, sweep: int) -> DataFrame:
+        """The totals, written; what the parts sent for them is given back before the next step."""
+        totals = self.work.write(self.totals(sweep), "lm-totals")
+        self.work.drop_rows(self.paths[sweep], "kind", CONTEXTS)
+        _free_shuffles(self.spark)
+        return totals
+
     def hot_sums(self, sweep: int) -> list[tuple]:
         """The hot dishes' share in their contexts, as rows of a part of its own."""
         state, layout, out = self.state, self.layout, []
@@ -680,8 +689,8 @@ class Fit:
                 out.append((CONTEXTS, sweep, -1, int(bucket), _keys(np.array([key])), _ints(np.array([c])), _ints(np.array([t])), None, None))
         return out
 
-    def sweep(self, work: WorkTables, sweep: int) -> None:
-        state, layout = self.state, self.layout
+    def sweep(self, sweep: int) -> None:
+        work, state, layout = self.work, self.state, self.layout
         rng = np.random.default_rng([state.seed, sweep])
         if sweep:
             # Hot triples are drawn before their sweep, hot pairs and words from what it adds up.
@@ -699,9 +708,15 @@ class Fit:
 
         right = None
         if sweep:
-            right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).unionByName(self.totals(sweep - 1))
-        self.sweeps.append(work.write(self.over_parts(run, right, _ROWS), "lm-sweep"))
+            totals = self.met(sweep - 1)
+            met = work.paths[-1]
+            right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).unionByName(totals)
+            del totals
+        self.sweeps.append(work.write(self.over_parts(run, right, _ROWS), "lm-sweep", "kind"))
+        self.paths.append(work.paths[-1])
         del right
+        if sweep:
+            work.drop(met)
         _free_shuffles(self.spark)
         found = self.sweeps[-1].where(F.col("kind") == SUMS).select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum")).orderBy("pos")
         sums = np.asarray(found.toArrow().column("sum").combine_chunks()).astype(np.float64)
@@ -751,7 +766,7 @@ class Fit:
     def kept(self, first: int) -> DataFrame:
         """What the parts need to know the probabilities after the sweeps from ``first`` on."""
         last = len(self.sweeps) - 1
-        out = self.totals(last)
+        out = self.met(last)
         for k in range(first, last + 1):
             out = out.unionByName(self.sweeps[k].where((F.col("kind") == TABLES) | ((F.col("kind") == MET) & (F.col("sweep") >= min(first, last - 1)))))
         return out
@@ -764,9 +779,9 @@ def _discount(once: float, twice: float) -> float:
 
 def fit(work: WorkTables, rows: DataFrame, layout: Layout, seed: int, sweeps: int, first_kept: int) -> Fit:
     """The model of ``row, train, text`` after Gibbs sweeps; its tokens are there until ``drop``."""
-    model = Fit(rows, layout, seed)
+    model = Fit(work, rows, layout, seed)
     for k in range(sweeps + 1):
-        model.sweep(work, k)
+        model.sweep(k)
         if 0 < k <= first_kept:
             # Nothing reads the sweep before this one any more.
             work.drop()

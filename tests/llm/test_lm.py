@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -73,6 +74,24 @@ def fitted(spark, layout, sweeps=2):
     return model.state, out
 
 
+def test_what_parts_sent_is_given_back(spark):
+    """Keys of contexts go once their totals are known; the kept sweeps and the totals of the last one stay."""
+    rows = spark.createDataFrame([(k, True, t) for k, t in enumerate(TEXTS)], "row long, train boolean, text string").coalesce(1)
+    with WorkTables(spark) as work:
+        model = lm.fit(work, rows, LAYOUTS["several parts"], 5, 3, 1)
+        try:
+            before = [sorted(os.listdir(p)) for p in model.paths if os.path.exists(p)]
+            kept = model.kept(1).collect()
+            after = [os.listdir(p) for p in model.paths if os.path.exists(p)]
+        finally:
+            model.drop()
+    sent = f"kind={lm.CONTEXTS}"
+    assert [sent in names for names in before] == [False, False, True] and not any(sent in names for names in after)
+    parts = {r.part for r in kept}
+    assert {(r.sweep, r.part) for r in kept if r.kind == lm.TABLES} == {(k, p) for k in (1, 2, 3) for p in parts}
+    assert {r.part for r in kept if r.kind == lm.TOTALS and r.sweep == 3} == parts
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_probabilities_add_up(spark, name):
     """At the root, and in every restaurant: dishes that it serves, and the others by its parent alone."""
