@@ -548,25 +548,33 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of one rank side by side, compressed: most of the upper ones are zero."""
+    return _pressed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _of_planes(x: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(_opened(x), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 def _ints(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as the largest needs, after their width."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or x.max() < 1 << 8 * w - (w == 8))
-    return bytes([width]) + np.rint(x).astype(f"<u{width}").tobytes()
+    return bytes([width]) + _planes(np.rint(x).astype(f"<u{width}"))
 
 
 def _floats(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.float64)
+    return _of_planes(x[1:], x[0]).astype(np.float64)
 
 
 def _keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps, bytes of one rank side by side: the upper ones are all zero."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return _pressed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted keys as their steps."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def _keys_of(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(_opened(x), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_of_planes(x, 8), dtype=np.uint64)
 
 
 def _history(part: Part, rows: list[dict], last: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:

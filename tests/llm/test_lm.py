@@ -92,6 +92,13 @@ def test_what_parts_sent_is_given_back(spark):
     assert {r.part for r in kept if r.kind == lm.TOTALS and r.sweep == 3} == parts
 
 
+def test_one_large_number_does_not_widen_the_others():
+    counts = np.ones(100_000)
+    counts[7] = 70_000
+    packed = lm._ints(counts)
+    assert len(packed) < len(counts) / 100 and np.array_equal(lm._floats(packed), counts)
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_probabilities_add_up(spark, name):
     """At the root, and in every restaurant: dishes that it serves, and the others by its parent alone."""
