@@ -27,7 +27,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,9 @@ PART_BYTES, LAYOUT_BYTES = 6 << 20, 64 << 20
 BATCH_ROWS = 1 << 15
 # Words with a short code in packed tokens; all others are packed as their hash.
 COMMON = (1 << 16) - 1
+# Parts, and buckets of contexts, are moved in so many turns, of at least so many parts, so that only a share of a table stands in
+# shuffle files as well.
+WAVES, WAVE_PARTS = 5, 4
 FILES = 1 << 15
 # Up to so many customers of a dish a table holds the weights of its numbers of tables; beyond it, an
 # integral of so many points is taken at so many numbers of tables.
@@ -90,7 +93,10 @@ def context2(v: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Words of a batch of texts, each text closed by an end sign; ``v`` precedes a word, ``u`` precedes ``v``."""
+    """Distinct words of a batch of texts, the start sign last, and their places in the texts, each closed by an end sign.
+
+    ``v`` precedes a word, ``u`` precedes ``v``.
+    """
 
     words: np.ndarray
     code: np.ndarray
@@ -108,14 +114,14 @@ def tokens_of(texts: list[bytes]) -> Tokens:
         counts[k] = len(own)
         flat += own
     coded = pa.array(flat, pa.large_binary()).dictionary_encode()
-    words, code = _hashes(coded.dictionary.to_pylist()), np.asarray(coded.indices)
+    words, code = _hashes([*coded.dictionary.to_pylist(), START]), np.asarray(coded.indices)
     starts = np.cumsum(counts) - counts
-    v = np.full(len(code), START_HASH)
-    v[1:] = words[code[:-1]]
-    v[starts] = START_HASH
-    u = np.full(len(code), START_HASH)
+    v = np.empty_like(code)
+    v[1:] = code[:-1]
+    v[starts] = len(words) - 1
+    u = np.empty_like(code)
     u[1:] = v[:-1]
-    u[starts] = START_HASH
+    u[starts] = len(words) - 1
     return Tokens(words, code, v, u, np.repeat(np.arange(len(texts)), counts))
 
 
@@ -132,16 +138,16 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a batch: frequent words (kind 0), pairs (1) and triples (2), the most common words (3) and the number of tokens (4)."""
     for batch in _batches(batches):
         t = tokens_of(text_bytes(batch.column("text")))
-        w = t.words[t.code]
-        pairs = joined(w, t.v)
+        w, v, u = t.words[t.code], t.words[t.v], t.words[t.u]
+        pairs = joined(w, v)
         none = np.zeros(1, dtype=np.uint64)
         out = [(np.array([4]), none, none, none, np.array([len(w)]))]
-        for kind, keys in enumerate((w, pairs, joined(pairs, t.u))):
+        for kind, keys in enumerate((w, pairs, joined(pairs, u))):
             _, first, place = distinct(keys)
             n = np.bincount(place)
             big = np.flatnonzero(n >= max(2, HOT / 2 * len(keys)))
             f = first[big]
-            out.append((np.full(len(f), kind), w[f], t.v[f] * np.uint64(kind > 0), t.u[f] * np.uint64(kind > 1), n[big]))
+            out.append((np.full(len(f), kind), w[f], v[f] * np.uint64(kind > 0), u[f] * np.uint64(kind > 1), n[big]))
         n = np.bincount(t.code, minlength=len(t.words))
         top = np.argsort(-n, kind="stable")[:COMMON]
         zero = np.zeros(len(top), dtype=np.uint64)
@@ -163,7 +169,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Layout:
-    """Number of parts, words with a short code, and what is spread over all parts.
+    """Number of parts, words with a short code from the most common one on, and what is spread over all parts.
 
     ``hot`` are triples of word, word before and word before that; each triple brings its pair and each pair its word.
     """
@@ -183,7 +189,7 @@ class Layout:
         words = np.unique(np.concatenate([self.hot_words, pairs[:, 0]]))
         key1, key2 = joined(pairs[:, 0], pairs[:, 1]), joined(joined(triples[:, 0], triples[:, 1]), triples[:, 2])
         pairs, triples = pairs[np.argsort(key1)], triples[np.argsort(key2)]
-        self.common = np.sort(self.common)
+        self.ranks = np.argsort(self.common)
         self.keys = [words, np.sort(key1), np.sort(key2)]
         self.parents = [None, _find(words, pairs[:, 0]), _find(self.keys[1], joined(triples[:, 0], triples[:, 1]))]
         self.contexts = [None, context1(pairs[:, 1]), context2(triples[:, 1], triples[:, 2])]
@@ -193,11 +199,12 @@ class Layout:
         """Buckets of restaurants, in the order of the keys."""
         return ((contexts >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
 
-    def short(self, words: np.ndarray) -> tuple[bytes, bytes]:
-        at = _find(self.common, words)
-        return np.where(at < 0, COMMON, at).astype("<u2").tobytes(), words[at < 0].tobytes()
+    def short(self, words: np.ndarray) -> np.ndarray:
+        """Short codes, ``COMMON`` for words that have none."""
+        at = _find(self.common[self.ranks], words)
+        return np.where(at < 0, COMMON, self.ranks[at] if len(self.ranks) else 0).astype("<u2")
 
-    def long(self, codes: bytes, rest: bytes) -> np.ndarray:
+    def long(self, codes: np.ndarray, rest: bytes) -> np.ndarray:
         at = np.frombuffer(codes, "<u2")
         out = np.empty(len(at), dtype=np.uint64)
         there = at < COMMON
@@ -232,10 +239,34 @@ def _opened(x: bytes) -> bytes:
     return pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of one rank side by side, compressed: most of the upper ones are zero."""
+    return _pressed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _of_planes(x: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(_opened(x), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 _CHUNK = ["base", "w", "n", "v", "vr", "u", "ur", "d"]
 _PACKED = "part int, base long, w binary, n binary, v binary, vr binary, u binary, ur binary, d binary"
 
 
+def _unpacked_chunk(row: dict) -> dict:
+    """A chunk's arrays as they were before they were pressed."""
+    steps = _of_planes(row["v"], 2)
+    own = {"n": _of_planes(row["n"], 4), "v": np.cumsum(steps, dtype="<u2"), "u": _of_planes(row["u"], 2), "d": _of_planes(row["d"], 2)}
+    return row | own
+
+
+def _order(part: np.ndarray, parts: int, code: np.ndarray, codes: int, near: np.ndarray) -> np.ndarray:
+    """Places by part, word and the code of the word before."""
+    if parts * codes < 1 << 47:
+        return np.argsort((part * codes + code) << 16 | near)
+    return np.lexsort((near, code, part))
+
+
 def _packed(layout):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens of a batch by part: distinct words, how often each occurs, and what stands before each and its document in that order."""
@@ -246,14 +277,17 @@ def _packed(layout):
             train = np.asarray(batch.column("train").cast(pa.int8())).astype(bool)
             key = t.words[t.code]
             # What is hot is told apart by one more word, at last by the batch.
-            for level, more in enumerate((t.v, t.u, np.full(len(key), row[0], dtype=np.uint64))):
-                hot = np.flatnonzero(_find(own.keys[level], key) >= 0) if level == 0 else hot[_find(own.keys[level], key[hot]) >= 0]
-                key[hot] = joined(key[hot], more[hot])
+            hot = np.flatnonzero((_find(own.keys[0], t.words) >= 0)[t.code])
+            for level, more in enumerate((t.v, t.u, None)):
+                if level:
+                    hot = hot[_find(own.keys[level], key[hot]) >= 0]
+                key[hot] = joined(key[hot], t.words[more[hot]] if level < 2 else np.full(len(hot), row[0], dtype=np.uint64))
             part = (mixed64(key) % np.uint64(own.parts)).astype(np.int64)
-            order = np.argsort(part << 32 | t.code)
-            part, code = part[order], t.code[order]
+            short = own.short(t.words)
+            # Sorted by the word before as well, so that its codes rise and can be packed as steps.
+            order = _order(part, own.parts, t.code, len(t.words), short[t.v])
+            part, code, v, u = part[order], t.code[order], t.v[order], t.u[order]
             d = (t.doc | np.where(train, _TRAIN, 0)[t.doc])[order].astype("<u2")
-            v, u = t.v[order], t.u[order]
             runs = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (code[1:] != code[:-1]))))
             sizes = np.diff(np.append(runs, len(code))).astype("<u4")
             words, run_part = t.words[code[runs]], part[runs]
@@ -262,8 +296,10 @@ def _packed(layout):
             rows = []
             for a, b in zip(cuts, cuts[1:]):
                 s = slice(at[a], at[b])
-                arrays = (words[a:b].tobytes(), sizes[a:b].tobytes(), *own.short(v[s]), *own.short(u[s]), d[s].tobytes())
-                rows.append((int(run_part[a]), int(row[0]), *map(_pressed, arrays)))
+                near, far = short[v[s]], short[u[s]]
+                rest = (t.words[x[s][codes == COMMON]].tobytes() for x, codes in ((v, near), (u, far)))
+                arrays = (words[a:b].tobytes(), _planes(sizes[a:b]), _planes(np.diff(near, prepend=near[:1] * 0)), next(rest), _planes(far), next(rest), _planes(d[s]))
+                rows.append((int(run_part[a]), int(row[0]), *arrays))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", *_CHUNK])
 
@@ -510,8 +546,8 @@ class Part:
                 # The customers of what is hot come from the driver, after the sweep.
                 self.customers[level - 1] = np.bincount(of, np.where(self.hot[level] < 0, new, 0), len(self.tables[level - 1]))
 
-    def sums(self) -> np.ndarray:
-        """What the driver adds up, without the hot dishes themselves."""
+    def sums(self, tables: np.ndarray) -> np.ndarray:
+        """What the driver adds up, without the hot dishes themselves; ``tables`` are those of the contexts."""
         plain = [h < 0 for h in self.hot]
         customers = [self.customers[0], self.customers[1], self.count]
         scalars = [self.word_count.sum(), np.count_nonzero(self.word_count[plain[0]]), self.tables[1][plain[1]].sum(), self.tables[0][plain[0]].sum()]
@@ -523,7 +559,6 @@ class Part:
 
         sizes = [len(k) for k in self.layout.keys]
         hot = [of(self.hot[0], self.word_count, sizes[0])] + [of(self.hot[k], customers[k], sizes[k]) for k in range(3)]
-        tables = self.context_sums()[1]
         return np.concatenate([scalars, *hot, of(self.hot_context, tables, len(self.layout.hot_contexts))]).astype(np.float64)
 
     def context_sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -548,16 +583,6 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of one rank side by side, compressed: most of the upper ones are zero."""
-    return _pressed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
-
-
-def _of_planes(x: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(_opened(x), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
-
-
 def _ints(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as the largest needs, after their width."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or x.max() < 1 << 8 * w - (w == 8))
@@ -590,7 +615,7 @@ def _tables(rows: list[dict]) -> dict[int, list[np.ndarray]]:
 
 
 def _part(tokens: pa.Table, layout: Layout) -> Part | None:
-    chunks = [{k: _opened(x) if isinstance(x, bytes) else x for k, x in r.items()} for r in tokens.sort_by("base").to_pylist()]
+    chunks = [_unpacked_chunk(r) for r in tokens.sort_by("base").to_pylist()]
     return Part(chunks[0]["part"], chunks, layout) if chunks else None
 
 
@@ -604,9 +629,10 @@ def _swept(part: Part, state: State, sweep: int, rows: list[dict]) -> list[tuple
     else:
         part.start()
     out.append((TABLES, sweep, part.number, None, None, *map(_ints, part.tables), None))
-    out.append((SUMS, sweep, part.number, None, None, None, None, None, part.sums().tolist()))
+    customers, tables = part.context_sums()
+    out.append((SUMS, sweep, part.number, None, None, None, None, None, part.sums(tables).tolist()))
     active = part.active(met)
-    keys, (customers, tables) = part.contexts[active], (x[active] for x in part.context_sums())
+    keys, customers, tables = part.contexts[active], customers[active], tables[active]
     bucket = part.layout.bucket(keys)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, dtype=int)
     for a, b in zip(cuts, cuts[1:]):
@@ -644,48 +670,84 @@ class Fit:
         self.spark, self.layout, self.state = rows.sparkSession, layout, State(layout, seed)
         self.sweeps: list[DataFrame] = []
         self.paths: list[str] = []
-        self.files = min(layout.parts, FILES)
+        # Parts, and buckets, of each turn.
+        waves = max(1, min(WAVES, layout.parts // WAVE_PARTS))
+        ends = [k * layout.parts // waves for k in range(waves + 1)]
+        self.waves = list(zip(ends, ends[1:]))
         self.name, self.path = f"glyphmill_lm_{uuid.uuid4().hex}", new_path(self.spark, "lm-tokens")
-        packed = rows.select("row", "train", "text").mapInArrow(_packed(self.spark.sparkContext.broadcast(layout)), _PACKED)
-        # Files by part, so that no sweep has to move the tokens again.
-        out = packed.repartition(self.files, "part").sortWithinPartitions("part").write.bucketBy(self.files, "part").sortBy("part")
-        out.option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
-        del packed, out
-        _free_shuffles(self.spark)
-        self.tokens = self.spark.table(self.name)
+        # Once for all turns: a function that holds it would leave a copy on the driver's disk each time.
+        self.shared = self.spark.sparkContext.broadcast(layout)
+        packed = rows.select("row", "train", "text").mapInArrow(_packed(self.shared), _PACKED)
+        sent = work.write(packed.withColumn("wave", self.wave("part")), "lm-packed", "wave")
+        sent_path, self.tables = work.paths[-1], []
+        for wave, (first, end) in enumerate(self.waves):
+            files = min(end - first, FILES)
+            # Files by part, so that no sweep has to move the tokens again.
+            own = sent.where(F.col("wave") == wave).drop("wave").repartition(files, "part").sortWithinPartitions("part")
+            out = own.write.bucketBy(files, "part").sortBy("part")
+            out.option("path", f"{self.path}/{wave}").option("compression", "zstd").saveAsTable(f"{self.name}_{wave}")
+            del own, out
+            work.drop_rows(sent_path, f"wave={wave}")
+            _free_shuffles(self.spark)
+            self.tables.append(self.spark.table(f"{self.name}_{wave}"))
+        work.drop(sent_path)
+
+    @property
+    def tokens(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.tables)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for wave in range(len(self.waves)):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{wave}")
         delete(self.spark, self.path)
 
-    def over_parts(self, function, right: DataFrame | None, schema: str) -> DataFrame:
-        """``function`` of each part and of the rows of earlier sweeps that belong to it."""
-        layout = self.layout
+    def wave(self, number: str) -> Column:
+        """The turn of a part or bucket."""
+        turn = F.lit(None)
+        for wave, (_, end) in reversed(list(enumerate(self.waves))):
+            turn = F.when(F.col(number) < end, wave).otherwise(turn)
+        return turn.cast("int")
+
+    def over_parts(self, function, right: DataFrame | None, schema: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """``function`` of each part and of the rows of earlier sweeps that belong to it, written."""
+        path = None
+        for tokens, (first, end) in zip(self.tables, self.waves):
+            own = None if right is None else right.where(F.col("part").between(first, end - 1)).repartition(min(end - first, FILES), "part")
+            found = self._over(function, tokens, own, schema)
+            out = self.work.write(found.withColumn("wave", self.wave("bucket")) if by else found, label, by, path)
+            path = path or self.work.paths[-1]
+            del own, found
+            _free_shuffles(self.spark)
+        return out
+
+    def _over(self, function, own: DataFrame, right: DataFrame | None, schema: str) -> DataFrame:
+        layout = self.shared
 
         def alone(tokens: pa.Table) -> pa.Table:
-            return function(_part(tokens, layout), [])
+            return function(_part(tokens, layout.value), [])
 
         def both(tokens: pa.Table, rows: pa.Table) -> pa.Table:
-            return function(_part(tokens, layout), rows.to_pylist())
+            return function(_part(tokens, layout.value), rows.to_pylist())
 
-        own = self.tokens.groupBy("part")
+        own = own.groupBy("part")
         if right is None:
             return own.applyInArrow(alone, schema)
-        return own.cogroup(right.repartition(self.files, "part").groupBy("part")).applyInArrow(both, schema)
-
-    def totals(self, sweep: int) -> DataFrame:
-        """The totals of contexts after a sweep, for the parts that know them."""
-        hot = self.hot_sums(sweep)
-        sent = self.sweeps[sweep].where(F.col("kind") == CONTEXTS)
-        if hot:
-            sent = sent.unionByName(self.spark.createDataFrame(hot, sent.schema))
-        return sent.repartition(self.files, "bucket").groupBy("bucket").applyInArrow(_total, _ROWS)
+        return own.cogroup(right.groupBy("part")).applyInArrow(both, schema)
 
     def met(self, sweep: int) -> DataFrame:
-        """The totals, written; what the parts sent for them is given back before the next step."""
-        totals = self.work.write(self.totals(sweep), "lm-totals")
-        self.work.drop_rows(self.paths[sweep], "kind", CONTEXTS)
-        _free_shuffles(self.spark)
+        """The totals of contexts after a sweep, for the parts that know them, written; what the parts sent for them is given back on the way."""
+        hot, path, sent = self.hot_sums(sweep), None, self.sweeps[sweep].where(F.col("kind") == CONTEXTS)
+        for wave, (first, end) in enumerate(self.waves):
+            own = sent.where(F.col("wave") == wave).drop("wave")
+            more = [r for r in hot if first <= r[3] < end]
+            if more:
+                own = own.unionByName(self.spark.createDataFrame(more, own.schema))
+            totals = self.work.write(own.repartition(min(end - first, FILES), "bucket").groupBy("bucket").applyInArrow(_total, _ROWS), "lm-totals", (), path)
+            path = path or self.work.paths[-1]
+            del own
+            self.work.drop_rows(self.paths[sweep], f"kind={CONTEXTS}/wave={wave}")
+            _free_shuffles(self.spark)
+        self.work.drop_rows(self.paths[sweep], f"kind={CONTEXTS}")
         return totals
 
     def hot_sums(self, sweep: int) -> list[tuple]:
@@ -718,14 +780,13 @@ class Fit:
         if sweep:
             totals = self.met(sweep - 1)
             met = work.paths[-1]
-            right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).unionByName(totals)
+            right = self.sweeps[-1].where(F.col("kind").isin(TABLES, MET)).drop("wave").unionByName(totals)
             del totals
-        self.sweeps.append(work.write(self.over_parts(run, right, _ROWS), "lm-sweep", "kind"))
+        self.sweeps.append(self.over_parts(run, right, _ROWS, "lm-sweep", ("kind", "wave")))
         self.paths.append(work.paths[-1])
         del right
         if sweep:
             work.drop(met)
-        _free_shuffles(self.spark)
         found = self.sweeps[-1].where(F.col("kind") == SUMS).select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum")).orderBy("pos")
         sums = np.asarray(found.toArrow().column("sum").combine_chunks()).astype(np.float64)
         n0, n1, n2 = (len(k) for k in layout.keys)
@@ -776,7 +837,8 @@ class Fit:
         last = len(self.sweeps) - 1
         out = self.met(last)
         for k in range(first, last + 1):
-            out = out.unionByName(self.sweeps[k].where((F.col("kind") == TABLES) | ((F.col("kind") == MET) & (F.col("sweep") >= min(first, last - 1)))))
+            kinds = (TABLES, MET) if k > min(first, last - 1) else (TABLES,)
+            out = out.unionByName(self.sweeps[k].where(F.col("kind").isin(*kinds)).drop("wave"))
         return out
 
 
@@ -790,6 +852,9 @@ def fit(work: WorkTables, rows: DataFrame, layout: Layout, seed: int, sweeps: in
     model = Fit(work, rows, layout, seed)
     for k in range(sweeps + 1):
         model.sweep(k)
+        if 2 <= k < 2 + min(first_kept, sweeps - 1):
+            # The totals that the sweep before it met are known no longer than that.
+            work.drop_rows(model.paths[k - 1], f"kind={MET}")
         if 0 < k <= first_kept:
             # Nothing reads the sweep before this one any more.
             work.drop()
@@ -824,11 +889,12 @@ def _score_part(shared, first_kept: int):
                 d = np.frombuffer(chunk["d"], "<u2") & (_TRAIN - 1)
                 own = slice(at, at + len(d))
                 at += len(d)
-                docs, where = np.unique(d, return_inverse=True)
-                s, b, k = (np.bincount(where, x[own], len(docs)) for x in (score, base, known))
-                out.append((chunk["base"], part.number, docs.astype("<u2").tobytes(), s.tobytes(), b.tobytes(), k.astype("<u4").tobytes()))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["base", "part", "d", "s", "b", "k"])
+                n = np.bincount(d)
+                docs = np.flatnonzero(n)
+                s, b, k = (np.bincount(d, x[own])[docs] for x in (score, base, known))
+                out.append((chunk["base"], part.number, docs.astype("<u2").tobytes(), s.tobytes(), b.tobytes(), _ints(k), _ints(n[docs])))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["base", "part", "d", "s", "b", "k", "n"])
 
     return run
 
@@ -838,15 +904,16 @@ def _unpacked(chunks: pa.Table) -> pa.Table:
     rows = chunks.sort_by("part").to_pylist()
     docs, where = np.unique(np.concatenate([np.frombuffer(r["d"], "<u2") for r in rows]), return_inverse=True)
 
-    def total(name: str, kind: str) -> np.ndarray:
-        return np.bincount(where, np.concatenate([np.frombuffer(r[name], kind) for r in rows]), len(docs))
+    def total(name: str, of=lambda x: np.frombuffer(x, "<f8")) -> np.ndarray:
+        return np.bincount(where, np.concatenate([of(r[name]) for r in rows]), len(docs))
 
     return pa.table(
         {
             "_row": pa.array(docs.astype(np.int64) + rows[0]["base"]),
-            "score": total("s", "<f8"),
-            "base_score": total("b", "<f8"),
-            "n_known": pa.array(total("k", "<u4").astype(np.int64)),
+            "score": total("s"),
+            "base_score": total("b"),
+            "n_known": pa.array(total("k", _floats).astype(np.int64)),
+            "n_tokens": pa.array(total("n", _floats).astype(np.int64)),
         }
     )
 
@@ -880,13 +947,15 @@ def score_documents(
         model = fit(work, rows, layout, seed, sweeps, first_kept)
         try:
             run = _score_part(spark.sparkContext.broadcast(model.state), first_kept)
-            parts = model.over_parts(run, model.kept(first_kept), "base long, part int, d binary, s binary, b binary, k binary")
-            sums = parts.repartition(layout.parts, "base").groupBy("base").applyInArrow(_unpacked, "_row long, score double, base_score double, n_known long")
-            sums = written(sums, "lm-sums")
+            parts = model.over_parts(run, model.kept(first_kept), "base long, part int, d binary, s binary, b binary, k binary, n binary", "lm-parts")
         finally:
             model.drop()
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    info = rows.select("row", "doc_id", (~F.col("train")).alias("held_out"), (words + 1).alias("n_tokens"))
+        while len(work.paths) > 1:
+            # The sweeps and totals; the sums of the parts were written last.
+            work.drop()
+        sums = parts.repartition(layout.parts, "base").groupBy("base").applyInArrow(_unpacked, "_row long, score double, base_score double, n_known long, n_tokens long")
+        sums = written(sums, "lm-sums")
+    info = rows.select("row", "doc_id", (~F.col("train")).alias("held_out"))
     return info.join(sums, info["row"] == sums["_row"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.state.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

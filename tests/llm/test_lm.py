@@ -92,6 +92,42 @@ def test_what_parts_sent_is_given_back(spark):
     assert {r.part for r in kept if r.kind == lm.TOTALS and r.sweep == 3} == parts
 
 
+def test_words_before_a_word_are_packed_as_rising_codes(spark):
+    """Half the bytes that the codes themselves would take, and the same words come back."""
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(1000)]
+    text = " ".join(names[min(int(k), 999)] for k in rng.exponential(60, 100_000))
+    own = layout(1, common=names)
+    shared = type("Shared", (), {"value": own})
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([0]), "train": [True], "text": [text]})
+    row = next(lm._packed(shared)(iter([batch]))).to_pylist()[0]
+    assert len(row["v"]) < 0.6 * 100_000
+    part = lm._part(pa.Table.from_pylist([row]), own)
+    v = own.long(part.chunks[0]["v"], part.chunks[0]["vr"])
+    w = np.repeat(np.frombuffer(row["w"], "<u8"), part.chunks[0]["n"])
+    code = dict(zip(hashes(*names).tolist(), names)) | {int(lm.START_HASH): "\r", int(lm._hashes([lm.END])[0]): "\n"}
+    mine = Counter((code[int(a)], code[int(b)]) for a, b in zip(v, w))
+    assert mine == Counter(zip(["\r", *text.split()], [*text.split(), "\n"]))
+
+
+def test_shuffles_hold_a_share_of_what_is_moved(spark, monkeypatch):
+    """Parts and buckets are moved in turns, and what a turn has moved is given back before the next one."""
+    seen = []
+    monkeypatch.setattr(lm, "WAVE_PARTS", 1)
+    drop_rows = WorkTables.drop_rows
+    monkeypatch.setattr(WorkTables, "drop_rows", lambda self, path, folder: (seen.append((sorted(os.listdir(path)), folder)), drop_rows(self, path, folder)))
+    rows = spark.createDataFrame([(k, True, t) for k, t in enumerate(TEXTS)], "row long, train boolean, text string").coalesce(1)
+    with WorkTables(spark) as work:
+        model = lm.fit(work, rows, LAYOUTS["several parts"], 5, 1, 1)
+        try:
+            parts = {r.part for r in model.tokens.collect()}
+        finally:
+            model.drop()
+    packed = [(there, gone) for there, gone in seen if gone.startswith("wave=")]
+    assert len(packed) == 4 and [len([n for n in there if n.startswith("wave=")]) for there, gone in packed if gone in there] == list(range(len(parts), 0, -1))
+    assert [gone for _, gone in seen if gone.startswith(f"kind={lm.CONTEXTS}/")] == [f"kind={lm.CONTEXTS}/wave={k}" for k in range(4)]
+
+
 def test_one_large_number_does_not_widen_the_others():
     counts = np.ones(100_000)
     counts[7] = 70_000
