@@ -48,7 +48,7 @@ BATCH_ROWS = 1 << 15
 COMMON = (1 << 16) - 1
 # Parts, and buckets of contexts, are moved in so many turns, of at least so many parts, so that only a share of a table stands in
 # shuffle files as well.
-WAVES, WAVE_PARTS = 5, 4
+WAVES, WAVE_PARTS = 5, 7
 FILES = 1 << 15
 # Up to so many customers of a dish a table holds the weights of its numbers of tables; beyond it, an
 # integral of so many points is taken at so many numbers of tables.
